@@ -29,15 +29,12 @@ def null_safe_join(
 ) -> DataFrame:
     """Join on ``columns`` with NULL equal to NULL, keeping one copy of each column."""
     if not columns:
-        return left.crossJoin(right) if how == "inner" else left.join(right, F.lit(True), how)
+        raise ValueError("a join needs columns")
     renamed = right.withColumnsRenamed({c: f"_r_{c}" for c in columns})
     condition = all_of(F.col(c).eqNullSafe(F.col(f"_r_{c}")) for c in columns)
     joined = left.join(renamed, condition, how)
     if how in ("left_semi", "left_anti"):
         return joined
-    if how in ("full", "right"):
-        # a column missing on one side is NULL there, so coalesce is null-safe too
-        joined = joined.withColumns({c: F.coalesce(F.col(c), F.col(f"_r_{c}")) for c in columns})
     return joined.drop(*(f"_r_{c}" for c in columns))
 
 
@@ -122,12 +119,19 @@ def join_losses(
         )
         condition = all_of(F.col(p.left) == F.col(p.right) for p in links)
         flow = flow.join(keys, condition, "left")
+    owner = {c: t for t in [fact, *(d for d, _ in order)] for c in tables[t].columns}
+
+    def reached(dim: str, links: list[JoinPair]):
+        """True where the tables this dimension hangs on were matched themselves."""
+        parents = {owner[c] for p in links for c in (p.left, p.right)} - {dim, fact}
+        return all_of([F.lit(True), *(F.col(f"_n_{t}").isNotNull() for t in parents)])
+
     measures = [
         F.struct(
             F.lit(dim).alias("dim"),
-            F.count_if(F.col(f"_n_{dim}").isNull()).alias("dropped_rows"),
+            F.count_if(F.col(f"_n_{dim}").isNull() & reached(dim, links)).alias("dropped_rows"),
             F.count_if(F.col(f"_n_{dim}") > 1).alias("multiplied_rows"),
         )
-        for dim, _ in order
+        for dim, links in order
     ]
     return flow.agg(F.array(*measures).alias("checks")).select(F.inline("checks"))

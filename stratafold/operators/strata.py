@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.functions.sizing import SizeRule, cochran
+from stratafold.operators.joins import null_safe_join
 
 SUMMARY = {
     "group_count": F.count,
@@ -72,3 +73,12 @@ def profile_many(source: DataFrame, column_sets: Sequence[Sequence[str]]) -> Dat
 
 def summarise_profiles(profiles: DataFrame, rule: SizeRule | None = None) -> DataFrame:
     return with_targets(profiles, rule).groupBy("profile").agg(*_summary_columns())
+
+
+def with_group_size(source: DataFrame, sizes: DataFrame, qcs: Sequence[str]) -> DataFrame:
+    """The size of its stratum next to every row.
+
+    A window count would shuffle all rows by stratum, largest strata included;
+    the stored sizes are joined instead, by broadcast when they are small.
+    """
+    return null_safe_join(source, sizes.select(*qcs, "groupsize"), list(qcs))
