@@ -8,16 +8,22 @@ from dataclasses import asdict
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratafold.functions.sizing import cochran
 from stratafold.operators.approx import self_scaled
 from stratafold.operators.evaluate import compare_answers
 from stratafold.operators.joins import join_losses, star_join
 from stratafold.operators.sampling import min_row_sample, stratified_sample, uniform_sample
-from stratafold.operators.strata import SUMMARY, profile_many, summarise, with_targets
+from stratafold.operators.strata import (
+    SUMMARY,
+    profile_many,
+    summarise_profiles,
+    with_targets,
+)
 from stratafold.plans.advisor import decide, samples_to_create
 from stratafold.plans.prejoins import best_prejoin, prejoins_to_build
-from stratafold.session import pin
+from stratafold.session import literal_rows, pin
 from stratafold.sources.prejoin_file import prejoin_specs, read_prejoin_file
 from stratafold.sources.store import Store
 from stratafold.spec import (
@@ -77,17 +83,14 @@ class Engine:
         dims = prejoin.tables - {prejoin.fact}
         losses = join_losses(prejoin.fact, self.tables, dims, prejoin.pairs)
         harmful = losses.where("dropped_rows > 0 OR multiplied_rows > 0").select("dim").collect()
-        self.store.append(
-            "prejoin",
-            prejoin.name,
-            {
-                "database": prejoin.database,
-                "fact": prejoin.fact,
-                "tables": sorted(prejoin.tables),
-                "pairs": sorted(map(str, prejoin.pairs)),
-                "lossy": sorted(row["dim"] for row in harmful),
-            },
-        )
+        value = {
+            "database": prejoin.database,
+            "fact": prejoin.fact,
+            "tables": sorted(prejoin.tables),
+            "pairs": sorted(map(str, prejoin.pairs)),
+            "lossy": sorted(row["dim"] for row in harmful),
+        }
+        self.store.append(("prejoin", prejoin.name, value))
 
     def build_prejoin(self, prejoin: PrejoinSpec, overwrite: bool = False) -> bool:
         dims = prejoin.tables - {prejoin.fact}
@@ -142,16 +145,26 @@ class Engine:
                 source = (query.fact, query.tables, query.pairs)
                 missing.setdefault(source, {}).setdefault(query.profile_name, query)
         for group in missing.values():
-            wanted = list(group.values())
-            profiles = profile_many(self.source_of(wanted[0]), [q.qcs for q in wanted])
-            profiles = pin(with_targets(profiles, cochran()), "profiles")
-            for position, query in enumerate(wanted):
-                stats = profiles.where(F.col("profile") == position).select(
-                    *query.qcs, "groupsize", "target_group_sample_size"
-                )
-                self.store.write(query.profile_name, stats, overwrite=True)
-                summary = summarise(self.sizes(query)).first().asDict()
-                self.store.append("stat", query.profile_name, summary)
+            self._profile_source(list(group.values()))
+
+    def _profile_source(self, queries: Sequence[QuerySpec]) -> None:
+        """One scan, one write with a folder per column set, one summary, one log append."""
+        counted = profile_many(self.source_of(queries[0]), [q.qcs for q in queries])
+        counted = with_targets(counted, cochran())
+        path = self.store.new_path(f"profiles_{queries[0].fact}")
+        counted.write.partitionBy("profile").parquet(path)
+        profiles = self.spark.read.schema(counted.schema).parquet(path)
+        summaries = {r["profile"]: r.asDict() for r in summarise_profiles(profiles).collect()}
+        entries = []
+        for position, query in enumerate(queries):
+            columns = [*query.qcs, "groupsize", "target_group_sample_size"]
+            schema = counted.select(*columns).schema
+            folder = f"{path}/profile={position}"
+            summary = summaries[position]
+            del summary["profile"]
+            entries.append(Store.table_entry(query.profile_name, folder, schema))
+            entries.append(("stat", query.profile_name, summary))
+        self.store.append(*entries)
 
     def sizes(self, query: QuerySpec) -> DataFrame:
         """Stored stratum sizes; asking for a profile that was never made is an error."""
@@ -165,8 +178,9 @@ class Engine:
             (q.id, *(stats[q.profile_name][name] for name in SUMMARY)) for q in queries
         ]
         types = ["bigint", "bigint", "double", "double", "bigint", "bigint"]
-        schema = "query_id string, " + ", ".join(f"{n} {t}" for n, t in zip(SUMMARY, types))
-        return decide(self.spark.createDataFrame(rows, schema))
+        fields = [f"{name} {kind}" for name, kind in zip(SUMMARY, types)]
+        schema = StructType.fromDDL(", ".join(["query_id string", *fields]))
+        return decide(literal_rows(self.spark, rows, schema))
 
     # -- samples -------------------------------------------------------------
 
@@ -200,16 +214,14 @@ class Engine:
         known = self.store.latest("sample", sample.name) or {}
         value["queries"] = sorted({*query_ids, *known.get("queries", ())})
         if created or value["queries"] != known.get("queries"):
-            self.store.append("sample", sample.name, value)
+            self.store.append(("sample", sample.name, value))
         return created
 
     def create_advised(
         self, queries: Sequence[QuerySpec], overwrite: bool = False
     ) -> list[SampleSpec]:
         """Advise the workload and create what is advised, each sample once."""
-        advice = self.advise(queries)
-        advice = pin(advice, "advice")
-        samples = samples_to_create(queries, advice)
+        samples = samples_to_create(queries, self.advise(queries))
         for sample in samples:
             users = [
                 q.id

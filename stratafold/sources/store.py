@@ -14,13 +14,19 @@ from datetime import UTC, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
-from stratafold.sources.log import DELETED, LOG_SCHEMA, latest, live_entries
+from stratafold.session import literal_rows
+from stratafold.sources.log import DELETED, LOG_SCHEMA, latest
 
 
 class Store:
-    """Tables and log of one database below ``root``, a folder all executors reach."""
+    """Tables and log of one database below ``root``, a folder all executors reach.
+
+    The live entries of the log are descriptions, a few per query of a workload.
+    They are read once and kept up to date with own appends; ``refresh`` picks up
+    what other sessions appended.
+    """
 
     def __init__(self, spark: SparkSession, root: str, database: str = "default"):
         self.spark = spark
@@ -29,6 +35,7 @@ class Store:
         self._clock = datetime.min.replace(tzinfo=UTC)
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
         self._create_log()
+        self.refresh()
 
     # -- log -----------------------------------------------------------------
 
@@ -40,64 +47,78 @@ class Store:
         try:
             self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
         except AnalysisException:
-            self.spark.createDataFrame([], LOG_SCHEMA).write.mode("append").parquet(self.log_path)
+            empty = literal_rows(self.spark, [(None,) * len(LOG_SCHEMA)], LOG_SCHEMA).limit(0)
+            empty.write.mode("append").parquet(self.log_path)
 
     def log(self) -> DataFrame:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
 
-    def append(self, kind: str, key: str, value: dict | str) -> None:
-        """Log one value. Values travel as data, never inside SQL text."""
-        # two entries of one process never share a timestamp
-        self._clock = max(datetime.now(UTC), self._clock + timedelta(microseconds=1))
-        text = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
-        row = [(kind, key, text, self._clock)]
-        self.spark.createDataFrame(row, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(
-            self.log_path
-        )
+    def refresh(self) -> None:
+        rows = latest(self.log()).orderBy("ts").collect()
+        self._live = {(row["type"], row["key"]): row["value"] for row in rows}
+
+    def append(self, *entries: tuple[str, str, dict | str]) -> None:
+        """Log ``(type, key, value)`` entries. Values travel as data, never inside SQL text."""
+        rows = []
+        for kind, key, value in entries:
+            # two entries of one process never share a timestamp
+            self._clock = max(datetime.now(UTC), self._clock + timedelta(microseconds=1))
+            text = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+            rows.append((kind, key, text, self._clock))
+        literal_rows(self.spark, rows, LOG_SCHEMA).write.mode("append").parquet(self.log_path)
+        for kind, key, text, _ in rows:
+            self._live.pop((kind, key), None)
+            if text != DELETED:
+                self._live[kind, key] = text
 
     def remove(self, kind: str, key: str) -> None:
-        self.append(kind, key, DELETED)
+        self.append((kind, key, DELETED))
 
     def latest(self, kind: str, key: str) -> dict | None:
-        entry = latest(self.log().where((F.col("type") == kind) & (F.col("key") == key))).first()
-        return json.loads(entry["value"]) if entry else None
+        text = self._live.get((kind, key))
+        return None if text is None else json.loads(text)
 
     def entries(self, kind: str, prefix: str = "") -> list[tuple[str, dict]]:
-        """Live entries, newest first. Descriptions only: a few per query of a workload."""
-        rows = live_entries(self.log(), kind, prefix).select("key", "value").collect()
-        return [(row["key"], json.loads(row["value"])) for row in rows]
+        """Live entries of one type, newest first."""
+        return [
+            (key, json.loads(text))
+            for (type_, key), text in reversed(self._live.items())
+            if type_ == kind and key.startswith(prefix)
+        ]
 
     # -- tables --------------------------------------------------------------
 
+    def new_path(self, name: str) -> str:
+        return f"{self.root}/{name}/{uuid.uuid4().hex[:12]}"
+
+    @staticmethod
+    def table_entry(name: str, path: str, schema: StructType) -> tuple[str, str, dict]:
+        """The log entry that makes the Parquet files at ``path`` table ``name``."""
+        return ("table", name, {"path": path, "schema": schema.jsonValue()})
+
     def write(self, name: str, df: DataFrame, overwrite: bool = False) -> bool:
         """Write ``df`` as table ``name``; without ``overwrite`` an existing one stays."""
         if not overwrite and self.exists(name):
             return False
-        path = f"{self.root}/{name}/{uuid.uuid4().hex[:12]}"
+        path = self.new_path(name)
         df.write.parquet(path)
-        self.append("table", name, {"path": path})
+        self.append(self.table_entry(name, path, df.schema))
         return True
 
-    def path(self, name: str) -> str | None:
-        entry = self.latest("table", name)
-        return entry["path"] if entry else None
-
     def exists(self, name: str) -> bool:
         """Logged and still there: a table removed behind our back does not count."""
-        path = self.path(name)
-        if path is None:
-            return False
         try:
-            self.spark.read.parquet(path)
-        except AnalysisException:
+            self.read(name)
+        except (LookupError, AnalysisException):
             return False
         return True
 
     def read(self, name: str) -> DataFrame:
-        path = self.path(name)
-        if path is None:
+        entry = self.latest("table", name)
+        if entry is None:
             raise LookupError(f"no table {name} in {self.root}")
-        return self.spark.read.parquet(path)
+        schema = StructType.fromJson(entry["schema"])
+        return self.spark.read.schema(schema).parquet(entry["path"])
 
     def columns(self, name: str) -> list[str]:
         return self.read(name).columns
@@ -107,7 +128,7 @@ class Store:
         full = f"`{self.database}`.`{name}`"
         self.spark.sql(f"DROP TABLE IF EXISTS {full}")
         self.spark.catalog.createTable(
-            f"{self.database}.{name}", path=self.path(name), source="parquet"
+            f"{self.database}.{name}", path=self.latest("table", name)["path"], source="parquet"
         )
         return full
 

@@ -6,11 +6,12 @@ from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from stratafold.engine import Engine
 from stratafold.operators import approx, evaluate, joins, sampling, strata
 from stratafold.plans import advisor, prejoins
-from stratafold.session import pin, scratch_path
+from stratafold.session import literal_rows, pin, scratch_path
 from stratafold.sources.log import DELETED, latest, live_entries
 from stratafold.sources.prejoin_file import prejoin_specs, read_prejoin_file
 from stratafold.sources.store import Store
@@ -238,7 +239,9 @@ def load_prejoin_file(spark, folder):
         + " AND ".join(f"{p.right} = {p.left}" for p in sorted(q.pairs))
         for q in (tpch.sales_by_type(), tpch.sales_by_weekday())
     ]
-    spark.createDataFrame([(line,) for line in described], "value string").write.text(path)
+    literal_rows(
+        spark, [(line,) for line in described], StructType.fromDDL("value string")
+    ).write.text(path)
     specs = prejoin_specs(read_prejoin_file(spark, path, list(tpch.KEYS)))
     return _per_prejoin(
         tables,
