@@ -23,7 +23,7 @@ from stratafold.operators.strata import (
 )
 from stratafold.plans.advisor import decide, samples_to_create
 from stratafold.plans.prejoins import best_prejoin, prejoins_to_build
-from stratafold.session import literal_rows, pin
+from stratafold.session import literal_rows
 from stratafold.sources.prejoin_file import prejoin_specs, read_prejoin_file
 from stratafold.sources.store import Store
 from stratafold.spec import (
@@ -52,7 +52,7 @@ class Engine:
         orders: Mapping[str, Sequence[str]] | None = None,
         seed: int | str = 0,
     ):
-        self.tables = dict(tables)
+        self.tables = tables
         self.store = store
         self.keys = dict(keys)
         self.orders = dict(orders or {})
@@ -82,7 +82,9 @@ class Engine:
     def _register_prejoin(self, prejoin: PrejoinSpec) -> None:
         dims = prejoin.tables - {prejoin.fact}
         losses = join_losses(prejoin.fact, self.tables, dims, prejoin.pairs)
-        harmful = losses.where("dropped_rows > 0 OR multiplied_rows > 0").select("dim").collect()
+        # an unknown number is NULL and counts as harmful
+        harmless = "coalesce(dropped_rows + multiplied_rows = 0, false)"
+        harmful = losses.where(f"NOT {harmless}").select("dim").collect()
         value = {
             "database": prejoin.database,
             "fact": prejoin.fact,
@@ -123,14 +125,19 @@ class Engine:
             self._register_prejoin(spec)
         return specs
 
-    def source_of(self, query: QuerySpec) -> DataFrame:
-        """The fact, or the smallest prejoin that serves the query; never a wrong stand-in."""
+    def _source_name(self, query: QuerySpec) -> str | None:
+        """The smallest prejoin that serves the query, None for the bare fact."""
         if not query.dims:
-            return self.tables[query.fact]
+            return None
         prejoin = best_prejoin(query, self.prejoins(), self.lossy_joins())
         if prejoin is None:
             raise LookupError(f"no prejoin supports query {query.id}; build prejoins first")
-        return self.store.read(prejoin.name)
+        return prejoin.name
+
+    def source_of(self, query: QuerySpec) -> DataFrame:
+        """The fact or a prejoin; never a stand-in that lacks columns or rows."""
+        name = self._source_name(query)
+        return self.tables[query.fact] if name is None else self.store.read(name)
 
     # -- profiles and advice -------------------------------------------------
 
@@ -142,7 +149,7 @@ class Engine:
         missing: dict[tuple, dict[str, QuerySpec]] = {}
         for query in queries:
             if query.qcs and (overwrite or not self.store.exists(query.profile_name)):
-                source = (query.fact, query.tables, query.pairs)
+                source = (query.fact, self._source_name(query))
                 missing.setdefault(source, {}).setdefault(query.profile_name, query)
         for group in missing.values():
             self._profile_source(list(group.values()))
@@ -312,15 +319,18 @@ class Engine:
         self.store.write(exact_name, self.answer(query), overwrite=measure_time)
         self.store.write(plain_name, plain, overwrite=measure_time)
         exact, plain = self.store.read(exact_name), self.store.read(plain_name)
-        self_error = compare_answers(
-            exact, self_scaled(exact, plain, query.groups, query.aggs), query.groups, query.aggs
-        ).select(F.lit(query.id).alias("query_id"), F.col("avg_pct_error").alias("self_scaled_error"))
-
-        if query.sample_template is None:
-            estimate = self_scaled(exact, plain, query.groups, query.aggs)
-        else:
-            estimate = pin(self.approximate(query, sample), "estimate")
-        report = compare_answers(exact, estimate, query.groups, query.aggs)
+        own_scale = self_scaled(exact, plain, query.groups, query.aggs)
+        estimate = own_scale
+        if query.sample_template is not None:
+            estimate = self.approximate(query, sample)
+        report = compare_answers(
+            exact,
+            estimate,
+            query.groups,
+            query.aggs,
+            other=own_scale,
+            other_error="self_scaled_error",
+        )
 
         exact_seconds = sample_seconds = None
         if measure_time:
@@ -329,13 +339,8 @@ class Engine:
                 sample_seconds = self._timed(query.template(self.sample_rows(sample), self.tables))
             else:
                 sample_seconds = self._timed(self.approximate(query, sample))
-        report = report.withColumn("query_id", F.lit(query.id)).unionByName(
-            self_error, allowMissingColumns=True
-        )
-        measures = [c for c in report.columns if c != "query_id"]
         return (
-            report.groupBy("query_id")
-            .agg(*(F.max(c).alias(c) for c in measures))
+            report.withColumn("query_id", F.lit(query.id))
             .withColumn("sample", F.lit(sample.name))
             .withColumn("exact_seconds", F.lit(exact_seconds).cast("double"))
             .withColumn("sample_seconds", F.lit(sample_seconds).cast("double"))

@@ -33,25 +33,35 @@ def relative_error(estimate: Column, truth: Column) -> Column:
     return F.abs(estimate.cast("double") - truth) / F.abs(F.when(truth != 0, truth))
 
 
-def _paired(exact, approx, groups, aggs) -> DataFrame:
-    """Both answers side by side: a full outer join on the group columns, NULL equal to NULL.
+def _side_by_side(answers, groups, aggs) -> DataFrame:
+    """Answers next to each other: a full outer join on the group columns, NULL equal to NULL.
 
     Each answer has one row per group, so a union and one aggregate do it in a
     single shuffle, also for an answer without group columns.
     """
-    left = exact.select(*groups, *(F.col(a).alias(f"_o_{a}") for a in aggs), F.lit(1).alias("_o"))
-    right = approx.select(*groups, *(F.col(a).alias(f"_s_{a}") for a in aggs), F.lit(1).alias("_s"))
-    sides = left.unionByName(right, allowMissingColumns=True)
+    sides = None
+    for mark, answer in answers.items():
+        side = answer.select(
+            *groups, *(F.col(a).alias(f"_{mark}_{a}") for a in aggs), F.lit(1).alias(f"_{mark}")
+        )
+        sides = side if sides is None else sides.unionByName(side, allowMissingColumns=True)
     values = [c for c in sides.columns if c not in groups]
     return sides.groupBy(*groups).agg(*(F.max(c).alias(c) for c in values))
 
 
-def _sum(columns: list[Column]) -> Column:
-    return reduce(lambda a, b: a + b, columns)
+def _mean_error(error, mark: str, aggs: Sequence[str]) -> Column:
+    """Errors added over aggregates, averaged over groups, divided by the number of aggregates."""
+    terms = [error(F.col(f"_{mark}_{a}"), F.col(f"_o_{a}")) for a in aggs]
+    return F.avg(reduce(lambda a, b: a + b, terms)) / F.lit(len(aggs))
 
 
 def compare_answers(
-    exact: DataFrame, approx: DataFrame, groups: Sequence[str], aggs: Sequence[str]
+    exact: DataFrame,
+    approx: DataFrame,
+    groups: Sequence[str],
+    aggs: Sequence[str],
+    other: DataFrame | None = None,
+    other_error: str = "other_error",
 ) -> DataFrame:
     """One row of quality measures for an already scaled answer.
 
@@ -59,23 +69,26 @@ def compare_answers(
     group, averages over groups and divides by the number of aggregates; a group
     with an aggregate that is 0 or NULL drops out and is counted in
     ``skipped_groups``. ``avg_rel_error`` is the mean of the untruncated errors.
+    ``other`` may be a second scaled answer, whose truncated error is added.
     """
-    pairs = _paired(exact, approx, groups, aggs)
-    truth = {a: F.col(f"_o_{a}") for a in aggs}
-    guess = {a: F.col(f"_s_{a}") for a in aggs}
+    answers = {"o": exact, "s": approx}
+    if other is not None:
+        answers["p"] = other
+    rows = _side_by_side(answers, groups, aggs)
     in_both = F.col("_o").isNotNull() & F.col("_s").isNotNull()
-    truncated = F.when(in_both, _sum([truncated_error(guess[a], truth[a]) for a in aggs]))
-    relative = F.when(in_both, _sum([relative_error(guess[a], truth[a]) for a in aggs]))
-    return pairs.agg(
-        F.count("_o").alias("exact_groups"),
-        F.count("_s").alias("sample_groups"),
-        F.count_if(in_both & any_of(truncated_error(guess[a], truth[a]).isNull() for a in aggs))
-        .alias("skipped_groups"),
-        ((F.count("_o") - F.count("_s")) / F.nullif(F.count("_o"), F.lit(0)))
-        .alias("missing_group_ratio"),
-        (F.avg(truncated) / F.lit(len(aggs))).alias("avg_pct_error"),
-        (F.avg(relative) / F.lit(len(aggs))).alias("avg_rel_error"),
-    )
+    undefined = any_of(truncated_error(F.col(f"_s_{a}"), F.col(f"_o_{a}")).isNull() for a in aggs)
+    missing = (F.count("_o") - F.count("_s")) / F.nullif(F.count("_o"), F.lit(0))
+    measures = {
+        "exact_groups": F.count("_o"),
+        "sample_groups": F.count("_s"),
+        "skipped_groups": F.count_if(in_both & undefined),
+        "missing_group_ratio": missing,
+        "avg_pct_error": _mean_error(truncated_error, "s", aggs),
+        "avg_rel_error": _mean_error(relative_error, "s", aggs),
+    }
+    if other is not None:
+        measures[other_error] = _mean_error(truncated_error, "p", aggs)
+    return rows.agg(*(m.alias(name) for name, m in measures.items()))
 
 
 def avg_pct_error(exact, approx, groups, aggs) -> DataFrame:

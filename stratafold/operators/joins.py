@@ -102,36 +102,48 @@ def join_losses(
     dims: Iterable[str],
     pairs: Iterable[JoinPair],
 ) -> DataFrame:
-    """Per dimension, fact rows an inner join would drop and keys it would multiply.
+    """Per dimension, rows its inner join would drop and rows it would multiply.
 
-    One pass over the fact: every dimension is reduced to its distinct keys and
-    joined from the left, so a missing partner shows up as an unmatched flag.
+    Rows are counted per foreign key value first (combined on the mapper, so a
+    hot or NULL key is one row afterwards) and only these counts are joined. A
+    dimension behind another one is weighted with the rows that reach it. Each
+    step reads one column of the fact. Both numbers are NULL, for unknown, where
+    a dimension hangs on several tables at once.
     """
     order = join_order(fact, tables, dims, pairs)
-    needed = {side for p in pairs for side in (p.left, p.right)}
-    flow = tables[fact].select(*(c for c in tables[fact].columns if c in needed))
+    owner = {c: t for t in [fact, *(d for d, _ in order)] for c in tables[t].columns}
+    flows = {fact: tables[fact].withColumn("_rows", F.lit(1).cast("bigint"))}
+    checks = []
     for dim, links in order:
-        columns = [c for c in tables[dim].columns if c in needed]
-        own = [p.left if p.left in columns else p.right for p in links]
-        keys = tables[dim].groupBy(*own).agg(
-            F.count("*").alias(f"_n_{dim}"),
-            *(F.first(c).alias(c) for c in columns if c not in own),
+        sides = [(p.left, p.right) if owner[p.right] == dim else (p.right, p.left) for p in links]
+        outer, own = [s[0] for s in sides], [s[1] for s in sides]
+        parents = {owner[c] for c in outer}
+        parent = flows.get(parents.pop()) if len(parents) == 1 else None
+        if parent is None:
+            unknown = F.lit(None).cast("bigint")
+            checks.append(
+                tables[fact]
+                .sparkSession.range(1)
+                .select(
+                    F.lit(dim).alias("dim"),
+                    unknown.alias("dropped_rows"),
+                    unknown.alias("multiplied_rows"),
+                )
+            )
+            continue
+        reached = parent.groupBy(*outer).agg(F.sum("_rows").alias("_rows"))
+        link = all_of(F.col(o) == F.col(c) for o, c in sides)
+        flows[dim] = tables[dim].join(reached, link).drop(*outer)
+        keys = tables[dim].groupBy(*own).agg(F.count("*").alias("_copies"))
+        checks.append(
+            reached.join(keys, link, "left").agg(
+                F.lit(dim).alias("dim"),
+                _rows_where(F.col("_copies").isNull()).alias("dropped_rows"),
+                _rows_where(F.col("_copies") > 1).alias("multiplied_rows"),
+            )
         )
-        condition = all_of(F.col(p.left) == F.col(p.right) for p in links)
-        flow = flow.join(keys, condition, "left")
-    owner = {c: t for t in [fact, *(d for d, _ in order)] for c in tables[t].columns}
+    return reduce(DataFrame.unionByName, checks)
 
-    def reached(dim: str, links: list[JoinPair]):
-        """True where the tables this dimension hangs on were matched themselves."""
-        parents = {owner[c] for p in links for c in (p.left, p.right)} - {dim, fact}
-        return all_of([F.lit(True), *(F.col(f"_n_{t}").isNotNull() for t in parents)])
 
-    measures = [
-        F.struct(
-            F.lit(dim).alias("dim"),
-            F.count_if(F.col(f"_n_{dim}").isNull() & reached(dim, links)).alias("dropped_rows"),
-            F.count_if(F.col(f"_n_{dim}") > 1).alias("multiplied_rows"),
-        )
-        for dim, links in order
-    ]
-    return flow.agg(F.array(*measures).alias("checks")).select(F.inline("checks"))
+def _rows_where(condition: Column) -> Column:
+    return F.coalesce(F.sum(F.when(condition, F.col("_rows"))), F.lit(0).cast("bigint"))

@@ -36,7 +36,7 @@ from stratafold.operators.strata import stratum_sizes
 from stratafold.session import pin
 
 TAIL_SHARE = 20  # rows beyond the target are kept at 1/20 of the stratum's rate
-BAND = 8.0  # width of the listed band in standard deviations to each side
+BAND = 6.0  # width of the listed band in standard deviations to each side
 MAX_BROADCAST_STRATA = 200_000
 PREFIX_STEPS = (4, 9, 32)
 TIE_SPLITS = 256

@@ -4,12 +4,16 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.spec import JoinPair, PrejoinSpec
 
 
+def _trimmed(parts: Column) -> Column:
+    return F.transform(parts, lambda part: F.trim(part))
+
+
 def read_prejoin_file(spark: SparkSession, path: str, facts: Sequence[str]) -> DataFrame:
     """Parsed lines: database, name, fact, tables, pairs (sorted, sides normalised).
 
@@ -17,10 +21,10 @@ def read_prejoin_file(spark: SparkSession, path: str, facts: Sequence[str]) -> D
     one are left out.
     """
     fields = F.split("value", ";")
-    trimmed = F.transform(F.split(fields[2], ","), F.trim)
+    trimmed = _trimmed(F.split(fields[2], ","))
     pair = F.transform(
         F.split(fields[3], "(?i) AND "),
-        lambda p: F.concat_ws(" = ", F.array_sort(F.transform(F.split(p, "="), F.trim))),
+        lambda p: F.concat_ws(" = ", F.array_sort(_trimmed(F.split(p, "=")))),
     )
     known = [f.lower() for f in facts]
     fact = F.filter(trimmed, lambda t: F.lower(t).isin(known))

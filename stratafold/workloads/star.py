@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections import ChainMap
 from collections.abc import Mapping, Sequence
 from typing import Any
 
@@ -13,6 +14,11 @@ from stratafold.operators.joins import all_of, star_join
 from stratafold.spec import QuerySpec, SampleSpec
 
 
+def swap(tables: Mapping[str, DataFrame], name: str, rows: DataFrame) -> Mapping[str, DataFrame]:
+    """``tables`` with ``rows`` in place of one of them; the others are not touched."""
+    return ChainMap({name: rows}, tables)
+
+
 def money(column: str) -> Column:
     """Two exact decimals, so a sum does not depend on the order of rows."""
     return F.col(column).cast("decimal(18,2)")
@@ -47,7 +53,7 @@ def star_query(
     conditions = fixed + ([where] if where is not None else [])
 
     def exact(fact_rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-        rows = star_join(fact, {**tables, fact: fact_rows}, spec.dims, spec.pairs)
+        rows = star_join(fact, swap(tables, fact, fact_rows), spec.dims, spec.pairs)
         if conditions:
             rows = rows.where(all_of(conditions))
         return aggregate(rows, groups, sums, counts)
@@ -57,7 +63,7 @@ def star_query(
     ) -> DataFrame:
         # the strata are those the sample was made with, which may need joins of their own
         dims_needed = spec.dims | (made.tables - {fact})
-        rows = star_join(fact, {**tables, fact: sample}, dims_needed, spec.pairs | made.pairs)
+        rows = star_join(fact, swap(tables, fact, sample), dims_needed, spec.pairs | made.pairs)
         strata = {c: v for c, v in pinned.items() if c in made.qcs}
         rest = [F.col(c) == F.lit(v) for c, v in pinned.items() if c not in made.qcs]
         rest += [where] if where is not None else []
@@ -93,7 +99,8 @@ def sql_template(text: str):
     """
 
     def template(fact_rows: DataFrame, tables: Mapping[str, DataFrame], **more) -> DataFrame:
-        frames = {name: df for name, df in {**tables, **more}.items() if f"{{{name}}}" in text}
+        known = ChainMap(more, tables)
+        frames = {name: known[name] for name in known if f"{{{name}}}" in text}
         return fact_rows.sparkSession.sql(text, fact=fact_rows, **frames)
 
     return template

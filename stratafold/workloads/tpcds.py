@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from stratafold.operators.approx import rescaled, rescaled_merge
 from stratafold.operators.joins import all_of, star_join
 from stratafold.spec import QuerySpec, SampleSpec
-from stratafold.workloads.star import aggregate, star_query
+from stratafold.workloads.star import aggregate, star_query, swap
 
 # Facts with their column prefix and the columns that identify a row.
 FACTS = {
@@ -182,7 +182,7 @@ def _books_in_all_channels(by_id: Mapping[str, QuerySpec]) -> QuerySpec:
         item = tables["item"]
         makers = item.where(F.col("i_category").isin("Books")).select("i_manufact_id").distinct()
         chosen = item.join(makers, "i_manufact_id", "left_semi")
-        return star_join(query.fact, {**tables, "item": chosen}, query.dims, query.pairs)
+        return star_join(query.fact, swap(tables, "item", chosen), query.dims, query.pairs)
 
     def price(query: QuerySpec) -> Column:
         return F.col(f"{FACTS[query.fact][0]}_ext_sales_price")
@@ -192,7 +192,7 @@ def _books_in_all_channels(by_id: Mapping[str, QuerySpec]) -> QuerySpec:
         return aggregate(rows(query, tables).where(fixed), groups, {"total_sales": price(query)})
 
     def exact(fact_rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-        branches = [channel(spec, {**tables, spec.fact: fact_rows})]
+        branches = [channel(spec, swap(tables, spec.fact, fact_rows))]
         branches += [channel(q, tables) for q in others]
         return (
             reduce(DataFrame.unionByName, branches)
@@ -208,7 +208,7 @@ def _books_in_all_channels(by_id: Mapping[str, QuerySpec]) -> QuerySpec:
         if set(made.qcs) != set(spec.qcs):
             raise ValueError(f"query {spec.id} needs a sample of its own query columns")
         return rescaled_merge(
-            rows(spec, {**tables, spec.fact: sample}),
+            rows(spec, swap(tables, spec.fact, sample)),
             sizes,
             spec.qcs,
             groups,
@@ -252,7 +252,7 @@ def _rows_without_key(by_id: Mapping[str, QuerySpec]) -> QuerySpec:
         return aggregate(rows, keys, {"sales_amt": F.col("ext_sales_price")}, ["sales_cnt"])
 
     def exact(fact_rows: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-        sampled = {**tables, spec.fact: fact_rows}
+        sampled = swap(tables, spec.fact, fact_rows)
         return reduce(
             DataFrame.unionByName,
             [unkeyed("store", tables), unkeyed("web", tables), unkeyed("catalog", sampled)],
@@ -264,7 +264,7 @@ def _rows_without_key(by_id: Mapping[str, QuerySpec]) -> QuerySpec:
         if set(made.qcs) != set(spec.qcs):
             raise ValueError(f"query {spec.id} needs a sample of its own query columns")
         catalog = rescaled(
-            labelled("catalog", {**tables, spec.fact: sample}),
+            labelled("catalog", swap(tables, spec.fact, sample)),
             sizes,
             spec.qcs,
             keys,

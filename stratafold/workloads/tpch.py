@@ -29,13 +29,37 @@ SUPPLIER_NATION = "s_nationkey = n_nationkey"
 WEEKDAYS = ("sun", "mon", "tue", "wed", "thu", "fri", "sat")
 
 
-def load(spark: SparkSession, folder: str) -> dict[str, DataFrame]:
-    """The tables, with year and quarter of the order date as columns of ``orders``."""
-    tables = {name: spark.read.parquet(f"{folder}/{name}.parquet") for name in NAMES}
-    tables["orders"] = tables["orders"].withColumns(
-        {"o_year": F.year("o_orderdate"), "o_quarter": F.quarter("o_orderdate")}
-    )
-    return tables
+class Tables(Mapping):
+    """The tables of a folder, each opened when it is first asked for.
+
+    ``orders`` has the year and quarter of its date as columns.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder
+        self._open: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in NAMES:
+            raise KeyError(name)
+        if name not in self._open:
+            table = self._spark.read.parquet(f"{self._folder}/{name}.parquet")
+            if name == "orders":
+                table = table.withColumns(
+                    {"o_year": F.year("o_orderdate"), "o_quarter": F.quarter("o_orderdate")}
+                )
+            self._open[name] = table
+        return self._open[name]
+
+    def __iter__(self):
+        return iter(NAMES)
+
+    def __len__(self) -> int:
+        return len(NAMES)
+
+
+def load(spark: SparkSession, folder: str) -> Tables:
+    return Tables(spark, folder)
 
 
 def revenue_by_flag() -> QuerySpec:
