@@ -229,47 +229,70 @@ LATEST = f"""
 CHANNEL_QCS = ("c_nationkey", "o_year")
 
 
-def _evaluate_sample() -> str:
-    """Query flag (its groups are the strata) and query 59 (its groups cut them)."""
-    supplier_exact = (
-        f"SELECT l_suppkey, {total(money('l_extendedprice'))} AS sum_price, "
-        "count(*) AS groupsize FROM {rows} GROUP BY l_suppkey"
+EVENT_KEY = ("event_id",)
+EVENT_COLUMNS = "event_id, ts, user_id, event_type, value, props"
+ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
+
+# per query: fact, group columns, sums, counts
+REPORTED = {
+    "flag": ("lineitem", FLAGS, FLAG_SUMS, ("cnt",)),
+    "59": ("lineitem", ("l_suppkey",), {"sum_price": money("l_extendedprice")}, ()),
+    "65": ("orders", ("o_orderstatus",), {"sum_total": money("o_totalprice")}, ()),
+    "88": ("events", ("event_type",), {"sum_value": money("value")}, ("cnt",)),
+}
+
+
+def report(query: str, rows: str, qcs: tuple[str, ...]) -> str:
+    """The evaluation of one query on one sample with strata ``qcs``."""
+    fact, groups, sums, counts = REPORTED[query]
+    aggs = (*sums, *counts)
+    keys = ", ".join(groups)
+    measures = ", ".join(
+        [f"{total(v)} AS {n}" for n, v in sums.items()] + [f"count(*) AS {n}" for n in counts]
     )
-    price = {"sum_price": money("l_extendedprice")}
-    unrounded = {
-        "flag": estimate(FLAG_MIN_ROWS, "", "lineitem", FLAGS, FLAGS, FLAG_SUMS, ("cnt",)),
-        "59": estimate(FLAG_MIN_ROWS, "", "lineitem", FLAGS, ("l_suppkey",), price),
-    }
-    exact = {
-        "flag": flag_answer("lineitem"),
-        "59": supplier_exact.format(rows="lineitem"),
-    }
-    plain = {
-        "flag": flag_answer(f"({FLAG_MIN_ROWS}) x"),
-        "59": supplier_exact.format(rows=f"({FLAG_MIN_ROWS}) x"),
+
+    def answer(source: str) -> str:
+        return f"SELECT {keys}, {measures}, count(*) AS groupsize FROM {source} GROUP BY {keys}"
+
+    # the report uses unrounded estimates
+    est = estimate(rows, "", fact, qcs, groups, sums, counts)
+    est = est.replace("round(sum(", "(sum(").replace("groupsize), 2)", "groupsize))")
+    truth = ", ".join(f"o.{a}" for a in aggs)
+    guess = ", ".join(f"e.{a} AS est_{a}" for a in aggs)
+    own = ", ".join(f"p.{a} * (o.groupsize / p.groupsize) AS self_{a}" for a in aggs)
+    skipped = " OR ".join(f"{whole(a)} = 0" for a in aggs)
+    self_terms = " + ".join(truncated(f"self_{a}", a) for a in aggs)
+    return f"""
+      SELECT '{query}' AS query_id, count(*) AS exact_groups, count(seen) AS sample_groups,
+        count(CASE WHEN seen IS NOT NULL AND ({skipped}) THEN 1 END) AS skipped_groups,
+        round((count(*) - count(seen)) / count(*), 6) AS missing_group_ratio,
+        round({mean_error(truncated, aggs)}, 6) AS avg_pct_error,
+        round({mean_error(relative, aggs)}, 6) AS avg_rel_error,
+        round(avg({self_terms}) / {len(aggs)}, 6) AS self_scaled_error
+      FROM (SELECT {truth}, {guess}, {own}, p.groupsize AS seen
+            FROM ({answer(fact)}) o LEFT JOIN ({est}) e USING ({keys})
+            LEFT JOIN ({answer(f'({rows}) x')}) p USING ({keys})) b"""
+
+
+def _evaluate_all() -> str:
+    """Min-row samples always; stratified ones where the advisor asks for them."""
+    shapes = {
+        "flag": dict(key=LINE_KEY, order=", l_extendedprice", columns=LINE_COLUMNS),
+        "65": dict(key=("o_orderkey",), order="", columns=ORDER_COLUMNS),
+        "88": dict(key=EVENT_KEY, order="", columns=EVENT_COLUMNS),
     }
-    aggs = {"flag": FLAG_AGGS, "59": ("sum_price",)}
-    keys = {"flag": "l_returnflag, l_linestatus", "59": "l_suppkey"}
     parts = []
-    for q in ("flag", "59"):
-        # the report uses unrounded estimates
-        est = unrounded[q].replace("round(sum(", "(sum(").replace("groupsize), 2)", "groupsize))")
-        truth = ", ".join(f"o.{a}" for a in aggs[q])
-        guess = ", ".join(f"e.{a} AS est_{a}" for a in aggs[q])
-        own = ", ".join(f"p.{a} * (o.groupsize / p.groupsize) AS self_{a}" for a in aggs[q])
-        skipped = " OR ".join(f"{whole(a)} = 0" for a in aggs[q])
-        self_terms = " + ".join(truncated(f"self_{a}", a) for a in aggs[q])
-        n = len(aggs[q])
-        parts.append(f"""
-          SELECT '{q}' AS query_id, count(*) AS exact_groups, count(seen) AS sample_groups,
-            count(CASE WHEN seen IS NOT NULL AND ({skipped}) THEN 1 END) AS skipped_groups,
-            round((count(*) - count(seen)) / count(*), 6) AS missing_group_ratio,
-            round({mean_error(truncated, aggs[q])}, 6) AS avg_pct_error,
-            round({mean_error(relative, aggs[q])}, 6) AS avg_rel_error,
-            round(avg({self_terms}) / {n}, 6) AS self_scaled_error
-          FROM (SELECT {truth}, {guess}, {own}, p.groupsize AS seen
-                FROM ({exact[q]}) o LEFT JOIN ({est}) e USING ({keys[q]})
-                LEFT JOIN ({plain[q]}) p USING ({keys[q]})) b""")
+    for query, shape in shapes.items():
+        fact, qcs = REPORTED[query][:2]
+        names = "_".join(sorted(qcs))
+        advised = f"SELECT advice FROM ({decide(summary(fact, qcs))}) d"
+        few = report(query, sample(fact, qcs, target="500.0", **shape), qcs)
+        many = report(query, sample(fact, qcs, **shape), qcs)
+        parts.append(f"SELECT '{fact}__st2_500__{names}' AS sample, * FROM ({few}) r")
+        parts.append(
+            f"SELECT '{fact}__st_2_5760_0_0100__{names}' AS sample, * FROM ({many}) r "
+            f"WHERE ({advised}) = 'stratified'"
+        )
     return " UNION ALL ".join(parts)
 
 
@@ -454,7 +477,8 @@ ORACLE = {
               count(DISTINCT CASE WHEN u < 0.1 THEN o_custkey END) AS sample_groups
             FROM (SELECT *, {draw(digest(LINE_KEY), 1)} AS u FROM {TYPE_SOURCE}) x
             WHERE {BASKET_FILTER}) y""",
-    "evaluate_sample": _evaluate_sample(),
+    "evaluate_all": _evaluate_all(),
+    "evaluate_sample": " UNION ALL ".join(report(q, FLAG_MIN_ROWS, FLAGS) for q in ("flag", "59")),
     "meta_latest": LATEST,
     "meta_list": f"""
       SELECT key, CAST(json_extract(value, '$.k') AS INTEGER) AS k, ts

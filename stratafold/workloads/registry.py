@@ -421,7 +421,10 @@ def evaluate_all(spark, folder):
     for query in workload:
         spec = SampleSpec(MIN_ROW, query.fact, query.qcs, min_rows=FLAG_ROWS)
         engine.create_sample(spec, [query.id])
-    return _rounded(engine.evaluate_all(workload).select("sample", *REPORT), 6)
+    report = engine.evaluate_all(workload)
+    # the readable part of the sample's name, without its digest
+    label = F.regexp_replace("sample", "__[0-9a-f]{10}$", "").alias("sample")
+    return _rounded(report.select(label, *REPORT), 6)
 
 
 def evaluate_sample(spark, folder):
