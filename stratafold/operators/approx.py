@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from typing import Any
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.operators.joins import all_of, null_safe_join
@@ -58,17 +58,15 @@ def rescaled(
         F.count(seen(F.lit(1))).alias("_hits"),
         *(F.sum(seen(v)).alias(f"_sum_{name}") for name, v in sums.items()),
     )
+    rates = sizes.select(*qcs, "groupsize")
     if extra:
-        # the groups cut strata apart: the sampled size is that of the whole stratum
-        per_stratum = per_stratum.withColumn(
-            "_sampled", F.sum("_rows").over(Window.partitionBy(*qcs))
-        )
+        # the groups cut strata apart, the rate is that of the whole stratum; counted
+        # by an aggregate of its own, as a window would gather a stratum's groups
+        whole = sample.groupBy(*qcs).agg(F.count("*").alias("_sampled"))
+        rates = null_safe_join(rates, whole, qcs)
     else:
         per_stratum = per_stratum.withColumn("_sampled", F.col("_rows"))
-
-    scaled = null_safe_join(
-        per_stratum.where(F.col("_hits") > 0), sizes.select(*qcs, "groupsize"), qcs
-    )
+    scaled = null_safe_join(per_stratum.where(F.col("_hits") > 0), rates, qcs)
     estimates = {
         **{
             n: F.col(f"_sum_{n}").cast("double") / F.col("_sampled") * F.col("groupsize")

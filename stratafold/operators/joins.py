@@ -77,6 +77,12 @@ def join_order(
     return order
 
 
+def _fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst's size estimate is below the session's broadcast limit."""
+    limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
+    return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
+
+
 def star_join(
     fact: str,
     tables: Mapping[str, DataFrame],
@@ -86,13 +92,27 @@ def star_join(
     """Inner equi-join of a fact with its dimensions, direct or through each other.
 
     There is no broadcast hint: Catalyst broadcasts a dimension when its files
-    are small enough and shuffles it otherwise, so a dimension may grow.
+    are small enough and shuffles it otherwise, so a dimension may grow. A
+    dimension too large to broadcast first takes in the dimensions behind it, so
+    the fact is shuffled for that branch once and not once per table.
     """
-    pairs = frozenset(pairs)
-    result = tables[fact]
-    for dim, links in join_order(fact, tables, dims, pairs):
+    order = join_order(fact, tables, dims, pairs)
+    owner = {c: t for t in [fact, *(d for d, _ in order)] for c in tables[t].columns}
+    parents = {
+        dim: {owner[c] for p in links for c in (p.left, p.right)} - {dim} for dim, links in order
+    }
+    branch = {dim: tables[dim] for dim, _ in order}
+    result, direct = tables[fact], []
+    # leaves first: a dimension moves below its only parent if that is a large dimension
+    for dim, links in reversed(order):
+        above = next(iter(parents[dim]))
         condition = all_of(F.col(p.left) == F.col(p.right) for p in links)
-        result = result.join(tables[dim], condition, "inner")
+        if len(parents[dim]) == 1 and above != fact and not _fits_broadcast(tables[above]):
+            branch[above] = branch[above].join(branch[dim], condition, "inner")
+        else:
+            direct.append((dim, condition))
+    for dim, condition in reversed(direct):
+        result = result.join(branch[dim], condition, "inner")
     return result
 
 

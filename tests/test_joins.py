@@ -30,6 +30,31 @@ def test_snowflake_order_and_rows(tables):
     assert sorted(r["f_id"] for r in joined.collect()) == [1, 2]
 
 
+def test_large_dimensions_take_in_what_is_behind_them(spark, tiny):
+    """Without broadcasts the fact is shuffled once for orders and customer together."""
+    from stratafold.workloads import tpch
+
+    tables = tpch.load(spark, tiny)
+    query = tpch.sales_by_segment_priority()
+    want = star_join("lineitem", tables, query.dims, query.pairs)
+    columns = sorted(want.columns)
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = star_join("lineitem", tables, query.dims, query.pairs)
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        moved = [line for line in plan.splitlines() if "Exchange hashpartitioning" in line]
+        by_customer = [line for line in moved if "custkey" in line]
+        assert len(moved) == 4 and len(by_customer) == 2
+        # the rows shuffled by customer are orders, the fact moves by order only
+        assert plan.index("l_orderkey") < plan.index("o_custkey")
+        assert sorted(map(repr, got.select(*columns).collect())) == sorted(
+            map(repr, want.select(*columns).collect())
+        )
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
 def test_invalid_joins_are_refused(tables, spark):
     with pytest.raises(ValueError, match="no joined table has column"):
         star_join("fact", tables, ["a"], [PAIRS[0], JoinPair("f_b", "b_id")])
