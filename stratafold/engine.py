@@ -58,19 +58,22 @@ class Engine:
         self.orders = dict(orders or {})
         self.seed = seed
         self.spark = store.spark
+        self._prejoins: tuple[int, list] = (-1, [])
 
     # -- prejoins ------------------------------------------------------------
 
     def _logged_prejoins(self) -> list[tuple[PrejoinSpec, tuple[str, ...]]]:
-        found = []
-        for name, value in self.store.entries("prejoin"):
-            if value["database"] == self.store.database and self.store.exists(name):
-                pairs = frozenset(JoinPair.parse(p) for p in value["pairs"])
-                spec = PrejoinSpec(
-                    value["database"], value["fact"], frozenset(value["tables"]), pairs, name
-                )
-                found.append((spec, tuple(value["lossy"])))
-        return found
+        """Prejoins with their lossy joins; looked up again only after the log changed."""
+        if self._prejoins[0] != self.store.version:
+            found = []
+            for name, value in self.store.entries("prejoin"):
+                if value["database"] == self.store.database and self.store.exists(name):
+                    pairs = frozenset(JoinPair.parse(p) for p in value["pairs"])
+                    tables = frozenset(value["tables"])
+                    spec = PrejoinSpec(value["database"], value["fact"], tables, pairs, name)
+                    found.append((spec, tuple(value["lossy"])))
+            self._prejoins = (self.store.version, found)
+        return self._prejoins[1]
 
     def prejoins(self) -> list[PrejoinSpec]:
         """Logged prejoins whose table still exists, newest first."""

@@ -34,6 +34,7 @@ class Store:
         self.database = database
         self._clock = datetime.min.replace(tzinfo=UTC)
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        self.version = 0  # changes with the log
         self._create_log()
         self.refresh()
 
@@ -56,6 +57,7 @@ class Store:
     def refresh(self) -> None:
         rows = latest(self.log()).orderBy("ts").collect()
         self._live = {(row["type"], row["key"]): row["value"] for row in rows}
+        self.version += 1
 
     def append(self, *entries: tuple[str, str, dict | str]) -> None:
         """Log ``(type, key, value)`` entries. Values travel as data, never inside SQL text."""
@@ -70,6 +72,7 @@ class Store:
             self._live.pop((kind, key), None)
             if text != DELETED:
                 self._live[kind, key] = text
+        self.version += 1
 
     def remove(self, kind: str, key: str) -> None:
         self.append((kind, key, DELETED))
