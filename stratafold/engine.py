@@ -203,6 +203,10 @@ class Engine:
         query = sample.as_query()
         source = self.source_of(query)
         self.profile([query])
+        # sizes of another state of the source would lose the rows of new strata
+        counted = self.store.latest("stat", query.profile_name)["population_size"]
+        if counted != source.count():
+            self.profile([query], overwrite=True)
         options["sizes"] = self.sizes(query)
         if sample.kind == STRATIFIED:
             rule = cochran(sample.z, sample.e)

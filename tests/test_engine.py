@@ -173,6 +173,20 @@ def test_a_lossy_prejoin_does_not_stand_in_for_a_smaller_one(spark, tmp_path):
     assert engine.sizes(large).agg(F.sum("groupsize")).first()[0] == 150
 
 
+def test_a_grown_fact_is_profiled_again(spark, tmp_path):
+    path = str(tmp_path / "fact")
+    spark.range(100).select("id", F.lit("old").alias("k")).write.parquet(path)
+    tables = {"fact": spark.read.parquet(path)}
+    store = Store(spark, str(tmp_path / "s"), "grown")
+    spec = SampleSpec(MIN_ROW, "fact", ("k",), min_rows=10)
+    Engine(tables, store, {"fact": ("id",)}).create_sample(spec)
+    spark.range(100, 150).select("id", F.lit("new").alias("k")).write.mode("append").parquet(path)
+    engine = Engine({"fact": spark.read.parquet(path)}, store, {"fact": ("id",)})
+    engine.create_sample(spec, overwrite=True)
+    counts = {r["k"]: r["count"] for r in engine.sample_rows(spec).groupBy("k").count().collect()}
+    assert set(counts) == {"old", "new"} and min(counts.values()) >= 10
+
+
 def test_missing_prejoin_is_an_error(engine):
     with pytest.raises(LookupError):
         engine.profile([tpch.sales_by_type()])

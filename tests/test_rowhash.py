@@ -46,3 +46,18 @@ def test_position_tells_copies_apart(spark, tmp_path):
     spark.range(1000).select(F.lit(1).alias("v")).repartition(3).write.parquet(path)
     df = with_position(spark.read.parquet(path))
     assert df.select("_file", "_row").distinct().count() == 1000
+
+
+def test_a_cluster_without_a_shared_folder_is_an_error():
+    from types import SimpleNamespace
+
+    import pytest
+
+    from stratafold.session import scratch_root
+
+    nothing = SimpleNamespace(get=lambda *_: None)
+    context = SimpleNamespace(getConf=lambda: nothing, master="spark://host:7077")
+    with pytest.raises(RuntimeError, match="spark.checkpoint.dir"):
+        scratch_root(SimpleNamespace(conf=nothing, sparkContext=context))
+    shared = SimpleNamespace(get=lambda *_: "hdfs:///shared/")
+    assert scratch_root(SimpleNamespace(conf=shared, sparkContext=context)) == "hdfs:///shared"
