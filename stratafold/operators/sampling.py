@@ -107,16 +107,18 @@ def min_row_sample(
 
 def _quotas(sizes: DataFrame, rule: SizeRule) -> DataFrame:
     """Per stratum: rows to keep, the band that should hold the last of them, the tail's rate."""
-    target, groupsize, keep = F.col("target"), F.col("groupsize"), F.col("keep")
+    groupsize = F.col("groupsize")
+    target = rule(groupsize)
+    keep = F.least(groupsize, whole_rows(target))
     margin = F.lit(BAND) * F.sqrt(keep) + F.lit(2.5 * BAND)
-    return (
-        sizes.withColumn("target", rule(groupsize))
-        .withColumn("keep", F.least(groupsize, whole_rows(target)))
-        .withColumn("tail_below", threshold(tail_rate(target, groupsize)))
-        .withColumn("low", threshold((keep - margin) / groupsize))
-        .withColumn("high", threshold((keep + margin) / groupsize))
-        .withColumn("open", keep < groupsize)
-        .withColumn("_stratum", F.monotonically_increasing_id())
+    return sizes.select(
+        "*",
+        keep.alias("keep"),
+        threshold(tail_rate(target, groupsize)).alias("tail_below"),
+        threshold((keep - margin) / groupsize).alias("low"),
+        threshold((keep + margin) / groupsize).alias("high"),
+        (keep < groupsize).alias("open"),
+        F.monotonically_increasing_id().alias("_stratum"),
     )
 
 
@@ -184,13 +186,10 @@ def stratum_cutoffs(
         F.broadcast(quotas.where("open").select(*qcs, "_stratum", "keep", "low", "high")),
         qcs,
     )
+    entry = F.when(F.col("_digest") < F.col("low"), F.lit(NOTHING)).otherwise(F.col("_digest"))
     listed = (
         narrow.where(F.col("_digest") < F.col("high"))
-        .withColumn(
-            "entry",
-            F.when(F.col("_digest") < F.col("low"), F.lit(NOTHING)).otherwise(F.col("_digest")),
-        )
-        .groupBy("_stratum", "keep", "entry")
+        .groupBy("_stratum", "keep", entry.alias("entry"))
         .agg(F.count("*").alias("rows"))
     )
     found = _last_entry(listed).where(F.col("entry") != F.lit(NOTHING))
@@ -214,10 +213,8 @@ def _last_entry(entries: DataFrame) -> DataFrame:
     """The entry with which a stratum's running count first reaches ``keep``."""
     running = Window.partitionBy("_stratum").orderBy("entry")
     upto = F.sum("rows").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return (
-        entries.withColumn("upto", upto)
-        .withColumn("before", F.col("upto") - F.col("rows"))
-        .where((F.col("upto") >= F.col("keep")) & (F.col("before") < F.col("keep")))
+    return entries.select("*", (upto - F.col("rows")).alias("before")).where(
+        (F.col("before") < F.col("keep")) & (F.col("before") + F.col("rows") >= F.col("keep"))
     )
 
 

@@ -8,7 +8,10 @@ LINE_COLUMNS = (
     "l_orderkey, l_partkey, l_suppkey, l_linenumber, l_quantity, l_extendedprice, "
     "l_discount, l_tax, l_returnflag, l_linestatus, l_shipdate"
 )
-ORDERS = "(SELECT *, year(o_orderdate) AS o_year, quarter(o_orderdate) AS o_quarter FROM orders)"
+ORDERS = (
+    "(SELECT *, CAST(year(o_orderdate) AS INTEGER) AS o_year, "
+    "CAST(quarter(o_orderdate) AS INTEGER) AS o_quarter FROM orders)"
+)
 O_JOIN = f"JOIN {ORDERS} o ON l_orderkey = o_orderkey"
 C_JOIN = "JOIN customer ON o_custkey = c_custkey"
 P_JOIN = "JOIN part ON l_partkey = p_partkey"
@@ -371,7 +374,7 @@ ORACLE = {
         count(*) AS groupsize
       FROM {NATION_SOURCE} WHERE n_regionkey = 1 GROUP BY n_name""",
     "exact_union_channels": f"""
-      SELECT channel, col_name, year, round({total('price')}, 2) AS sales_amt,
+      SELECT channel, col_name, CAST(year AS INTEGER) AS year, round({total('price')}, 2) AS sales_amt,
         count(*) AS sales_cnt, count(*) AS groupsize
       FROM (SELECT 'line' AS channel, 'l_returnflag' AS col_name, year(l_shipdate) AS year,
               {money('l_extendedprice')} AS price FROM lineitem WHERE l_returnflag = 'R'
