@@ -17,7 +17,7 @@ sys.path.insert(0, os.path.dirname(os.path.abspath(__file__)))
 
 from stratafold.operators import joins, sampling, strata  # noqa: E402
 from stratafold.operators.evaluate import compare_answers  # noqa: E402
-from stratafold.session import local_session, pin  # noqa: E402
+from stratafold.session import compact, local_session, pin  # noqa: E402
 from stratafold.spec import STRATIFIED, SampleSpec  # noqa: E402
 from stratafold.workloads import registry, tpch  # noqa: E402
 
@@ -48,7 +48,7 @@ def compare_with_sample(spark, query) -> dict:
         sizes=sizes,
         columns=fact.columns,
     )
-    stored = pin(sample, "sample")
+    stored = pin(compact(sample), "sample")
     build = time.perf_counter() - start
     made = SampleSpec(STRATIFIED, query.fact, query.qcs, query.tables, query.pairs)
 

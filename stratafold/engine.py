@@ -23,7 +23,7 @@ from stratafold.operators.strata import (
 )
 from stratafold.plans.advisor import decide, samples_to_create
 from stratafold.plans.prejoins import best_prejoin, prejoins_to_build
-from stratafold.session import literal_rows
+from stratafold.session import compact, literal_rows
 from stratafold.sources.prejoin_file import prejoin_specs, read_prejoin_file
 from stratafold.sources.store import Store
 from stratafold.spec import (
@@ -213,13 +213,26 @@ class Engine:
             return stratified_sample(source, sample.qcs, key, rule=rule, **options)
         return min_row_sample(source, sample.qcs, sample.min_rows, key, **options)
 
+    def _expected_share(self, sample: SampleSpec) -> float:
+        """About which share of the fact the sample keeps, from the stored summary."""
+        if sample.kind == UNIFORM:
+            return sample.ratio
+        stat = self.store.latest("stat", sample.as_query().profile_name)
+        wanted = stat["target_sample_size"]
+        if sample.kind == MIN_ROW:
+            wanted = sample.min_rows * stat["group_count"]
+        return wanted / max(stat["population_size"], 1)
+
     def create_sample(
         self, sample: SampleSpec, query_ids: Sequence[str] = (), overwrite: bool = False
     ) -> bool:
         """Write, analyse and log a sample. An existing one only gains queries."""
         created = overwrite or not self.store.exists(sample.name)
         if created:
-            self.store.write(sample.name, self.build_sample(sample), overwrite=True)
+            rows = self.build_sample(sample)
+            self.store.write(
+                sample.name, compact(rows, self._expected_share(sample)), overwrite=True
+            )
             self.store.analyze(sample.name)
         value = asdict(sample)
         value["tables"] = sorted(sample.tables)

@@ -122,21 +122,20 @@ def _quotas(sizes: DataFrame, rule: SizeRule) -> DataFrame:
     )
 
 
-def _ranked_order(order: Sequence[str]) -> list[Column]:
-    return [F.col("_digest"), *(F.col(c) for c in order)]
-
-
 def _by_window(source, qcs, key, rule, tail, seed, order) -> DataFrame:
     """Rank whole strata; one shuffle. For strata that are known to be small."""
-    stratum = Window.partitionBy(*qcs)
+    # the size is taken over the same ordered window as the rank, so rows are sorted once
+    stratum = Window.partitionBy(*qcs).orderBy("_digest", *order)
+    whole = stratum.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
     target = rule(F.col("_size"))
     kept = F.col("_rank") <= whole_rows(target)
     if tail:
         kept = kept | (second_draw(F.col("_digest")) < threshold(tail_rate(target, F.col("_size"))))
     return (
         source.withColumn("_digest", row_digest(key, seed))
-        .withColumn("_size", F.count("*").over(stratum))
-        .withColumn("_rank", F.row_number().over(stratum.orderBy(*_ranked_order(order))))
+        .withColumns(
+            {"_size": F.count("*").over(whole), "_rank": F.row_number().over(stratum)}
+        )
         .where(kept)
         .drop("_digest", "_size", "_rank")
     )

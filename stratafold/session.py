@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 CHECKPOINT_DIR = "spark.checkpoint.dir"
+COMPACT_BELOW = 0.25
 _LOCAL_FOLDERS: dict[str, str] = {}
 
 
@@ -68,6 +69,16 @@ def pin(df: DataFrame, label: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def compact(df: DataFrame, share: float = 0.0) -> DataFrame:
+    """Rows that kept the partitions of a much larger table, in files of a sensible size.
+
+    A filter that keeps a ``share`` of the rows leaves one small file per task.
+    Rebalancing moves the kept rows once and lets AQE pick the number of files,
+    splitting large ones; where most rows are kept it would not pay.
+    """
+    return df.hint("rebalance") if share < COMPACT_BELOW else df
+
+
 def literal_rows(spark: SparkSession, rows: list[tuple], schema: StructType) -> DataFrame:
     """A few rows known on the driver, as literals of the plan; no Python workers."""
     structs = [

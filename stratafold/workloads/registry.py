@@ -11,7 +11,7 @@ from pyspark.sql.types import StructType
 from stratafold.engine import Engine
 from stratafold.operators import approx, evaluate, joins, sampling, strata
 from stratafold.plans import advisor, prejoins
-from stratafold.session import literal_rows, pin, scratch_path
+from stratafold.session import compact, literal_rows, pin, scratch_path
 from stratafold.sources.log import DELETED, latest, live_entries
 from stratafold.sources.prejoin_file import prejoin_specs, read_prejoin_file
 from stratafold.sources.store import Store
@@ -54,7 +54,7 @@ def _sampled(tables, query: QuerySpec, **more) -> tuple[DataFrame, DataFrame]:
         **_options(query.fact),
         **more,
     )
-    return pin(sample, "sample"), sizes
+    return pin(compact(sample), "sample"), sizes
 
 
 def _rounded(df: DataFrame, digits: int = 2) -> DataFrame:

@@ -7,8 +7,8 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.operators.joins import all_of
-from stratafold.spec import QuerySpec
+from stratafold.operators.joins import all_of, star_join
+from stratafold.spec import JoinPair, QuerySpec
 from stratafold.workloads.star import aggregate, money, star_query
 
 NAMES = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events")
@@ -238,12 +238,10 @@ def orders_channel(tables: Mapping[str, DataFrame], year: int) -> DataFrame:
     )
 
 
-def lineitem_channel_rows(
-    lineitem: DataFrame, tables: Mapping[str, DataFrame]
-) -> DataFrame:
-    return lineitem.join(
-        tables["orders"], F.col("l_orderkey") == F.col("o_orderkey")
-    ).join(active_segments(tables), F.col("o_custkey") == F.col("c_custkey"))
+def lineitem_channel_rows(lineitem: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
+    chosen = {"lineitem": lineitem, "orders": tables["orders"], "customer": active_segments(tables)}
+    pairs = [JoinPair.parse(ORDER), JoinPair.parse(CUSTOMER)]
+    return star_join("lineitem", chosen, ["orders", "customer"], pairs)
 
 
 def two_channels(lineitem: DataFrame, tables: Mapping[str, DataFrame], year: int = 1999):

@@ -184,3 +184,21 @@ def test_the_cutoff_scan_reads_key_and_query_columns_only(spark, skewed):
         sampling.pin = keep
     plan = dict(seen)["cutoffs"]
     assert "ReadSchema: struct<id:bigint,k:string>" in plan
+
+
+def test_many_small_strata_are_ranked_with_one_shuffle_and_one_sort(skewed, monkeypatch):
+    monkeypatch.setattr(sampling, "MAX_BROADCAST_STRATA", 5)
+    df = stratified_sample(skewed, ["k"], ["id"])
+    plan = df._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan =="):]
+    assert physical.count("Exchange hashpartitioning") == 1
+    assert physical.count("Sort [") == 1
+
+
+def test_a_thin_sample_is_written_in_few_files(skewed, tmp_path):
+    from stratafold.session import compact
+
+    thin = uniform_sample(skewed.repartition(40), 0.01, ["id"])
+    compact(thin, 0.01).write.parquet(str(tmp_path / "few"))
+    assert len(list((tmp_path / "few").glob("*.parquet"))) <= 2
+    assert compact(thin, 0.9) is thin
