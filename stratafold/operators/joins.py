@@ -19,11 +19,6 @@ def any_of(conditions: Iterable[Column]) -> Column:
     return reduce(lambda a, b: a | b, conditions)
 
 
-def same_values(left: DataFrame, right: DataFrame, columns: Sequence[str]) -> Column:
-    """Equality on all columns with NULL equal to NULL."""
-    return all_of(left[c].eqNullSafe(right[c]) for c in columns)
-
-
 def null_safe_join(
     left: DataFrame, right: DataFrame, columns: Sequence[str], how: str = "inner"
 ) -> DataFrame:

@@ -75,7 +75,8 @@ def samples_to_create(queries: Sequence[QuerySpec], advice: DataFrame) -> list[S
         query = by_id[row["query_id"]]
         shape = (query.fact, query.qcs, query.tables, query.pairs)
         if row["advice"] == UNIFORM:
-            samples.append(SampleSpec(UNIFORM, *shape, ratio=round(row["ratio"], 6) or row["ratio"]))
+            ratio = round(row["ratio"], 6) or row["ratio"]
+            samples.append(SampleSpec(UNIFORM, *shape, ratio=ratio))
         elif row["advice"] == STRATIFIED:
             samples.append(SampleSpec(STRATIFIED, *shape))
     return list(dict.fromkeys(samples))

@@ -33,7 +33,8 @@ class Store:
         self.root = f"{root.rstrip('/')}/{database}"
         self.database = database
         self._clock = datetime.min.replace(tzinfo=UTC)
-        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}`")
+        folder = self.root.replace("'", "\\'")
+        spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{folder}'")
         self.version = 0  # changes with the log
         self._create_log()
         self.refresh()

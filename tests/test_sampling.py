@@ -1,3 +1,4 @@
+import random
 from collections import Counter
 
 import pytest
@@ -109,7 +110,9 @@ def test_same_rows_whatever_the_partitioning(skewed):
 def test_copies_of_one_row_hold_a_third_of_the_table(spark):
     """The key of one row is repeated; the sample still has exactly n rows per stratum."""
     base = spark.range(6000).withColumn("copy", F.lit(0))
-    copies = spark.range(3000).select(F.lit(77).cast("bigint").alias("id"), F.col("id").alias("copy"))
+    copies = spark.range(3000).select(
+        F.lit(77).cast("bigint").alias("id"), F.col("id").alias("copy")
+    )
     df = base.where("id <> 77").unionByName(copies).repartition(5)
     df = df.withColumn("k", F.lit("only"))
     for n in (1, 10, 3000, 5000, 8999, 9000):
@@ -134,9 +137,8 @@ def test_copies_that_fit_partly_in_several_strata(spark, monkeypatch):
 
 
 def test_position_as_key_of_a_table_with_copies(spark, tmp_path):
-    spark.range(900).select(F.lit("x").alias("k"), F.lit(5).alias("v")).repartition(3).write.parquet(
-        str(tmp_path / "t")
-    )
+    copies = spark.range(900).select(F.lit("x").alias("k"), F.lit(5).alias("v"))
+    copies.repartition(3).write.parquet(str(tmp_path / "t"))
     df = with_position(spark.read.parquet(str(tmp_path / "t")))
     got = min_row_sample(df, ["k"], 100, ["_file", "_row"], tail=False, columns=["k", "v"])
     assert got.count() == 100 and got.columns == ["k", "v"]
@@ -202,3 +204,24 @@ def test_a_thin_sample_is_written_in_few_files(skewed, tmp_path):
     compact(thin, 0.01).write.parquet(str(tmp_path / "few"))
     assert len(list((tmp_path / "few").glob("*.parquet"))) <= 2
     assert compact(thin, 0.9) is thin
+
+
+@pytest.mark.parametrize("seed", range(4))
+def test_random_tables_with_copies_and_nulls(spark, seed):
+    """Strata of all sizes, NULL strata, keys repeated up to dozens of times."""
+    rng = random.Random(seed)
+    rows = []
+    for stratum in [None, *range(rng.randrange(2, 7))]:
+        for _ in range(rng.randrange(1, 400)):
+            key = rng.randrange(5) if rng.random() < 0.4 else rng.randrange(10**6)
+            rows.append((stratum, rng.choice([None, "a", "b"]), key, len(rows)))
+    df = spark.createDataFrame(rows, "a bigint, b string, key bigint, seq bigint")
+    df = df.repartition(rng.randrange(1, 6))
+    n = rng.randrange(1, 40)
+    got = min_row_sample(df, ["a", "b"], n, ["key"], order=["seq"], seed=seed, tail=False)
+    want = []
+    digests = df.withColumn("d", row_digest(["key"], seed)).collect()
+    for group in {(r["a"], r["b"]) for r in digests}:
+        members = [r for r in digests if (r["a"], r["b"]) == group]
+        want += sorted(members, key=lambda r: (r["d"], r["seq"]))[:n]
+    assert sorted(r["seq"] for r in got.collect()) == sorted(r["seq"] for r in want)

@@ -24,13 +24,15 @@ def null_keys(spark):
 
 
 def test_null_keys_are_strata(null_keys):
-    sizes = {(r["k1"], r["k2"]): r["groupsize"] for r in stratum_sizes(null_keys, ["k1", "k2"]).collect()}
+    rows = stratum_sizes(null_keys, ["k1", "k2"]).collect()
+    sizes = {(r["k1"], r["k2"]): r["groupsize"] for r in rows}
     assert len(sizes) == 12 and set(sizes.values()) == {20}
     assert (None, None) in sizes
 
 
 def test_targets_follow_the_formula(spark):
-    sizes = spark.createDataFrame([(g,) for g in (1, 2, 100, 16589, 10**6, 10**11)], "groupsize bigint")
+    groups = [(g,) for g in (1, 2, 100, 16589, 10**6, 10**11)]
+    sizes = spark.createDataFrame(groups, "groupsize bigint")
     s0 = 2.576**2 * 0.25 / 0.01**2
     for row in with_targets(sizes).collect():
         g = row["groupsize"]
