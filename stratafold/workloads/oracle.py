@@ -268,10 +268,10 @@ def report(query: str, rows: str, qcs: tuple[str, ...]) -> str:
     return f"""
       SELECT '{query}' AS query_id, count(*) AS exact_groups, count(seen) AS sample_groups,
         count(CASE WHEN seen IS NOT NULL AND ({skipped}) THEN 1 END) AS skipped_groups,
-        round((count(*) - count(seen)) / count(*), 6) AS missing_group_ratio,
-        round({mean_error(truncated, aggs)}, 6) AS avg_pct_error,
-        round({mean_error(relative, aggs)}, 6) AS avg_rel_error,
-        round(avg({self_terms}) / {len(aggs)}, 6) AS self_scaled_error
+        round((count(*) - count(seen)) / count(*), 8) AS missing_group_ratio,
+        round({mean_error(truncated, aggs)}, 8) AS avg_pct_error,
+        round({mean_error(relative, aggs)}, 8) AS avg_rel_error,
+        round(avg({self_terms}) / {len(aggs)}, 8) AS self_scaled_error
       FROM (SELECT {truth}, {guess}, {own}, p.groupsize AS seen
             FROM ({answer(fact)}) o LEFT JOIN ({est}) e USING ({keys})
             LEFT JOIN ({answer(f'({rows}) x')}) p USING ({keys})) b"""

@@ -25,6 +25,8 @@ NATION_ROWS = 200
 UNIFORM_RATIO = 0.1
 CHANNEL_QCS = ["c_nationkey", "o_year"]
 CHANNEL_YEAR = 1999
+# means of errors in steps of 1e-5: fewer digits could fall on a tie
+ERROR_DIGITS = 8
 
 
 # -- shared steps ----------------------------------------------------------------
@@ -374,7 +376,7 @@ def avg_pct_error(spark, folder):
     scaled = approx.self_scaled(
         exact, query.template(sample, tables), query.groups, query.aggs
     )
-    return _rounded(evaluate.avg_pct_error(exact, scaled, query.groups, query.aggs), 8)
+    return _rounded(evaluate.avg_pct_error(exact, scaled, query.groups, query.aggs), ERROR_DIGITS)
 
 
 def avg_pct_error_prescaled(spark, folder):
@@ -383,7 +385,7 @@ def avg_pct_error_prescaled(spark, folder):
     sample, sizes = _sampled(tables, query)
     scaled = query.sample_template(sample, tables, sizes, _made(query))
     exact = query.template(tables["lineitem"], tables)
-    return _rounded(evaluate.compare_answers(exact, scaled, query.groups, query.aggs), 8)
+    return _rounded(evaluate.compare_answers(exact, scaled, query.groups, query.aggs), ERROR_DIGITS)
 
 
 def missing_group_ratio(spark, folder):
@@ -394,7 +396,7 @@ def missing_group_ratio(spark, folder):
         tables["lineitem"], UNIFORM_RATIO, tpch.KEYS["lineitem"]
     )
     exact, seen = (query.template(rows, tables) for rows in (tables["lineitem"], sample))
-    return _rounded(evaluate.missing_group_ratio(exact, seen), 8)
+    return _rounded(evaluate.missing_group_ratio(exact, seen), ERROR_DIGITS)
 
 
 REPORT = [
@@ -424,7 +426,7 @@ def evaluate_all(spark, folder):
     report = engine.evaluate_all(workload)
     # the readable part of the sample's name, without its digest
     label = F.regexp_replace("sample", "__[0-9a-f]{10}$", "").alias("sample")
-    return _rounded(report.select(label, *REPORT), 6)
+    return _rounded(report.select(label, *REPORT), ERROR_DIGITS)
 
 
 def evaluate_sample(spark, folder):
@@ -432,7 +434,7 @@ def evaluate_sample(spark, folder):
     engine = _engine(spark, tpch.load(spark, folder))
     spec = engine.create_min_row_sample(["lineitem"], FLAGS, FLAG_ROWS)
     report = engine.evaluate_sample(spec.label, ["flag", "59"], tpch.workload())
-    return _rounded(report.select(*REPORT), 6)
+    return _rounded(report.select(*REPORT), ERROR_DIGITS)
 
 
 # -- metadata log ----------------------------------------------------------------
