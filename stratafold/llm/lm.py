@@ -21,8 +21,8 @@ from stratafold.llm.lattice import Lattice
 from stratafold.session import pin
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
-#: Commonest words that every task holds; the others are joined.
-HEAD_WORDS = 300_000
+#: Commonest words that every task holds, at most; the others are joined.
+HEAD_WORDS = 100_000
 #: Words that a task counts before it hands them on.
 COUNTED_TOGETHER = 400_000
 #: Weight of the vocabulary's own scores, in pieces per piece of the vocabulary.
@@ -181,6 +181,23 @@ def word_scores(words: DataFrame, model: Model) -> DataFrame:
     return arrow_rows(words, make, "word binary, c long, total long, score double, base double")
 
 
+def _common(scored: DataFrame, most: int) -> dict[bytes, tuple[float, float, bool]]:
+    """Base, score and knownness of the commonest words, at most ``most`` of them.
+
+    The least count that lets in no more is found on a histogram in steps of a sixteenth of a
+    power of two, so no words are sorted.
+    """
+    step = F.floor(F.log2("total") * 16)
+    histogram = scored.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect()
+    least, room = math.inf, most
+    for r in sorted(histogram, reverse=True):
+        if r.n > room:
+            break
+        least, room = r.step, room - r.n
+    head = scored.where(step >= F.lit(least)).select("word", "base", "score", F.col("c") > 0)
+    return {bytes(w): (b, s, known) for w, b, s, known in head.collect()}
+
+
 def score(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: int = HEAD_WORDS) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for every row.
 
@@ -200,12 +217,7 @@ def score(docs: DataFrame, vocabulary: str = VOCABULARY, head_words: int = HEAD_
     model = fit(words, given.where("NOT held_out").count(), vocabulary)
     scored = pin(word_scores(words, model), "lm-scores")
 
-    head = scored.orderBy(F.desc("total"), "word").limit(head_words).toPandas()
-    common = {
-        w: (b, s, c > 0)
-        for w, b, s, c in zip(map(bytes, head["word"]), head["base"], head["score"], head["c"])
-    }
-    del head
+    common = _common(scored, head_words)
     shared = spark.sparkContext.broadcast(common)
     end_base, end_score = model.base(model.ends), model.end()
 
