@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import lm, mixing, quality, sharding, vectors
+from stratafold.llm import decontaminate, lm, minhash, mixing, quality, sharding, vectors
 from stratafold.llm.common import table
 
 
@@ -34,11 +34,23 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scored.select("doc_id", quality.held_out().alias("held_out"), "score", "predicted")
 
 
+def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.contamination(
+        table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")
+    )
+
+
+def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_lattice": op2_lattice,
     "op3_cross_polytope": op3_cross_polytope,
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
+    "op6_decontamination": op6_decontamination,
+    "op8_minhash": op8_minhash,
 }
 ORACLE = {"op5_mixing": mixing.oracle_sql()}
