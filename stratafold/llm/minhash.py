@@ -285,3 +285,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
     )
+
+
+def deduplicated(docs: DataFrame) -> DataFrame:
+    """``docs`` without near duplicates: of each component the rows with its smallest doc_id stay.
+
+    Rows without shingles, and rows without a doc_id that have no duplicate with one, stay too.
+    """
+    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    dropped = pin(dropped, "minhash-dropped")
+    same = docs["doc_id"].eqNullSafe(dropped["doc_id"])
+    return docs.join(dropped, same, "left_anti")

@@ -5,7 +5,18 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm import decontaminate, lm, minhash, mixing, quality, sharding, vectors
+from stratafold.llm import (
+    decontaminate,
+    html_text,
+    lm,
+    minhash,
+    mixing,
+    pii,
+    quality,
+    secret_scan,
+    sharding,
+    vectors,
+)
 from stratafold.llm.common import table
 
 
@@ -40,10 +51,22 @@ def op6_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op7_personal_data(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.detect(table(spark, sf_dir, "documents"))
+
+
 def op8_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op9_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return secret_scan.detect(table(spark, sf_dir, "documents"))
+
+
+def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_text.extract(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_lattice": op2_lattice,
@@ -51,6 +74,9 @@ QUERIES = {
     "op4_quality": op4_quality,
     "op5_mixing": op5_mixing,
     "op6_decontamination": op6_decontamination,
+    "op7_personal_data": op7_personal_data,
     "op8_minhash": op8_minhash,
+    "op9_secrets": op9_secrets,
+    "op10_html": op10_html,
 }
 ORACLE = {"op5_mixing": mixing.oracle_sql()}
