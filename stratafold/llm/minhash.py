@@ -2,13 +2,15 @@
 
 Documents are posted under every (coordinate, value) of their signature. Pairs with at least
 MATCHES equal coordinates share one among the COORDINATES - MATCHES + 1 rarest of each, so only
-that prefix is posted (prefix merging), and lists that hold one component by now are passed over
-(skip merging). Pairs that reach the threshold are confirmed on the full shingle sets.
+that prefix is posted (prefix merging), and documents whose prefix no other shares are passed over
+(skip merging). Documents connected by such pairs are a family; within families links are
+confirmed on the full shingle sets. All pairs are compared, but only links that connect go on.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -22,8 +24,10 @@ COORDINATES, MATCHES = 32, 18
 PREFIX = COORDINATES - MATCHES + 1
 #: Percent of the union that the intersection holds at least.
 PERCENT = 85
-#: Rounds in which lists are linked through one member before what is left is paired up.
-STAR_ROUNDS = 2
+#: Nodes of a list, and of a family, that one block holds, about.
+LIST_BLOCK, FAMILY_BLOCK = 512, 128
+#: Groups that families of one block are gathered into, and shingles that are compared at once.
+BINS, SLICE = 1024, 8192
 _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_CACHED = 400_000
 
@@ -128,48 +132,109 @@ def _postings(classes: DataFrame) -> DataFrame:
     return kept.select("node", F.explode("kept.token").alias("token"))
 
 
-def _alike(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the pairs (a, b), those whose signatures collide in MATCHES coordinates or more."""
-    kept = classes.select("node", "signature")
-    left = kept.select(F.col("node").alias("a"), F.col("signature").alias("x"))
-    right = kept.select(F.col("node").alias("b"), F.col("signature").alias("y"))
-
-    def make():
-        def work(batch):
-            def values(name):
-                raw = b"".join(batch[name].to_pylist())
-                return np.frombuffer(raw, np.uint32).reshape(-1, COORDINATES)
+def _forest(near: np.ndarray) -> list[tuple[int, int]]:
+    """Edges of a spanning forest of the graph with this symmetric adjacency matrix."""
+    out, left = [], np.ones(len(near), bool)
+    for start in range(len(near)):
+        if not left[start]:
+            continue
+        left[start] = False
+        stack = [start]
+        while stack:
+            x = stack.pop()
+            met = np.flatnonzero(near[x] & left)
+            left[met] = False
+            out += [(x, int(y)) for y in met]
+            stack += met.tolist()
+    return out
 
-            keep = (values("x") == values("y")).sum(1) >= MATCHES
-            some = batch.filter(keep)
-            yield {"a": some["a"].to_pylist(), "b": some["b"].to_pylist()}
 
-        return work
+def _block_pairs(df: DataFrame, size: Column, together: int) -> DataFrame:
+    """Rows of a group of ``size`` rows dealt to pairs of blocks (i, j), so that every two rows
+    of the group meet in one of them and no task holds more than two blocks."""
+    blocks = F.ceil(size / together)
+    dealt = df.withColumns(
+        {"_of": blocks, "_own": F.pmod(F.xxhash64("node"), blocks)}
+    ).withColumn("_other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("_of") - 1)))
+    return dealt.withColumns(
+        {"i": F.least("_own", "_other"), "j": F.greatest("_own", "_other")}
+    ).drop("_own", "_other", "_of")
 
-    return arrow_rows(pairs.join(left, "a").join(right, "b"), make, "a binary, b binary")
 
+def _alike(lists: DataFrame, classes: DataFrame) -> DataFrame:
+    """(a, b): links that connect all nodes of a list whose signatures collide in MATCHES or more.
 
-def _confirmed(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """Pairs whose full shingle sets reach the threshold."""
-    left = sets.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
-    right = sets.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
+    Lists are merged in pairs of blocks; of the collisions found there only a spanning forest
+    goes on, so the output is no longer than the postings.
+    """
+    sizes = lists.groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+    posted = lists.join(sizes.where("n > 1"), "token").join(
+        classes.select("node", "signature"), "node"
+    )
+    merged = _block_pairs(posted, F.col("n"), LIST_BLOCK).groupBy("token", "i", "j").agg(
+        F.collect_list("node").alias("nodes"), F.collect_list("signature").alias("signatures")
+    )
 
     def make():
         def work(batch):
-            keep = []
-            for x, y in zip(batch["x"].to_pylist(), batch["y"].to_pylist()):
-                x, y = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
-                small, large = (x, y) if len(x) <= len(y) else (y, x)
-                at = np.searchsorted(large, small)
-                at[at == len(large)] = 0
-                both = int((large[at] == small).sum())
-                keep.append(100 * both >= PERCENT * (len(x) + len(y) - both))
-            some = batch.filter(np.array(keep, bool))
-            yield {"a": some["a"].to_pylist(), "b": some["b"].to_pylist()}
+            a, b = [], []
+            for nodes, raw in zip(batch["nodes"].to_pylist(), batch["signatures"].to_pylist()):
+                found = np.frombuffer(b"".join(raw), np.uint32).reshape(-1, COORDINATES)
+                same = np.zeros((len(nodes), len(nodes)), np.uint8)
+                for column in found.T:
+                    same += column[:, None] == column[None, :]
+                for x, y in _forest(same >= MATCHES):
+                    a.append(min(nodes[x], nodes[y]))
+                    b.append(max(nodes[x], nodes[y]))
+            yield {"a": a, "b": b}
 
         return work
 
-    return arrow_rows(pairs.join(left, "a").join(right, "b"), make, "a binary, b binary")
+    return arrow_rows(merged.select("nodes", "signatures"), make, "a binary, b binary").distinct()
+
+
+def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
+    """Sizes of all pairwise intersections, over slices of the shingles that occur."""
+    every = np.unique(np.concatenate(sets))
+    out = np.zeros((len(sets), len(sets)), np.float64)
+    for at in range(0, len(every), SLICE):
+        some = every[at : at + SLICE]
+        held = np.zeros((len(sets), len(some)), np.float32)
+        for i, one in enumerate(sets):
+            low = np.searchsorted(one, some[0], side="left")
+            high = np.searchsorted(one, some[-1], side="right")
+            held[i, np.searchsorted(some, one[low:high])] = 1
+        out += held @ held.T
+    return out
+
+
+def _confirmed(members: DataFrame) -> DataFrame:
+    """(a, b): links that connect what full sets link within (family, node, shingles)."""
+    sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
+    small = F.concat(F.lit("small"), F.pmod(F.xxhash64("family"), F.lit(BINS))).cast("binary")
+    dealt = _block_pairs(members.join(sizes, "family"), F.col("n"), FAMILY_BLOCK)
+    # families of one block share tasks' groups; larger ones have groups of their own
+    dealt = dealt.withColumn("bin", F.when(F.col("n") <= FAMILY_BLOCK, small).otherwise(F.col("family")))
+
+    def confirm(group: pa.Table) -> pa.Table:
+        a, b = [], []
+        families: dict[bytes, list[int]] = {}
+        for row, family in enumerate(group["family"].to_pylist()):
+            families.setdefault(family, []).append(row)
+        for rows_ in families.values():
+            part = group.take(rows_)
+            nodes = part["node"].to_pylist()
+            sets = [np.frombuffer(x, np.uint64) for x in part["shingles"].to_pylist()]
+            both = _overlaps(sets)
+            counts = np.array([len(x) for x in sets], np.float64)
+            union = counts[:, None] + counts[None, :] - both
+            for x, y in _forest(100 * both >= PERCENT * union):
+                a.append(min(nodes[x], nodes[y]))
+                b.append(max(nodes[x], nodes[y]))
+        return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
+
+    groups = dealt.select("bin", "i", "j", "family", "node", "shingles").groupBy("bin", "i", "j")
+    return groups.applyInArrow(confirm, "a binary, b binary")
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -196,27 +261,6 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def _across(placed: DataFrame) -> DataFrame:
-    """Pairs within a list (token, node, root) whose nodes have different roots.
-
-    One side leaves out the list's largest component, so a large one costs its size times the
-    number of others, not its square.
-    """
-    sizes = placed.groupBy("token", "root").agg(F.count(F.lit(1)).alias("n"))
-    largest = sizes.groupBy("token").agg(F.max(F.struct("n", "root")).alias("top"))
-    placed = placed.join(largest.select("token", F.col("top.root").alias("main")), "token")
-    p, q = placed.where("root <> main").alias("p"), placed.alias("q")
-    once = (F.col("q.root") == F.col("q.main")) | (F.col("p.node") < F.col("q.node"))
-    met = p.join(
-        q, (F.col("p.token") == F.col("q.token")) & (F.col("p.root") != F.col("q.root")) & once
-    )
-    return met.select(*_ordered(F.col("p.node"), F.col("q.node"))).distinct()
-
-
-def _ordered(a: Column, b: Column) -> list[Column]:
-    return [F.least(a, b).alias("a"), F.greatest(a, b).alias("b")]
-
-
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
@@ -240,40 +284,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         "minhash-classes",
     )
     lists = pin(_postings(classes), "minhash-lists")
-    wanted = lists.select("node").distinct()
-    named = classes.select("node", F.col("least").alias("doc_id")).join(wanted, "node", "left_semi")
-    sets = pin(_sets(docs, named), "minhash-sets")
-
-    links, roots = None, wanted.select("node", F.col("node").alias("root"))
-    for turn in range(STAR_ROUNDS + 1):
-        placed = lists.join(roots, "node")
-        if turn:
-            spread = placed.groupBy("token").agg(
-                F.min("root").alias("low"), F.max("root").alias("high")
-            )
-            mixed_lists = spread.where("low <> high").select("token")
-            placed = placed.join(mixed_lists, "token")
-            placed = pin(placed, "minhash-open")
-            if placed.isEmpty():
-                break
-        if turn < STAR_ROUNDS:
-            by = F.xxhash64("node", F.lit(turn))
-            middle = placed.groupBy("token").agg(
-                F.min(F.struct(by.alias("h"), "node", "root")).alias("m")
-            )
-            met = placed.join(middle, "token").where("root <> m.root")
-            pairs = met.select(*_ordered(F.col("node"), F.col("m.node"))).distinct()
-        else:
-            pairs = _across(placed)
-        found = _confirmed(pin(_alike(pairs, classes), "minhash-alike"), sets)
-        found = pin(found, "minhash-links")
-        if found.isEmpty():
-            continue
-        links = found if links is None else links.union(found)
-        labels = components(links, "minhash-components")
-        roots = wanted.join(labels, "node", "left").withColumn("root", F.coalesce("root", "node"))
-        roots = pin(roots, "minhash-roots")
-
+    families = components(_alike(lists, classes), "minhash-families")
+    named = classes.select("node", F.col("least").alias("doc_id")).join(families, "node", "left_semi")
+    members = _sets(docs, named).join(
+        families.select("node", F.col("root").alias("family")), "node"
+    )
+    roots = components(_confirmed(pin(members, "minhash-members")), "minhash-components")
     nodes = classes.select("node", "least").join(roots, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
