@@ -180,21 +180,32 @@ def _matches(postings: DataFrame, items: Items, rare: dict, frequency: np.ndarra
 
     def make():
         block, counts, anchors = shared.value
-        anchor_set = {(i, p) for where in anchors.values() for i, p in where}
+        places = {(i, p) for where in anchors.values() for i, p in where}
+        spans: dict[int, dict[int, list[frozenset[int]]]] = {}
+        for item, first, terms in block.windows():
+            offset = int(np.lexsort((terms, counts[terms]))[0])
+            if (item, first + offset) in places:
+                middle = int(terms[offset])
+                others = frozenset(terms.tolist()) - {middle}
+                spans.setdefault(item, {}).setdefault(middle, []).append(others)
 
         def work(batch):
             out = {"row": batch["row"].to_pylist(), "hits": [], "found": [], "near": []}
             for lists, aligned in zip(batch["lists"].to_pylist(), batch["aligned"].to_pylist()):
                 at = {x["term"]: np.sort(np.array(x["positions"])) for x in lists}
+                where = np.concatenate([*at.values()])
+                order = np.argsort(where)
+                where = where[order]
+                which = np.repeat(list(at), [len(x) for x in at.values()])[order]
                 hits, found, near = set(), set(), set()
                 for entry in aligned:
                     item = entry["item"]
-                    text = block.texts[item]
-                    exact = _phrases(text, np.sort(np.array(entry["starts"])), at, counts)
+                    starts = np.sort(np.array(entry["starts"]))
+                    exact = _phrases(block.texts[item], starts, where, which)
                     if exact:
                         found.add(block.names[item])
                         hits.update(exact)
-                    if exact or _close(item, text, at, counts, anchor_set):
+                    if exact or _close(spans.get(item, {}), at):
                         near.add(block.names[item])
                 out["hits"].append(sorted(hits))
                 out["found"].append(sorted(found))
@@ -207,46 +218,40 @@ def _matches(postings: DataFrame, items: Items, rare: dict, frequency: np.ndarra
     return arrow_rows(lists.join(aligned, "row"), make, schema)
 
 
-_NONE = np.zeros(0, np.int64)
+def _phrases(text, starts, where, which) -> set[int]:
+    """Document positions inside occurrences of the item's windows.
 
-
-def _phrases(text, starts, at, counts) -> set[int]:
-    """Document positions inside occurrences of the item's windows."""
+    ``starts`` are the alignments that the rarest terms' lists leave; ``where`` and ``which``
+    are the positions and terms of all lists of the document.
+    """
     size, hits = min(WINDOW, len(text)), set()
-    matched = np.zeros((len(starts), len(text)), np.int32)
-    for place in np.lexsort((text, counts[text])):
-        positions = at.get(int(text[place]), _NONE)
-        matched[:, place] = np.isin(starts + place, positions)
+    wanted = starts[:, None] + np.arange(len(text))
+    at = np.minimum(np.searchsorted(where, wanted), len(where) - 1)
+    matched = (where[at] == wanted) & (which[at] == text)
+    if matched.sum(1).max() < size:
+        return hits
     sums = np.cumsum(np.pad(matched, ((0, 0), (1, 0))), axis=1)
-    whole = sums[:, size:] - sums[:, :-size] == size
-    for s, first in zip(*np.nonzero(whole)):
+    for s, first in zip(*np.nonzero(sums[:, size:] - sums[:, :-size] == size)):
         begin = int(starts[s] + first)
         hits.update(range(begin, begin + size))
     return hits
 
 
-def _close(item, text, at, counts, anchors) -> bool:
+def _close(spans: dict[int, list[frozenset[int]]], at: dict[int, np.ndarray]) -> bool:
     """Whether all terms of a window stand within WINDOW - 1 + SLOP words of its rarest term."""
-    size, reach = min(WINDOW, len(text)), WINDOW - 1 + SLOP
-    gaps: dict[int, dict[int, np.ndarray]] = {}
-    for first in range(len(text) - size + 1):
-        terms = text[first : first + size]
-        if any(int(t) not in at for t in terms):
-            continue
-        offset = int(np.lexsort((terms, counts[terms]))[0])
-        if (item, first + offset) not in anchors:
+    reach = WINDOW - 1 + SLOP
+    for middle, windows in spans.items():
+        if middle not in at:
             continue
-        middle = int(terms[offset])
-        near = np.ones(len(at[middle]), bool)
-        for term in set(terms.tolist()) - {middle}:
-            known = gaps.setdefault(middle, {})
-            if term not in known:
+        for others in windows:
+            if not others <= at.keys():
+                continue
+            near = np.ones(len(at[middle]), bool)
+            for term in others:
                 low = np.searchsorted(at[term], at[middle] - reach)
-                high = np.searchsorted(at[term], at[middle] + reach, side="right")
-                known[term] = high > low
-            near &= known[term]
-        if near.any():
-            return True
+                near &= np.searchsorted(at[term], at[middle] + reach, side="right") > low
+            if near.any():
+                return True
     return False
 
 

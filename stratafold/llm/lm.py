@@ -53,7 +53,7 @@ def _counted(df: DataFrame) -> DataFrame:
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(words, pa.binary()),
-                        pa.array([bool(trained)] * len(words)),
+                        pa.array([bool(trained)] * len(words), pa.bool_()),
                         pa.array(list(counter.values()), pa.int64()),
                     ],
                     names=["word", "trained", "n"],

@@ -18,8 +18,8 @@ from stratafold.session import pin
 KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, how far windows overlap, context around digits and at signs.
 WINDOW, OVERLAP, CONTEXT = 64, 24, 20
-#: Windows that the model is trained on, at most; passes over them; size of the model.
-TRAINED, EPOCHS, BATCH, HIDDEN, EMBEDDED = 900, 10, 48, 14, 10
+#: Windows that the model is trained on, at most; steps, and windows a step; size of the model.
+TRAINED, STEPS, BATCH, HIDDEN, EMBEDDED = 900, 300, 48, 14, 10
 #: Windows that are scored together.
 TOGETHER = 256
 
@@ -161,8 +161,9 @@ class Tagger:
         codes, mask = encoded(texts)
         adam = Adam([self.embedding, *self.network.arrays, self.moves], 0.02)
         order = np.random.default_rng(5)
-        for _ in range(EPOCHS):
-            for some in np.array_split(order.permutation(len(texts)), -(-len(texts) // BATCH)):
+        batches = -(-len(texts) // BATCH)
+        for _ in range(-(-STEPS // batches)):
+            for some in np.array_split(order.permutation(len(texts)), batches):
                 x, m = codes[some], mask[some]
                 scores, state = self.network.run(self.embedding[x].transpose(1, 0, 2), m.T)
                 _, d_scores, d_moves = gradient(scores.transpose(1, 0, 2), tags[some], m, self.moves)
