@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import time
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stratafold.functions.sizing import cochran
+from stratafold.functions.state import state_of
 from stratafold.operators.approx import self_scaled
 from stratafold.operators.evaluate import compare_answers
 from stratafold.operators.joins import join_losses, star_join
@@ -37,6 +39,10 @@ from stratafold.spec import (
 )
 
 
+def digest(content: str) -> str:
+    return hashlib.md5(content.encode()).hexdigest()[:12]
+
+
 class Engine:
     """Sampling for one database of tables.
 
@@ -59,6 +65,20 @@ class Engine:
         self.seed = seed
         self.spark = store.spark
         self._prejoins: tuple[int, list] = (-1, [])
+        self._states: dict[str, tuple[DataFrame, str]] = {}
+
+    # -- states --------------------------------------------------------------
+
+    def _state(self, tables: Iterable[str]) -> str:
+        """The state of some tables; a frame's files are listed once, when it was made."""
+        for name in tables:
+            frame = self.tables[name]
+            if name not in self._states or self._states[name][0] is not frame:
+                self._states[name] = (frame, state_of(frame))
+        return ",".join(f"{name}:{self._states[name][1]}" for name in sorted(tables))
+
+    def _source_state(self, query: QuerySpec) -> str:
+        return self._state({query.fact, *query.tables})
 
     # -- prejoins ------------------------------------------------------------
 
@@ -94,6 +114,7 @@ class Engine:
             "tables": sorted(prejoin.tables),
             "pairs": sorted(map(str, prejoin.pairs)),
             "lossy": sorted(row["dim"] for row in harmful),
+            "state": self._state(prejoin.tables),
         }
         self.store.append(("prejoin", prejoin.name, value))
 
@@ -111,8 +132,9 @@ class Engine:
         A prejoin that loses or multiplies fact rows cannot stand in for a
         smaller one; a query left without a source gets its own join.
         """
+        built = [p for p in self._stale_prejoins() if self.build_prejoin(p, overwrite=True)]
         chosen = prejoins_to_build(queries, self.prejoins(), self.store.database)
-        built = [p for p in chosen if self.build_prejoin(p)]
+        built += [p for p in chosen if self.build_prejoin(p)]
         for query in sorted(queries, key=lambda q: -len(q.tables)):
             if query.dims and best_prejoin(query, self.prejoins(), self.lossy_joins()) is None:
                 own = PrejoinSpec.of(self.store.database, query)
@@ -120,6 +142,12 @@ class Engine:
                     built.append(own)
         return built
 
+    def _stale_prejoins(self) -> list[PrejoinSpec]:
+        """Logged prejoins made of another state of their tables."""
+        logged = dict(self.store.entries("prejoin"))
+        known = [p for p in self.prejoins() if p.tables <= set(self.tables)]
+        return [p for p in known if logged[p.name].get("state") != self._state(p.tables)]
+
     def load_prejoins(self, path: str, facts: Sequence[str] | None = None) -> list[PrejoinSpec]:
         """Register described prejoins whose table exists."""
         described = read_prejoin_file(self.spark, path, facts or list(self.keys))
@@ -135,6 +163,8 @@ class Engine:
         prejoin = best_prejoin(query, self.prejoins(), self.lossy_joins())
         if prejoin is None:
             raise LookupError(f"no prejoin supports query {query.id}; build prejoins first")
+        if prejoin in self._stale_prejoins():
+            self.build_prejoin(prejoin, overwrite=True)
         return prejoin.name
 
     def source_of(self, query: QuerySpec) -> DataFrame:
@@ -147,11 +177,15 @@ class Engine:
     def profile(self, queries: Iterable[QuerySpec], overwrite: bool = False) -> None:
         """Store stratum sizes and their summary for queries that lack them.
 
-        All missing column sets of one source are counted in one scan.
+        A profile of another state of its tables counts as lacking. All missing column sets of one source are counted in one scan.
         """
         missing: dict[tuple, dict[str, QuerySpec]] = {}
         for query in queries:
-            if query.qcs and (overwrite or not self.store.exists(query.profile_name)):
+            if not query.qcs:
+                continue
+            state = self.store.latest("state", query.profile_name) or {}
+            current = state.get("tables") == self._source_state(query)
+            if overwrite or not current or not self.store.exists(query.profile_name):
                 source = (query.fact, self._source_name(query))
                 missing.setdefault(source, {}).setdefault(query.profile_name, query)
         for group in missing.values():
@@ -170,10 +204,12 @@ class Engine:
             columns = [*query.qcs, "groupsize", "target_group_sample_size"]
             schema = counted.select(*columns).schema
             folder = f"{path}/profile={position}"
-            summary = summaries[position]
-            del summary["profile"]
+            # an empty source has no strata and so no summary
+            summary = {name: summaries.get(position, {}).get(name, 0) or 0 for name in SUMMARY}
             entries.append(Store.table_entry(query.profile_name, folder, schema))
             entries.append(("stat", query.profile_name, summary))
+            state = {"tables": self._source_state(query)}
+            entries.append(("state", query.profile_name, state))
         self.store.append(*entries)
 
     def sizes(self, query: QuerySpec) -> DataFrame:
@@ -203,10 +239,6 @@ class Engine:
         query = sample.as_query()
         source = self.source_of(query)
         self.profile([query])
-        # sizes of another state of the source would lose the rows of new strata
-        counted = self.store.latest("stat", query.profile_name)["population_size"]
-        if counted != source.count():
-            self.profile([query], overwrite=True)
         options["sizes"] = self.sizes(query)
         if sample.kind == STRATIFIED:
             rule = cochran(sample.z, sample.e)
@@ -234,14 +266,17 @@ class Engine:
                 sample.name, compact(rows, self._expected_share(sample)), overwrite=True
             )
             self.store.analyze(sample.name)
+        for query_id in query_ids:  # an entry each: sessions that add queries lose none
+            key = f"{sample.name}/{query_id}"
+            if self.store.latest("sample_query", key) is None:
+                self.store.append(("sample_query", key, {"query": query_id}))
+        if not created and self.store.latest("sample", sample.name):
+            return False
         value = asdict(sample)
         value["tables"] = sorted(sample.tables)
         value["pairs"] = sorted(map(str, sample.pairs))
         value["label"] = sample.label
-        known = self.store.latest("sample", sample.name) or {}
-        value["queries"] = sorted({*query_ids, *known.get("queries", ())})
-        if created or value["queries"] != known.get("queries"):
-            self.store.append(("sample", sample.name, value))
+        self.store.append(("sample", sample.name, value))
         return created
 
     def create_advised(
@@ -293,7 +328,8 @@ class Engine:
                 value["min_rows"],
             )
             if self.store.exists(spec.name):
-                found.append((spec, tuple(value["queries"])))
+                users = self.store.entries("sample_query", f"{spec.name}/")
+                found.append((spec, tuple(sorted(v["query"] for _, v in users))))
         return found
 
     def drop_sample(self, sample: SampleSpec) -> None:
@@ -313,6 +349,8 @@ class Engine:
         if query.sample_template is None:
             raise ValueError(f"query {query.id} has no rescaled form")
         made = sample.as_query()
+        if sample.kind == UNIFORM:
+            return query.sample_template(self.sample_rows(sample), self.tables, None, sample)
         self.profile([made])
         return query.sample_template(
             self.sample_rows(sample), self.tables, self.sizes(made), sample
@@ -329,10 +367,14 @@ class Engine:
     ) -> DataFrame:
         """One row: groups, missing ratio, errors, and times if asked for.
 
-        Both answers are stored and used again by later evaluations; timing
-        computes them anew.
+        Both answers are stored under what they were made of, the query and the
+        state of the tables or the sample, and used again as long as that holds;
+        timing computes them anew.
         """
-        exact_name, plain_name = f"q{query.id}_orig", f"q{query.id}_{sample.name}"
+        content = f"{query!r}{query.groups}{query.aggs}{self._state(self.tables)}"
+        exact_name = f"q{query.id}_{digest(content)}_orig"
+        made_of = self.store.latest("table", sample.name)["path"]
+        plain_name = f"q{query.id}_{digest(content + made_of)}_{sample.name}"
         if measure_time and not self.store.analyzed(sample.name):
             self.store.analyze(sample.name)
         plain = query.template(self.sample_rows(sample), self.tables)
@@ -387,9 +429,10 @@ class Engine:
         measure_time: bool = False,
     ) -> DataFrame | None:
         """One sample, by name or label, against the listed queries."""
-        sample = next((s for s, _ in self.samples() if name in (s.name, s.label)), None)
-        if sample is None:
-            raise LookupError(f"no sample {name}")
+        named = [s for s, _ in self.samples() if name in (s.name, s.label)]
+        if len(named) != 1:
+            raise LookupError(f"{len(named) or 'no'} samples named {name}")
+        sample = named[0]
         chosen = [q for q in queries if q.id in set(query_ids) and q.template is not None]
         return self._union([self.evaluate(q, sample, measure_time) for q in chosen])
 

@@ -28,6 +28,7 @@ def rescaled(
     *,
     pinned: Mapping[str, Any] | None = None,
     where: Column | None = None,
+    ratio: float | None = None,
 ) -> DataFrame:
     """Estimated sums and counts per group, from a sample joined to its dimensions.
 
@@ -38,13 +39,19 @@ def rescaled(
 
     Each stratum is scaled by its own size over its own sampled rows before
     strata are added up. Where a group is a single stratum that is the plain
-    ratio ``sum / sampled * size`` and the second step falls away.
+    ratio ``sum / sampled * size`` and the second step falls away. A sampled
+    stratum without a size is an error: its sizes are of another state.
+
+    ``ratio`` is the rate of a uniform sample. Every row stands for as many
+    there, also for strata of which none was drawn; sizes are not needed.
     """
     sums = dict(sums or {})
     qcs, groups, pinned = list(qcs), list(groups), dict(pinned or {})
     unknown = set(pinned) - set(qcs)
     if unknown:
         raise ValueError(f"only query columns can be pinned, not {sorted(unknown)}")
+    if ratio is not None:
+        return _by_ratio(sample, groups, sums, counts, pinned, where, ratio)
     if pinned:
         fixed = [F.col(c).eqNullSafe(F.lit(v)) for c, v in pinned.items()]
         sample, sizes = sample.where(all_of(fixed)), sizes.where(all_of(fixed))
@@ -66,7 +73,11 @@ def rescaled(
         rates = null_safe_join(rates, whole, qcs)
     else:
         per_stratum = per_stratum.withColumn("_sampled", F.col("_rows"))
-    scaled = null_safe_join(per_stratum.where(F.col("_hits") > 0), rates, qcs)
+    scaled = null_safe_join(per_stratum.where(F.col("_hits") > 0), rates, qcs, how="left")
+    unsized = F.raise_error(F.lit("a sampled stratum has no size; profile the source again"))
+    scaled = scaled.withColumn(
+        "groupsize", F.when(F.col("groupsize").isNull(), unsized).otherwise(F.col("groupsize"))
+    )
     estimates = {
         **{
             n: F.col(f"_sum_{n}").cast("double") / F.col("_sampled") * F.col("groupsize")
@@ -79,6 +90,16 @@ def rescaled(
     return scaled.groupBy(*groups).agg(*(F.sum(e).alias(n) for n, e in estimates.items()))
 
 
+def _by_ratio(sample, groups, sums, counts, pinned, where, ratio) -> DataFrame:
+    seen = [F.col(c).eqNullSafe(F.lit(v)) for c, v in pinned.items()]
+    seen += [] if where is None else [where]
+    rows = sample.where(all_of(seen)) if seen else sample
+    return rows.groupBy(*groups).agg(
+        *((F.sum(v).cast("double") / F.lit(ratio)).alias(n) for n, v in sums.items()),
+        *((F.count(F.lit(1)) / F.lit(ratio)).alias(n) for n in counts),
+    )
+
+
 def rescaled_merge(
     sample: DataFrame,
     sizes: DataFrame,

@@ -45,11 +45,8 @@ TIE_SPLITS = 256
 def uniform_sample(
     fact: DataFrame, ratio: float, key: Sequence[str], seed: int | str = 0
 ) -> DataFrame:
-    """Each row with probability ``ratio``, decided by its own digest.
-
-    The ratio counts to six decimals, unless that would round it to nothing.
-    """
-    return fact.where(row_digest(key, seed) < F.lit(literal_threshold(round(ratio, 6) or ratio)))
+    """Each row with probability ``ratio``, decided by its own digest."""
+    return fact.where(row_digest(key, seed) < F.lit(literal_threshold(ratio)))
 
 
 def tail_rate(target: Column, groupsize: Column) -> Column:

@@ -24,7 +24,7 @@ def decide(summary: DataFrame) -> DataFrame:
     """
     large = F.col("avg_group_size") > F.lit(UNIFORM_THRESHOLD)
     ratio = F.when(large, F.lit(UNIFORM_THRESHOLD) / F.col("avg_group_size")).otherwise(
-        F.col("target_sample_size") / F.col("population_size")
+        F.try_divide("target_sample_size", "population_size")
     )
     useful = ratio <= F.lit(LARGEST_RATIO)
     return summary.withColumns(
@@ -40,6 +40,13 @@ def decide(summary: DataFrame) -> DataFrame:
     )
 
 
+def every_profile(summaries: DataFrame, count: int) -> DataFrame:
+    """A summary for each of ``count`` profiles; those of an empty source have no strata."""
+    numbers = summaries.sparkSession.range(count).select(F.col("id").cast("int").alias("profile"))
+    zeros = {c: F.coalesce(c, F.lit(0)) for c in summaries.columns if c != "profile"}
+    return numbers.join(summaries, "profile", "left").withColumns(zeros)
+
+
 def advise(
     queries: Sequence[QuerySpec], source_of: Callable[[QuerySpec], DataFrame]
 ) -> DataFrame:
@@ -57,7 +64,7 @@ def advise(
         profiles = profile_many(source_of(group[0]), [q.qcs for q in group])
         ids = F.array(*(F.lit(q.id) for q in group))
         parts.append(
-            summarise_profiles(profiles)
+            every_profile(summarise_profiles(profiles), len(group))
             .withColumn("query_id", ids[F.col("profile")])
             .drop("profile")
         )
@@ -75,8 +82,7 @@ def samples_to_create(queries: Sequence[QuerySpec], advice: DataFrame) -> list[S
         query = by_id[row["query_id"]]
         shape = (query.fact, query.qcs, query.tables, query.pairs)
         if row["advice"] == UNIFORM:
-            ratio = round(row["ratio"], 6) or row["ratio"]
-            samples.append(SampleSpec(UNIFORM, *shape, ratio=ratio))
+            samples.append(SampleSpec(UNIFORM, *shape, ratio=row["ratio"]))
         elif row["advice"] == STRATIFIED:
             samples.append(SampleSpec(STRATIFIED, *shape))
     return list(dict.fromkeys(samples))

@@ -18,7 +18,8 @@ def read_prejoin_file(spark: SparkSession, path: str, facts: Sequence[str]) -> D
     """Parsed lines: database, name, fact, tables, pairs (sorted, sides normalised).
 
     The fact is the first listed table that is one of ``facts``; lines without
-    one are left out.
+    one are left out. Tables that are facts get the spelling of ``facts``. A line
+    with fewer than four fields is an error; empty lines are passed over.
     """
     fields = F.split("value", ";")
     trimmed = _trimmed(F.split(fields[2], ","))
@@ -27,10 +28,15 @@ def read_prejoin_file(spark: SparkSession, path: str, facts: Sequence[str]) -> D
         lambda p: F.concat_ws(" = ", F.array_sort(_trimmed(F.split(p, "=")))),
     )
     known = [f.lower() for f in facts]
+    spelled = F.create_map(*(F.lit(x) for f in facts for x in (f.lower(), f)))
+    trimmed = F.transform(trimmed, lambda t: F.coalesce(spelled[F.lower(t)], t))
     fact = F.filter(trimmed, lambda t: F.lower(t).isin(known))
+    short = F.raise_error(F.concat(F.lit("prejoin line with fewer than four fields: "), "value"))
+    whole = F.when(F.size(fields) >= 4, F.lit(True)).otherwise(short.cast("boolean"))
     return (
         spark.read.text(path)
-        .where(F.size(fields) >= 4)
+        .where(F.trim("value") != "")
+        .where(whole)
         .select(
             F.trim(fields[0]).alias("database"),
             F.trim(fields[1]).alias("name"),

@@ -8,12 +8,14 @@ old version in place.
 
 from __future__ import annotations
 
+import hashlib
 import json
 import uuid
 from datetime import UTC, datetime, timedelta
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 from stratafold.session import literal_rows
@@ -58,6 +60,9 @@ class Store:
     def refresh(self) -> None:
         rows = latest(self.log()).orderBy("ts").collect()
         self._live = {(row["type"], row["key"]): row["value"] for row in rows}
+        if rows:  # a clock that lags must not write entries older than those there are
+            newest = self.log().agg(F.max("ts")).first()[0]
+            self._clock = max(self._clock, newest.astimezone(UTC))
         self.version += 1
 
     def append(self, *entries: tuple[str, str, dict | str]) -> None:
@@ -127,22 +132,39 @@ class Store:
     def columns(self, name: str) -> list[str]:
         return self.read(name).columns
 
+    def _catalog_name(self, name: str) -> str:
+        """Names carry the root, so stores that share a database don't share tables."""
+        return f"{name}_{hashlib.md5(self.root.encode()).hexdigest()[:8]}"
+
     def register(self, name: str) -> str:
-        """Make the current version a catalog table, for SQL and for statistics."""
-        full = f"`{self.database}`.`{name}`"
+        """Make the current version a catalog table, for SQL and for statistics.
+
+        A table of that name that lies elsewhere is not ours to replace.
+        """
+        own = self._catalog_name(name)
+        full = f"`{self.database}`.`{own}`"
+        if self.spark.catalog.tableExists(f"{self.database}.{own}") and not self._ours(own):
+            raise ValueError(f"{full} exists outside {self.root}")
         self.spark.sql(f"DROP TABLE IF EXISTS {full}")
         self.spark.catalog.createTable(
-            f"{self.database}.{name}", path=self.latest("table", name)["path"], source="parquet"
+            f"{self.database}.{own}", path=self.latest("table", name)["path"], source="parquet"
         )
         return full
 
+    def _ours(self, name: str) -> bool:
+        rows = self.spark.sql(f"DESCRIBE EXTENDED `{self.database}`.`{name}`")
+        place = rows.where("col_name = 'Location'").select("data_type").first()
+        root = self.root.removeprefix("file:").lstrip("/")
+        return place is not None and f"/{root}/" in place[0]
+
     def analyze(self, name: str) -> None:
         """Collect table and column statistics for the cost-based optimizer."""
         full = self.register(name)
         self.spark.sql(f"ANALYZE TABLE {full} COMPUTE STATISTICS FOR ALL COLUMNS")
 
     def analyzed(self, name: str) -> bool:
-        if not self.spark.catalog.tableExists(f"{self.database}.{name}"):
+        own = self._catalog_name(name)
+        if not self.spark.catalog.tableExists(f"{self.database}.{own}") or not self._ours(own):
             return False
-        rows = self.spark.sql(f"DESCRIBE EXTENDED `{self.database}`.`{name}`")
+        rows = self.spark.sql(f"DESCRIBE EXTENDED `{self.database}`.`{own}`")
         return not rows.where("col_name = 'Statistics' AND data_type LIKE '%rows%'").isEmpty()

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from stratafold.operators.approx import rescaled
 from stratafold.operators.joins import all_of, star_join
-from stratafold.spec import QuerySpec, SampleSpec
+from stratafold.spec import UNIFORM, QuerySpec, SampleSpec
 
 
 def swap(tables: Mapping[str, DataFrame], name: str, rows: DataFrame) -> Mapping[str, DataFrame]:
@@ -76,6 +76,7 @@ def star_query(
             counts,
             pinned=strata,
             where=all_of(rest) if rest else None,
+            ratio=made.ratio if made.kind == UNIFORM else None,
         )
 
     spec = QuerySpec(

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from stratafold.operators.approx import rescaled, rescaled_merge
 from stratafold.operators.joins import all_of, star_join
-from stratafold.spec import QuerySpec, SampleSpec
+from stratafold.spec import UNIFORM, QuerySpec, SampleSpec
 from stratafold.workloads.star import aggregate, star_query, swap
 
 # Facts with their column prefix and the columns that identify a row.
@@ -271,6 +271,7 @@ def _rows_without_key(by_id: Mapping[str, QuerySpec]) -> QuerySpec:
             {"sales_amt": F.col("ext_sales_price")},
             ["sales_cnt"],
             pinned={"cs_warehouse_sk": None},
+            ratio=made.ratio if made.kind == UNIFORM else None,
         )
         rest = unkeyed("store", tables).unionByName(unkeyed("web", tables))
         return catalog.unionByName(rest.select(*catalog.columns))

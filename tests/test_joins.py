@@ -187,12 +187,13 @@ def test_prejoin_file(spark, tmp_path):
         "ds;p1;item,store_sales;ss_item_sk = i_item_sk\n"
         "ds;p2; date_dim , STORE_SALES;d_date_sk  =  ss_sold_date_sk AND i_x = ss_x\n"
         "ds;no_fact;item,date_dim;a = b\n"
-        "broken line\n"
+        "\n"
     )
     specs = {p.name: p for p in prejoin_specs(read_prejoin_file(spark, str(path), ["store_sales"]))}
     assert set(specs) == {"p1", "p2"}
     assert specs["p1"].pairs == {JoinPair("i_item_sk", "ss_item_sk")}
-    assert specs["p2"].fact == "STORE_SALES"
+    assert specs["p2"].fact == "store_sales"
+    assert specs["p2"].tables == {"date_dim", "store_sales"}
     assert specs["p2"].pairs == {
         JoinPair("d_date_sk", "ss_sold_date_sk"),
         JoinPair("i_x", "ss_x"),
