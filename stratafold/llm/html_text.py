@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import html
+import math
 import re
 import zlib
 from dataclasses import dataclass, field
+from functools import lru_cache
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -78,7 +80,7 @@ class _Reader:
 
     def text(self, some: str) -> None:
         self.parts.append(some)
-        if any(x.name == "a" for x in self.stack):
+        if self.stack and self.stack[-1].name in INLINE and any(x.name == "a" for x in self.stack):
             self.in_links += len(some.strip())
 
     def open(self, tag: str, name: str) -> None:
@@ -154,28 +156,35 @@ def is_main(block: Block) -> bool:
 INPUTS = PATH + WORD + 8
 
 
+@lru_cache(20_000)
+def _path_cells(path: tuple[str, ...]) -> np.ndarray:
+    steps = {f"{s}<{t}" for s, t in zip(("", *path), path)} | {
+        x for s in path for x in re.split(r"[.\-_]", s) if x
+    }
+    cells = [zlib.crc32(s.encode()) % PATH for s in steps]
+    return np.bincount(cells, minlength=PATH).astype(float)
+
+
+@lru_cache(200_000)
+def _word_cell(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass")) % WORD
+
+
 def vectors(found: list[Block]) -> np.ndarray:
     """Tag path and words of every block as hashed vectors, and how long and linked it is."""
     out = np.zeros((len(found), INPUTS))
     last = None
     for i, b in enumerate(found):
-        steps = {f"{s}<{t}" for s, t in zip(("", *b.path), b.path)} | {
-            x for s in b.path for x in re.split(r"[.\-_]", s) if x
-        }
-        for s in steps:
-            out[i, zlib.crc32(s.encode()) % PATH] += 1.0
         words = b.text.lower().split()
-        for w in words:
-            out[i, PATH + zlib.crc32(w.encode()) % WORD] += 1.0
-        row = out[i, PATH : PATH + WORD]
-        np.log1p(row, out=row)
-        row *= 0.2
+        out[i, :PATH] = _path_cells(b.path)
+        cells = np.bincount([_word_cell(w) for w in words], minlength=WORD)
+        out[i, PATH : PATH + WORD] = 0.2 * np.log1p(cells)
         n = len(b.text)
         out[i, PATH + WORD :] = [
-            np.log1p(n) / 8,
-            np.log1p(len(words)) / 6,
+            math.log1p(n) / 8,
+            math.log1p(len(words)) / 6,
             b.linked,
-            sum(b.text.count(c) for c in ".,;!?") / max(1, n) * 10,
+            sum(map(b.text.count, ".,;!?")) / max(1, n) * 10,
             i / max(1, len(found) - 1),
             float(i == 0),
             float(b.path == last),
