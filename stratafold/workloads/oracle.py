@@ -236,18 +236,33 @@ EVENT_KEY = ("event_id",)
 EVENT_COLUMNS = "event_id, ts, user_id, event_type, value, props"
 ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
-# per query: fact, group columns, sums, counts
+SEGMENT_JOINS = f"{O_JOIN} {C_JOIN}"
+# per query: fact, group columns, sums, counts, joins
 REPORTED = {
-    "flag": ("lineitem", FLAGS, FLAG_SUMS, ("cnt",)),
-    "59": ("lineitem", ("l_suppkey",), {"sum_price": money("l_extendedprice")}, ()),
-    "65": ("orders", ("o_orderstatus",), {"sum_total": money("o_totalprice")}, ()),
-    "88": ("events", ("event_type",), {"sum_value": money("value")}, ("cnt",)),
+    "flag": ("lineitem", FLAGS, FLAG_SUMS, ("cnt",), ""),
+    "59": ("lineitem", ("l_suppkey",), {"sum_price": money("l_extendedprice")}, (), ""),
+    "65": ("orders", ("o_orderstatus",), {"sum_total": money("o_totalprice")}, (), ""),
+    "88": ("events", ("event_type",), {"sum_value": money("value")}, ("cnt",), ""),
+    "31": (
+        "lineitem",
+        ("c_mktsegment", "o_quarter", "o_year"),
+        {"sales": money("l_extendedprice")},
+        (),
+        SEGMENT_JOINS,
+    ),
+    "47": (
+        "lineitem",
+        ("c_mktsegment",),
+        {"sum_price": money("l_extendedprice")},
+        ("cnt",),
+        SEGMENT_JOINS,
+    ),
 }
 
 
 def report(query: str, rows: str, qcs: tuple[str, ...]) -> str:
     """The evaluation of one query on one sample with strata ``qcs``."""
-    fact, groups, sums, counts = REPORTED[query]
+    fact, groups, sums, counts, joins = REPORTED[query]
     aggs = (*sums, *counts)
     keys = ", ".join(groups)
     measures = ", ".join(
@@ -258,7 +273,7 @@ def report(query: str, rows: str, qcs: tuple[str, ...]) -> str:
         return f"SELECT {keys}, {measures}, count(*) AS groupsize FROM {source} GROUP BY {keys}"
 
     # the report uses unrounded estimates
-    est = estimate(rows, "", fact, qcs, groups, sums, counts)
+    est = estimate(rows, joins, f"{fact} {joins}", qcs, groups, sums, counts)
     est = est.replace("round(sum(", "(sum(").replace("groupsize), 2)", "groupsize))")
     truth = ", ".join(f"o.{a}" for a in aggs)
     guess = ", ".join(f"e.{a} AS est_{a}" for a in aggs)
@@ -273,8 +288,8 @@ def report(query: str, rows: str, qcs: tuple[str, ...]) -> str:
         round({mean_error(relative, aggs)}, 8) AS avg_rel_error,
         round(avg({self_terms}) / {len(aggs)}, 8) AS self_scaled_error
       FROM (SELECT {truth}, {guess}, {own}, p.groupsize AS seen
-            FROM ({answer(fact)}) o LEFT JOIN ({est}) e USING ({keys})
-            LEFT JOIN ({answer(f'({rows}) x')}) p USING ({keys})) b"""
+            FROM ({answer(f'{fact} {joins}')}) o LEFT JOIN ({est}) e USING ({keys})
+            LEFT JOIN ({answer(f'({rows}) x {joins}')}) p USING ({keys})) b"""
 
 
 def _evaluate_all() -> str:
@@ -299,6 +314,15 @@ def _evaluate_all() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _evaluate_joined() -> str:
+    parts = []
+    for query in ("31", "47"):
+        qcs = PROFILES[query][1]
+        rows = report(query, sample(SEGMENT_SOURCE, qcs, target="100.0"), qcs)
+        parts.append(f"SELECT 'lineitem__st2_100__{'_'.join(sorted(qcs))}' AS sample, * FROM ({rows}) r")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
     "stratum_sizes": """
       SELECT l_returnflag, l_linestatus, l_suppkey, count(*) AS groupsize
@@ -358,6 +382,16 @@ ORACLE = {
       FROM {NATION_SOURCE}""",
     "semi_join_filter": f"""
       SELECT c_nationkey, c_mktsegment, count(*) AS customers FROM {ACTIVE} c GROUP BY ALL""",
+    "semi_join_buyers": f"""
+      SELECT c_nationkey, c_mktsegment, count(*) AS customers FROM customer
+      WHERE c_custkey IN (SELECT o_custkey FROM {ORDERS} WHERE o_year = 1999 AND o_orderstatus = 'F')
+      GROUP BY c_nationkey, c_mktsegment""",
+    "null_strata": f"""
+      SELECT c_mktsegment, o_orderstatus, count(*) AS groupsize,
+        o_orderstatus IS NULL AS without_order
+      FROM customer LEFT JOIN (SELECT * FROM {ORDERS} WHERE o_year = 1999) o
+        ON c_custkey = o_custkey
+      GROUP BY c_mktsegment, o_orderstatus""",
     "exact_sum_by_group": f"""
       SELECT c_mktsegment, o_quarter, o_year,
         round({total(money('l_extendedprice'))}, 2) AS sales, count(*) AS groupsize
@@ -433,6 +467,10 @@ ORACLE = {
         WEEKDAY_SUMS,
         where="n_regionkey = 1",
     ),
+    "rescaled_uniform": f"""
+      SELECT l_returnflag, round({total(money('l_extendedprice'))} / 0.1::DOUBLE, 2) AS sum_price,
+        round(count(*) / 0.1::DOUBLE, 2) AS cnt
+      FROM lineitem WHERE {draw(digest(LINE_KEY), 1)} < 0.1 GROUP BY l_returnflag""",
     "rescaled_union": f"""
       SELECT c_nationkey, round(sum(total_sales), 2) AS total_sales
       FROM (SELECT a.c_nationkey, a.total / sampled * groupsize AS total_sales
@@ -458,7 +496,8 @@ ORACLE = {
     ),
     "avg_pct_error_prescaled": f"""
       SELECT count(*) AS exact_groups, count(est_sum_price) AS sample_groups,
-        0::BIGINT AS skipped_groups,
+        count(CASE WHEN est_sum_price IS NOT NULL AND {whole('sum_price')} = 0 THEN 1 END)
+          AS skipped_groups,
         round((count(*) - count(est_sum_price)) / count(*), 8) AS missing_group_ratio,
         round({mean_error(truncated, ('sum_price',))}, 8) AS avg_pct_error,
         round({mean_error(relative, ('sum_price',))}, 8) AS avg_rel_error
@@ -482,6 +521,7 @@ ORACLE = {
             WHERE {BASKET_FILTER}) y""",
     "evaluate_all": _evaluate_all(),
     "evaluate_sample": " UNION ALL ".join(report(q, FLAG_MIN_ROWS, FLAGS) for q in ("flag", "59")),
+    "evaluate_joined": _evaluate_joined(),
     "meta_latest": LATEST,
     "meta_list": f"""
       SELECT key, CAST(json_extract(value, '$.k') AS INTEGER) AS k, ts

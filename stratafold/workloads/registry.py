@@ -15,13 +15,14 @@ from stratafold.session import compact, literal_rows, pin, scratch_path
 from stratafold.sources.log import DELETED, latest, live_entries
 from stratafold.sources.prejoin_file import prejoin_specs, read_prejoin_file
 from stratafold.sources.store import Store
-from stratafold.spec import MIN_ROW, STRATIFIED, PrejoinSpec, QuerySpec, SampleSpec
+from stratafold.spec import MIN_ROW, STRATIFIED, UNIFORM, PrejoinSpec, QuerySpec, SampleSpec
 from stratafold.workloads import tpch
 from stratafold.workloads.star import money
 
 FLAGS = ["l_returnflag", "l_linestatus"]
 FLAG_ROWS = 500
 NATION_ROWS = 200
+JOINED_ROWS = 100
 UNIFORM_RATIO = 0.1
 CHANNEL_QCS = ["c_nationkey", "o_year"]
 CHANNEL_YEAR = 1999
@@ -265,6 +266,19 @@ def semi_join_filter(spark, folder):
     )
 
 
+def semi_join_buyers(spark, folder):
+    """An IN subquery that removes customers at every scale."""
+    buyers = tpch.buyers(tpch.load(spark, folder), CHANNEL_YEAR)
+    return buyers.groupBy("c_nationkey", "c_mktsegment").agg(F.count("*").alias("customers"))
+
+
+def null_strata(spark, folder):
+    """Strata of a left join, and among them those with IS NULL: customers without an order."""
+    joined = tpch.customers_with_orders(tpch.load(spark, folder), CHANNEL_YEAR)
+    sizes = strata.stratum_sizes(joined, ["c_mktsegment", "o_orderstatus"])
+    return sizes.withColumn("without_order", F.col("o_orderstatus").isNull())
+
+
 # -- exact answers ---------------------------------------------------------------
 
 
@@ -333,6 +347,15 @@ rescaled_across_strata = _estimate(tpch.sales_by_segment_priority)
 rescaled_pivot = _estimate(tpch.sales_by_weekday)
 
 
+def rescaled_uniform(spark, folder):
+    """A uniform sample of many tiny strata: those of which nothing was drawn count too."""
+    tables = tpch.load(spark, folder)
+    query = tpch.sales_by_flag_of_parts()
+    made = SampleSpec(UNIFORM, query.fact, query.qcs, ratio=UNIFORM_RATIO)
+    sample = sampling.uniform_sample(tables[query.fact], made.ratio, tpch.KEYS[query.fact])
+    return _rounded(query.sample_template(sample, tables, None, made))
+
+
 def rescaled_union(spark, folder):
     """Line items from a sample, orders exactly, added up per nation."""
     tables = tpch.load(spark, folder)
@@ -423,12 +446,26 @@ def evaluate_all(spark, folder):
     for query in workload:
         spec = SampleSpec(MIN_ROW, query.fact, query.qcs, min_rows=FLAG_ROWS)
         engine.create_sample(spec, [query.id])
-    report = engine.evaluate_all(workload)
+    return _labelled(engine.evaluate_all(workload))
+
+
+def _labelled(report: DataFrame) -> DataFrame:
     # the readable part of the sample's name, without its digest
     label = F.regexp_replace("sample", "__[0-9a-f]{10}$", "").alias("sample")
     return _rounded(report.select(label, *REPORT), ERROR_DIGITS)
 
 
+def evaluate_joined(spark, folder):
+    """Queries that join: prejoins are stored, samples made from them, and all evaluated."""
+    engine = _engine(spark, tpch.load(spark, folder))
+    workload = [tpch.sales_by_segment_quarter(), tpch.sales_by_segment_priority()]
+    engine.build_prejoins(workload)
+    for q in workload:
+        spec = SampleSpec(MIN_ROW, q.fact, q.qcs, q.tables, q.pairs, min_rows=JOINED_ROWS)
+        engine.create_sample(spec, [q.id])
+    return _labelled(engine.evaluate_all(workload))
+
+
 def evaluate_sample(spark, folder):
     """One min-row sample against the query it suits and one whose groups cut its strata."""
     engine = _engine(spark, tpch.load(spark, folder))
@@ -491,6 +528,8 @@ QUERIES = {
     "prejoin_best_match": prejoin_best_match,
     "load_prejoin_file": load_prejoin_file,
     "semi_join_filter": semi_join_filter,
+    "semi_join_buyers": semi_join_buyers,
+    "null_strata": null_strata,
     "exact_sum_by_group": exact_sum_by_group,
     "exact_sum_filtered": exact_sum_filtered,
     "exact_count_having_filters": exact_count_having_filters,
@@ -504,6 +543,7 @@ QUERIES = {
     "rescaled_sum": rescaled_sum,
     "rescaled_across_strata": rescaled_across_strata,
     "rescaled_pivot": rescaled_pivot,
+    "rescaled_uniform": rescaled_uniform,
     "rescaled_union": rescaled_union,
     "self_scaled_error": self_scaled_error,
     "avg_pct_error": avg_pct_error,
@@ -511,6 +551,7 @@ QUERIES = {
     "missing_group_ratio": missing_group_ratio,
     "evaluate_all": evaluate_all,
     "evaluate_sample": evaluate_sample,
+    "evaluate_joined": evaluate_joined,
     "meta_latest": meta_latest,
     "meta_list": meta_list,
 }

@@ -165,6 +165,20 @@ def returns_by_flag_supplier() -> QuerySpec:
     )
 
 
+def sales_by_flag_of_parts() -> QuerySpec:
+    """Strata of a few rows each, far more than output groups."""
+    return star_query(
+        "flag_parts",
+        "lineitem",
+        [],
+        [],
+        qcs=["l_partkey"],
+        groups=["l_returnflag"],
+        sums={"sum_price": money("l_extendedprice")},
+        counts=["cnt"],
+    )
+
+
 def value_by_status() -> QuerySpec:
     return star_query(
         "65",
@@ -226,6 +240,19 @@ def active_segments(tables: Mapping[str, DataFrame]) -> DataFrame:
     return customer.join(nations, "c_nationkey", "left_semi")
 
 
+def buyers(tables: Mapping[str, DataFrame], year: int) -> DataFrame:
+    """Customers with a finished order in a year (an IN subquery that leaves many out)."""
+    finished = (F.col("o_year") == year) & (F.col("o_orderstatus") == "F")
+    bought = tables["orders"].where(finished).select("o_custkey")
+    return tables["customer"].join(bought, F.col("c_custkey") == F.col("o_custkey"), "left_semi")
+
+
+def customers_with_orders(tables: Mapping[str, DataFrame], year: int) -> DataFrame:
+    """Every customer with the orders of a year; order columns are NULL without any."""
+    orders = tables["orders"].where(F.col("o_year") == year)
+    return tables["customer"].join(orders, F.col("c_custkey") == F.col("o_custkey"), "left")
+
+
 def orders_channel(tables: Mapping[str, DataFrame], year: int) -> DataFrame:
     """Order value per nation, the branch that is always computed exactly."""
     rows = (
