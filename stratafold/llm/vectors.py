@@ -5,6 +5,8 @@ from __future__ import annotations
 import math
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -93,8 +95,9 @@ def hashed(x: np.ndarray, tables: int, hashes: int) -> tuple[np.ndarray, np.ndar
     return signs, np.stack(own, 1), np.stack(probes, 1)
 
 
-def _matrix(column) -> np.ndarray:
-    return np.array(column.to_pylist(), np.float64)
+def _matrix(column, dim: int) -> np.ndarray:
+    """A column of lists of ``dim`` numbers as rows, without a Python object per number."""
+    return column.flatten().to_numpy(zero_copy_only=False).astype(np.float64).reshape(-1, dim)
 
 
 def _keys(vectors: DataFrame) -> DataFrame:
@@ -130,7 +133,7 @@ def _buckets(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
             dims = np.array(batch["dim"].to_pylist())
             for dim in np.unique(dims):
                 part = batch.take(np.flatnonzero(dims == dim))
-                x = _matrix(part["embedding"])
+                x = _matrix(part["embedding"], dim)
                 x /= np.sqrt((x * x).sum(1, keepdims=True))
                 signs, own, probes = hashed(x, tables, hashes)
                 yield {
@@ -150,19 +153,17 @@ def _buckets(classes: DataFrame, tables: int, hashes: int) -> DataFrame:
 def _verified(pairs: DataFrame, threshold: float) -> DataFrame:
     def make():
         def work(batch):
-            left = batch["x"].to_pylist()
-            if not left:
+            if not batch.num_rows:
                 return
-            right = batch["y"].to_pylist()
-            dims = np.array([len(v) for v in left])
-            keep = np.zeros(len(left), bool)
+            dims = pc.list_value_length(batch["x"]).to_numpy(zero_copy_only=False)
+            keep = np.zeros(len(dims), bool)
             for dim in np.unique(dims):
                 at = np.flatnonzero(dims == dim)
-                x = np.array([left[i] for i in at], np.float64)
-                y = np.array([right[i] for i in at], np.float64)
+                part = batch.take(pa.array(at))
+                x, y = _matrix(part["x"], dim), _matrix(part["y"], dim)
                 cosine = (x * y).sum(1) / np.sqrt((x * x).sum(1) * (y * y).sum(1))
                 keep[at] = cosine >= threshold
-            kept = batch.filter(keep)
+            kept = batch.filter(pa.array(keep))
             yield {"a": kept["a"].to_pylist(), "b": kept["b"].to_pylist()}
 
         return work
