@@ -37,7 +37,6 @@ from stratafold.session import pin
 
 TAIL_SHARE = 20  # rows beyond the target are kept at 1/20 of the stratum's rate
 BAND = 6.0  # width of the listed band in standard deviations to each side
-MAX_BROADCAST_STRATA = 200_000
 PREFIX_STEPS = (4, 9, 32)
 TIE_SPLITS = 256
 
@@ -72,10 +71,9 @@ def stratified_sample(
     drawn in the order of ``order`` where only some of them fit. ``sizes`` may
     pass in stored stratum sizes of this source.
 
-    Strata are matched through a broadcast table of at most
-    ``MAX_BROADCAST_STRATA`` rows. If there are more, the largest ones still fit
-    (no more than N strata can hold over 1/N of the rows each) and the rest are
-    all small, so these are ranked by a window without any hot group.
+    One way for any number of strata: quotas and cut-offs are stored tables joined
+    without a hint, so Catalyst broadcasts them while their files are small and
+    shuffles by the strata beyond that, where AQE splits a hot stratum.
     """
     rule = rule or cochran()
     columns = list(columns or source.columns)
@@ -83,16 +81,7 @@ def stratified_sample(
     if sizes is None:
         sizes = stratum_sizes(source, qcs)
     quotas = pin(_quotas(sizes.select(*qcs, "groupsize"), rule), "quotas")
-    strata, population = quotas.agg(F.count("*"), F.sum("groupsize")).first()
-
-    if strata <= MAX_BROADCAST_STRATA:
-        return _by_cutoff(source, quotas, qcs, key, tail, seed, order).select(*columns)
-
-    hot = pin(quotas.where(F.col("groupsize") > population / MAX_BROADCAST_STRATA), "hot")
-    hot_part = _by_cutoff(source, hot, qcs, key, tail, seed, order).select(*columns)
-    cold = null_safe_join(source, F.broadcast(hot.select(*qcs)), qcs, "left_anti")
-    cold_part = _by_window(cold, qcs, key, rule, tail, seed, order).select(*columns)
-    return hot_part.unionByName(cold_part)
+    return _by_cutoff(source, quotas, qcs, key, tail, seed, order).select(*columns)
 
 
 def min_row_sample(
@@ -119,32 +108,13 @@ def _quotas(sizes: DataFrame, rule: SizeRule) -> DataFrame:
     )
 
 
-def _by_window(source, qcs, key, rule, tail, seed, order) -> DataFrame:
-    """Rank whole strata; one shuffle. For strata that are known to be small."""
-    # the size is taken over the same ordered window as the rank, so rows are sorted once
-    stratum = Window.partitionBy(*qcs).orderBy("_digest", *order)
-    whole = stratum.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    target = rule(F.col("_size"))
-    kept = F.col("_rank") <= whole_rows(target)
-    if tail:
-        kept = kept | (second_draw(F.col("_digest")) < threshold(tail_rate(target, F.col("_size"))))
-    return (
-        source.withColumn("_digest", row_digest(key, seed))
-        .withColumns(
-            {"_size": F.count("*").over(whole), "_rank": F.row_number().over(stratum)}
-        )
-        .where(kept)
-        .drop("_digest", "_size", "_rank")
-    )
-
-
 def _by_cutoff(source, quotas, qcs, key, tail, seed, order) -> DataFrame:
-    """Filter the source by its strata's cut-offs; the source itself is not shuffled."""
+    """Filter the source by its strata's cut-offs; small cut-offs leave it unshuffled."""
     cutoffs, split = stratum_cutoffs(source, quotas, qcs, key, seed)
     helpers = ["_stratum", "_cutoff", "_tail_below", "_fitting", "_copies"]
     rows = null_safe_join(
         source.withColumn("_digest", row_digest(key, seed)),
-        F.broadcast(cutoffs.select(*qcs, *helpers)),
+        cutoffs.select(*qcs, *helpers),
         qcs,
     )
     helpers.append("_digest")
@@ -179,7 +149,7 @@ def stratum_cutoffs(
     """
     narrow = null_safe_join(
         source.select(*qcs, row_digest(key, seed).alias("_digest")),
-        F.broadcast(quotas.where("open").select(*qcs, "_stratum", "keep", "low", "high")),
+        quotas.where("open").select(*qcs, "_stratum", "keep", "low", "high"),
         qcs,
     )
     entry = F.when(F.col("_digest") < F.col("low"), F.lit(NOTHING)).otherwise(F.col("_digest"))
@@ -247,7 +217,7 @@ def _by_prefix(source, quotas, qcs, key, seed) -> DataFrame:
     rows = source.select(*qcs, row_digest(key, seed).alias("_digest"))
     state = quotas.select(*qcs, "_stratum", "keep", F.lit("").alias("prefix"))
     for width in PREFIX_STEPS:
-        inside = null_safe_join(rows, F.broadcast(state), qcs).where(
+        inside = null_safe_join(rows, state, qcs).where(
             F.col("_digest").startswith(F.col("prefix"))
         )
         counted = inside.groupBy(

@@ -15,15 +15,15 @@ LARGEST_RATIO = 2.0 / 3.0
 NONE = "none"
 
 
-def decide(summary: DataFrame) -> DataFrame:
+def decide(summary: DataFrame, uniform_above: int = UNIFORM_THRESHOLD) -> DataFrame:
     """Add ``advice``, ``ratio`` and ``reason`` to stratum summaries.
 
-    Strata above 100,000 rows on average get a uniform sample, unless it would
+    Strata above ``uniform_above`` rows on average get a uniform sample, unless it would
     keep over two thirds of the rows; smaller ones a stratified sample under the
     same limit. Large strata never fall back to a stratified sample.
     """
-    large = F.col("avg_group_size") > F.lit(UNIFORM_THRESHOLD)
-    ratio = F.when(large, F.lit(UNIFORM_THRESHOLD) / F.col("avg_group_size")).otherwise(
+    large = F.col("avg_group_size") > F.lit(uniform_above)
+    ratio = F.when(large, F.lit(uniform_above) / F.col("avg_group_size")).otherwise(
         F.try_divide("target_sample_size", "population_size")
     )
     useful = ratio <= F.lit(LARGEST_RATIO)
@@ -48,7 +48,9 @@ def every_profile(summaries: DataFrame, count: int) -> DataFrame:
 
 
 def advise(
-    queries: Sequence[QuerySpec], source_of: Callable[[QuerySpec], DataFrame]
+    queries: Sequence[QuerySpec],
+    source_of: Callable[[QuerySpec], DataFrame],
+    uniform_above: int = UNIFORM_THRESHOLD,
 ) -> DataFrame:
     """One row of summary and advice per query with query columns.
 
@@ -71,7 +73,7 @@ def advise(
     summaries = parts[0]
     for part in parts[1:]:
         summaries = summaries.unionByName(part)
-    return decide(summaries)
+    return decide(summaries, uniform_above)
 
 
 def samples_to_create(queries: Sequence[QuerySpec], advice: DataFrame) -> list[SampleSpec]:

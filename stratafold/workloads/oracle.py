@@ -346,11 +346,16 @@ ORACLE = {
     "stratified_sample_tail": TYPE_SAMPLE,
     "min_row_sample": sample("lineitem", FLAGS, target="500.0", tail=False),
     "min_row_sample_tail": sample(NATION_SOURCE, ("n_name",), target="200.0"),
+    "min_row_sample_orders": sample("lineitem", ("l_orderkey",), target="2.0", tail=False),
     "sample_roundtrip": FLAG_MIN_ROWS,
     "advise_one": decide(summary("lineitem", FLAGS)),
     "advise_workload": " UNION ALL ".join(
         decide(summary(*profile), f"'{q}' AS query_id,") for q, profile in PROFILES.items()
     ),
+    "advised_uniform_sample": f"""
+      SELECT * FROM lineitem WHERE {draw(digest(LINE_KEY), 1)} < (
+        SELECT CASE WHEN avg_group_size > 100 AND 100 / avg_group_size <= 2.0::DOUBLE / 3.0::DOUBLE
+          THEN 100 / avg_group_size ELSE 0 END FROM ({summary('lineitem', FLAGS)}) z)""",
     "prejoin_star": f"SELECT * FROM lineitem {O_JOIN} {P_JOIN} {S_JOIN}",
     "prejoin_snowflake": f"""
       SELECT * FROM lineitem {O_JOIN} {C_JOIN} JOIN nation ON c_nationkey = n_nationkey

@@ -24,6 +24,9 @@ FLAG_ROWS = 500
 NATION_ROWS = 200
 JOINED_ROWS = 100
 UNIFORM_RATIO = 0.1
+ORDER_ROWS = 2
+# strata above this average get a uniform sample where the advice is to reach it at every scale
+UNIFORM_ABOVE = 100
 CHANNEL_QCS = ["c_nationkey", "o_year"]
 CHANNEL_YEAR = 1999
 # means of errors in steps of 1e-5: fewer digits could fall on a tie
@@ -41,13 +44,22 @@ def _source(tables, query: QuerySpec) -> DataFrame:
     return joins.star_join(query.fact, tables, query.dims, query.pairs)
 
 
+def _stored_source(tables, query: QuerySpec) -> DataFrame:
+    """The fact, or its join stored once with the strata: sizes, cut-offs and rows all read it."""
+    fact = tables[query.fact]
+    if not query.dims:
+        return fact
+    columns = dict.fromkeys([*fact.columns, *query.qcs])
+    return pin(_source(tables, query).select(*columns), "prejoin")
+
+
 def _sizes(source: DataFrame, qcs) -> DataFrame:
     return pin(strata.stratum_sizes(source, qcs), "sizes")
 
 
 def _sampled(tables, query: QuerySpec, **more) -> tuple[DataFrame, DataFrame]:
     """A stored stratified sample for a query, and the sizes of its strata."""
-    source = _source(tables, query)
+    source = _stored_source(tables, query)
     sizes = _sizes(source, query.qcs)
     sample = sampling.stratified_sample(
         source,
@@ -119,7 +131,7 @@ def stratified_sample_tail(spark, folder):
     tables = tpch.load(spark, folder)
     query = tpch.sales_by_type()
     return sampling.stratified_sample(
-        _source(tables, query),
+        _stored_source(tables, query),
         query.qcs,
         columns=tables["lineitem"].columns,
         **_options("lineitem"),
@@ -134,7 +146,7 @@ def min_row_sample(spark, folder):
 def min_row_sample_tail(spark, folder):
     tables = tpch.load(spark, folder)
     return sampling.min_row_sample(
-        _source(tables, tpch.sales_by_weekday()),
+        _stored_source(tables, tpch.sales_by_weekday()),
         ["n_name"],
         NATION_ROWS,
         columns=tables["lineitem"].columns,
@@ -142,6 +154,14 @@ def min_row_sample_tail(spark, folder):
     )
 
 
+def min_row_sample_orders(spark, folder):
+    """As many strata as orders, most of them of a few rows."""
+    lineitem = tpch.load(spark, folder)["lineitem"]
+    return sampling.min_row_sample(
+        lineitem, ["l_orderkey"], ORDER_ROWS, tail=False, **_options("lineitem")
+    )
+
+
 def sample_roundtrip(spark, folder):
     """Created, skipped because it exists, overwritten, and read back from the store."""
     engine = _engine(spark, tpch.load(spark, folder))
@@ -165,6 +185,15 @@ def advise_workload(spark, folder):
     return _rounded(advisor.advise(tpch.workload(), lambda q: _source(tables, q)), 4)
 
 
+def advised_uniform_sample(spark, folder):
+    """The sample that is advised for large strata, at the advised rate."""
+    tables, query = tpch.load(spark, folder), tpch.revenue_by_flag()
+    advice = advisor.advise([query], lambda q: tables[q.fact], uniform_above=UNIFORM_ABOVE)
+    made = advisor.samples_to_create([query], advice)
+    rate = next((s.ratio for s in made if s.kind == UNIFORM), 0.0)
+    return sampling.uniform_sample(tables[query.fact], rate, tpch.KEYS[query.fact])
+
+
 # -- prejoins --------------------------------------------------------------------
 
 
@@ -519,9 +548,11 @@ QUERIES = {
     "stratified_sample_tail": stratified_sample_tail,
     "min_row_sample": min_row_sample,
     "min_row_sample_tail": min_row_sample_tail,
+    "min_row_sample_orders": min_row_sample_orders,
     "sample_roundtrip": sample_roundtrip,
     "advise_one": advise_one,
     "advise_workload": advise_workload,
+    "advised_uniform_sample": advised_uniform_sample,
     "prejoin_star": prejoin_star,
     "prejoin_snowflake": prejoin_snowflake,
     "prejoin_cover": prejoin_cover,

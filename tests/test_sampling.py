@@ -1,5 +1,6 @@
 import random
 from collections import Counter
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -80,11 +81,23 @@ def test_prefix_search_works_for_any_step(skewed, monkeypatch):
     assert ids(min_row_sample(skewed, ["k"], 50, ["id"])) == want
 
 
-@pytest.mark.parametrize("limit", [1, 5, 40])
-def test_more_strata_than_may_be_broadcast(skewed, monkeypatch, limit):
-    want = ids(stratified_sample(skewed, ["k"], ["id"]))
-    monkeypatch.setattr(sampling, "MAX_BROADCAST_STRATA", limit)
-    assert ids(stratified_sample(skewed, ["k"], ["id"])) == want
+@pytest.fixture
+def shuffled_joins(spark):
+    """As with too many strata to broadcast."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "-1")
+    yield
+    spark.conf.set(name, before)
+
+
+@pytest.mark.parametrize("sampler", [stratified_sample, partial(min_row_sample, min_rows=50)])
+def test_more_strata_than_may_be_broadcast(skewed, request, sampler):
+    want = ids(sampler(skewed, ["k"], key=["id"]))
+    request.getfixturevalue("shuffled_joins")
+    got = sampler(skewed, ["k"], key=["id"])
+    assert "BroadcastHashJoin" not in got._jdf.queryExecution().toString()
+    assert ids(got) == want
 
 
 def test_stored_sizes_give_the_same_sample(skewed):
@@ -188,13 +201,17 @@ def test_the_cutoff_scan_reads_key_and_query_columns_only(spark, skewed):
     assert "ReadSchema: struct<id:bigint,k:string>" in plan
 
 
-def test_many_small_strata_are_ranked_with_one_shuffle_and_one_sort(skewed, monkeypatch):
-    monkeypatch.setattr(sampling, "MAX_BROADCAST_STRATA", 5)
+def test_small_cutoffs_leave_the_rows_where_they_are(skewed):
     df = stratified_sample(skewed, ["k"], ["id"])
     plan = df._jdf.queryExecution().toString()
-    physical = plan[plan.index("== Physical Plan =="):]
-    assert physical.count("Exchange hashpartitioning") == 1
-    assert physical.count("Sort [") == 1
+    assert "Exchange hashpartitioning" not in plan[plan.index("== Physical Plan ==") :]
+
+
+def test_no_hint_forces_a_broadcast(skewed, shuffled_joins):
+    df = stratified_sample(skewed, ["k"], ["id"])
+    plan = df._jdf.queryExecution().toString()
+    physical = plan[plan.index("== Physical Plan ==") :]
+    assert "SortMergeJoin" in physical and "BroadcastExchange" not in physical
 
 
 def test_a_thin_sample_is_written_in_few_files(skewed, tmp_path):
