@@ -1,7 +1,7 @@
 """Uniform, stratified and min-row samples of a fact table.
 
 A stratified sample keeps, per stratum, the rows with the smallest digests. It
-is built without moving the fact:
+is built without moving the fact while the cut-offs are small enough to broadcast:
 
 1. stratum sizes (one aggregate over the query columns);
 2. the digest of the last row to keep per stratum. The sizes predict where it

@@ -34,3 +34,9 @@ def test_evaluate_all_reports_each_sample(spark, tiny):
     assert {r["query_id"] for r in rows} == {"flag", "65", "88"}
     assert all(r["missing_group_ratio"] == 0 for r in rows)
     assert all(r["avg_pct_error"] < 0.2 for r in rows)
+
+
+@pytest.mark.parametrize("name", ["stratified_sample_tail", "min_row_sample_tail"])
+def test_joined_samples_read_the_stored_join(spark, tiny, name):
+    files = QUERIES[name](spark, tiny).inputFiles()
+    assert files and not any(tiny in f for f in files)
