@@ -15,13 +15,15 @@ LARGEST_RATIO = 2.0 / 3.0
 NONE = "none"
 
 
-def decide(summary: DataFrame, uniform_above: int = UNIFORM_THRESHOLD) -> DataFrame:
+def decide(summary: DataFrame, uniform_above: int | None = None) -> DataFrame:
     """Add ``advice``, ``ratio`` and ``reason`` to stratum summaries.
 
-    Strata above ``uniform_above`` rows on average get a uniform sample, unless it would
-    keep over two thirds of the rows; smaller ones a stratified sample under the
-    same limit. Large strata never fall back to a stratified sample.
+    Strata above ``uniform_above`` rows on average (``UNIFORM_THRESHOLD`` if not
+    given) get a uniform sample, unless it would keep over two thirds of the
+    rows; smaller ones a stratified sample under the same limit. Large strata never fall back to a stratified sample.
     """
+    if uniform_above is None:
+        uniform_above = UNIFORM_THRESHOLD
     large = F.col("avg_group_size") > F.lit(uniform_above)
     ratio = F.when(large, F.lit(uniform_above) / F.col("avg_group_size")).otherwise(
         F.try_divide("target_sample_size", "population_size")
@@ -50,7 +52,7 @@ def every_profile(summaries: DataFrame, count: int) -> DataFrame:
 def advise(
     queries: Sequence[QuerySpec],
     source_of: Callable[[QuerySpec], DataFrame],
-    uniform_above: int = UNIFORM_THRESHOLD,
+    uniform_above: int | None = None,
 ) -> DataFrame:
     """One row of summary and advice per query with query columns.
 
