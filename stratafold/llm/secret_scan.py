@@ -7,13 +7,15 @@ import math
 import re
 import zlib
 from dataclasses import dataclass
+from functools import lru_cache
 
 import numpy as np
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from stratafold.llm.common import arrow_rows
-from stratafold.llm.crf import Adam, gradient, viterbi
+from stratafold.llm.crf import Adam, gradient
 from stratafold.session import pin
 
 KINDS = ("assign", "access", "hex")
@@ -26,15 +28,14 @@ ASSIGN = re.compile(
 WORDS = ("password", "passwd", "secret", "token", "apikey", "api_key")
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
-#: Sequences learned from, at most; passes; hashed features; tokens of context on either side.
+#: Windows with digits or a secret learned from, at most, and without; passes; hashed features; tokens of context on either side.
 TRAINED, EPOCHS, FEATURES, CONTEXT = 1200, 40, 1 << 13, 4
-#: Tokens of a sequence that is learned from, at most; longer ones are decoded but not learned.
-LEARNED = 40
-#: Characters that a token has to have to be part of a secret, besides a digit.
+#: Characters that a token has to have to be part of a secret.
 LEAST = 8
+#: Places, relative to a token, whose tokens are among its features; tokens whose scores are kept.
+STEPS, SCORED = (-3, -2, -1, 1, 2), 200_000
 
 Span = tuple[str, int, int]
-_SUSPECT = re.compile(r"[A-Za-z0-9+/_.=-]*[0-9][A-Za-z0-9+/_.=-]*")
 _DIGIT = re.compile(r"[0-9]")
 _TOKEN = re.compile(r"[A-Za-z0-9+/_.-]+|[^\sA-Za-z0-9+/_.-]")
 _SHAPE = [
@@ -69,31 +70,23 @@ def _values(text: str, base: list[Span]) -> list[tuple[int, int]]:
 
 
 def admissible(token: str) -> bool:
-    return len(token) >= LEAST and bool(_DIGIT.search(token))
-
-
-def sequences(text: str) -> list[list[tuple[str, int, int]]]:
-    """Token runs around admissible tokens; all others are outside by definition."""
-    out: list[list[tuple[str, int, int]]] = []
-    upto = -1
-    for m in _SUSPECT.finditer(text):
-        if len(m[0]) < LEAST or m.start() < upto:
-            continue
-        left = text.rfind("\n", max(0, m.start() - 60), m.start()) + 1 or max(0, m.start() - 60)
-        left = max(left, upto, 0)
-        right = min(len(text), m.end() + 40)
-        run = [(t[0], t.start(), t.end()) for t in _TOKEN.finditer(text, left, right)]
-        inside = [i for i, t in enumerate(run) if t[1] < m.end() and t[2] > m.start()]
-        if not inside:
-            continue
-        run = run[max(0, inside[0] - CONTEXT) : inside[-1] + 1 + CONTEXT]
-        if any(admissible(t[0]) for t in run):
-            out.append(run)
-            upto = run[-1][2]
+    return len(token) >= LEAST
+
+
+def windows(tokens: list[str]) -> list[tuple[int, int]]:
+    """Places (from, to) of stretches of whole tokens that together hold every admissible one."""
+    out: list[tuple[int, int]] = []
+    upto = 0
+    for i, token in enumerate(tokens):
+        if len(token) >= LEAST and i >= upto:
+            out.append((max(upto, i - CONTEXT), min(len(tokens), i + 1 + CONTEXT)))
+            upto = out[-1][1]
     return out
 
 
 def _shape(token: str) -> str:
+    if token.isalpha() and token.islower() and token.isascii():
+        return "a"
     for pattern, to in _SHAPE:
         token = pattern.sub(to, token)
     return token[:16]
@@ -122,25 +115,113 @@ def file_features(text: str) -> list[str]:
     return [f"file:marks={int(math.log2(1 + 1000 * marks / size))}", f"file:size={len(text).bit_length()}"]
 
 
-def features(run: list[tuple[str, int, int]], whole: list[str]) -> list[list[int]]:
-    """Hashed features of every token: its own, its neighbours' and its file's."""
-    own = [_named(t[0]) for t in run]
-    words = [t[0].lower()[:24] for t in run]
+@lru_cache(1 << 16)
+def _cell(name: str) -> int:
+    return zlib.crc32(name.encode("utf-8", "surrogatepass")) % FEATURES
+
+
+#: CRC32 of what the names of a neighbour's features start with.
+_STARTS = [zlib.crc32(f"{step}:".encode()) for step in STEPS]
+
+
+def _words(token: str | None) -> list[int]:
+    """Hashed feature that a token's word gives to each token STEPS away; None: the text's end."""
+    word = b"edge" if token is None else token.lower()[:24].encode("utf-8", "surrogatepass")
+    return [zlib.crc32(word, start) % FEATURES for start in _STARTS]
+
+
+def _shapes(names: list[str]) -> list[int]:
+    """Hashed features that a token's shape and size give to each token next to it."""
+    return [_cell(f"{step}:{x}") for step in STEPS if abs(step) == 1 for x in names[:2]]
+
+
+def features(tokens: list[str], start: int, end: int, whole: list[str]) -> list[list[int]]:
+    """Hashed features of the tokens from ``start`` to ``end``: own, their neighbours' and the file's."""
     out = []
-    for i in range(len(run)):
-        names = [*own[i], *whole]
-        for step in (-3, -2, -1, 1, 2):
-            j = i + step
-            if 0 <= j < len(run):
-                names.append(f"{step}:{words[j]}")
-                if abs(step) == 1:
-                    names += [f"{step}:{x}" for x in own[j][:2]]
-            else:
-                names.append(f"{step}:edge")
-        out.append([zlib.crc32(x.encode()) % FEATURES for x in names])
+    for i in range(start, end):
+        ids = [_cell(x) for x in (*_named(tokens[i]), *whole)]
+        for k, step in enumerate(STEPS):
+            near = tokens[i + step] if 0 <= i + step < len(tokens) else None
+            ids.append(_words(near)[k])
+            if near is not None and abs(step) == 1:
+                ids += [_cell(f"{step}:{x}") for x in _named(near)[:2]]
+        out.append(ids)
     return out
 
 
+class _Scores(dict):
+    """Row of ``table`` by token: what it adds to its own scores and to those STEPS away."""
+
+    def __init__(self, weights: np.ndarray):
+        self.weights = np.concatenate([weights[:FEATURES], np.zeros((1, 3))])
+        self.table, self.fresh = np.zeros((1024, 1 + len(STEPS), 3)), []
+        self.edges = self.weights[_words(None)]
+
+    def __missing__(self, token: str) -> int:
+        row = self[token] = len(self)
+        self.fresh.append(token)
+        return row
+
+    def _fill(self) -> None:
+        ids: list[int] = []
+        for token in self.fresh:
+            names = _named(token)
+            ids += map(_cell, names)
+            ids += (FEATURES,) * (8 - len(names))
+            ids += _words(token)
+            ids += _shapes(names)
+        found = self.weights[np.array(ids).reshape(len(self.fresh), -1)]
+        end = len(self)
+        while end > len(self.table):
+            self.table = np.concatenate([self.table, np.zeros_like(self.table)])
+        part, words = self.table[end - len(self.fresh) : end], 8 + len(STEPS)
+        part[:, 0] = found[:, :8].sum(1)
+        part[:, 1:] = found[:, 8:words]
+        beside = [1 + k for k, step in enumerate(STEPS) if abs(step) == 1]
+        part[:, beside] += found[:, words::2] + found[:, words + 1 :: 2]
+        self.fresh = []
+
+    def of(self, tokens: list[str], whole: list[str]) -> np.ndarray:
+        """Scores (T, 3) of all tokens of a text."""
+        if len(self) > SCORED:
+            self.clear()
+        rows = np.fromiter(map(self.__getitem__, tokens), np.int64, len(tokens))
+        if self.fresh:
+            self._fill()
+        out = self.table[rows, 0] + self.weights[[_cell(x) for x in whole]].sum(0)
+        beside = np.empty_like(out)
+        for k, step in enumerate(STEPS):
+            beside[:] = self.edges[k]
+            size = max(0, len(rows) - abs(step))
+            here, there = max(0, -step), max(0, step)
+            beside[here : here + size] = self.table[rows[there : there + size], 1 + k]
+            out += beside
+        return out
+
+
+def best_tags(scores: np.ndarray, free: np.ndarray, moves: np.ndarray) -> np.ndarray:
+    """The best tags of one text (T, 3) where only ``free`` tokens can be tagged.
+
+    All others, and what stands before and after the text, are outside, so that stretches of free
+    tokens don't depend on each other: those of one length are decoded together.
+    """
+    tags = np.zeros(len(scores), np.int64)
+    bounds = np.flatnonzero(np.diff(np.concatenate([[False], free, [False]]).astype(np.int8)))
+    starts, lengths = bounds[::2], bounds[1::2] - bounds[::2]
+    for length in np.unique(lengths).tolist():
+        at = starts[lengths == length]
+        best = np.empty((length, len(at), 3), np.int64)
+        reach = scores[at] + moves[0]
+        for t in range(1, length):
+            steps = reach[:, :, None] + moves
+            best[t] = steps.argmax(1)
+            reach = steps.max(1) + scores[at + t]
+        tags[at + length - 1] = (reach + moves[:, 0]).argmax(1)
+        for t in range(length - 1, 0, -1):
+            tags[at + t - 1] = best[t, np.arange(len(at)), tags[at + t]]
+    return tags
+
+
 @dataclass
 class Field:
     """Weights of hashed features by tag (outside, begin, inside), and of transitions."""
@@ -174,62 +255,100 @@ class Field:
             spread[FEATURES] = 0
             adam.step([spread, d_moves])
 
-    def decode(self, text: str) -> list[Span]:
-        """Spans that Viterbi tags; a token that isn't admissible can't be tagged."""
-        out: list[Span] = []
-        whole = None
-        for run in sequences(text):
-            whole = whole or file_features(text)
-            scores = np.array([self.weights[x].sum(0) for x in features(run, whole)])
-            scores[[i for i, t in enumerate(run) if not admissible(t[0])], 1:] = -1e9
-            start = None
-            for i, tag in enumerate([*viterbi(scores, self.moves).tolist(), 0]):
+    def decoder(self):
+        """text -> spans that Viterbi tags; a token that isn't admissible can't be tagged."""
+        known = _Scores(self.weights)
+
+        def decode(text: str) -> list[Span]:
+            tokens = _TOKEN.findall(text)
+            free = np.fromiter(map(len, tokens), np.int64, len(tokens)) >= LEAST
+            if not free.any():
+                return []
+            tags = best_tags(known.of(tokens, file_features(text)), free, self.moves)
+            if not tags.any():
+                return []
+            out: list[Span] = []
+            start, end = None, 0
+            for m, tag in zip(_TOKEN.finditer(text), tags.tolist()):
                 if tag != 2 and start is not None:
-                    out.append((FIELD, run[start][1], run[i - 1][2]))
+                    out.append((FIELD, start, end))
                     start = None
-                if tag == 1:
-                    start = i
-        return out
+                if tag and start is None:
+                    start = m.start()
+                end = m.end()
+            return out if start is None else [*out, (FIELD, start, end)]
 
+        return decode
 
-def labelled_sequences(docs: DataFrame) -> DataFrame:
-    """(features, tags, secret) of the sequences of all documents, labelled by the patterns."""
+    def decode(self, text: str) -> list[Span]:
+        return self.decoder()(text)
+
+
+def _marks(text: str, tokens: list[str]) -> list[int]:
+    """Tags of all tokens by the patterns."""
+    marks, last, parts = [0] * len(tokens), None, _values(text, base_spans(text))
+    if parts:
+        for i, m in enumerate(_TOKEN.finditer(text)):
+            part = next((p for p in parts if p[0] < m.end() and p[1] > m.start()), None)
+            part = part if admissible(m[0]) else None
+            marks[i] = 0 if part is None else 2 if part == last else 1
+            last = part
+    return marks
+
+
+def labelled_windows(docs: DataFrame, most: int) -> DataFrame:
+    """(h, kind, near, start, whole, tags) of windows of all documents, labelled by the patterns;
+    ``near`` has the window's tokens from ``start`` on, and the neighbours that features look at.
+
+    Kind is 2 with a secret, 1 without one but with digits in an admissible token, else 0. Of
+    each kind a batch hands on only its ``most`` smallest digests, which hold those of the table.
+    """
 
     def make():
         def work(batch):
-            found, tags, secret = [], [], []
+            found: list[dict[int, tuple]] = [{}, {}, {}]
             for value in batch["text"]:
                 text = value.as_py() or ""
-                runs = [r for r in sequences(text) if len(r) <= LEARNED]
-                if not runs:
+                tokens = _TOKEN.findall(text)
+                places = windows(tokens)
+                if not places:
                     continue
-                parts, whole = _values(text, base_spans(text)), file_features(text)
-                for run in runs:
-                    marks, last = [], None
-                    for token, s, e in run:
-                        part = next((p for p in parts if p[0] < e and p[1] > s), None)
-                        part = part if admissible(token) else None
-                        marks.append(0 if part is None else 2 if part == last else 1)
-                        last = part
-                    found.append(features(run, whole))
-                    tags.append(marks)
-                    secret.append(any(marks))
-            yield {"features": found, "tags": tags, "secret": secret}
+                marks, whole = _marks(text, tokens), file_features(text)
+                for a, b in places:
+                    low = max(0, a + STEPS[0])
+                    tags, near = marks[a:b], tokens[low : b + STEPS[-1]]
+                    raw = "\n".join((*near, *whole, f"{a - low} {tags}"))
+                    h = xxhash.xxh3_64_intdigest(raw.encode("utf-8", "surrogatepass")) >> 1
+                    digits = any([len(t) >= LEAST and _DIGIT.search(t) for t in tokens[a:b]])
+                    kind = 2 if any(tags) else int(digits)
+                    found[kind].setdefault(h, (near, a - low, whole, tags))
+                for some in found:
+                    if len(some) > 4 * most:
+                        for h in sorted(some)[most:]:
+                            del some[h]
+            rows = [
+                (h, kind, *some[h]) for kind, some in enumerate(found) for h in sorted(some)[:most]
+            ]
+            names = ("h", "kind", "near", "start", "whole", "tags")
+            yield {name: [r[i] for r in rows] for i, name in enumerate(names)}
 
         return work
 
-    schema = "features array<array<int>>, tags array<int>, secret boolean"
+    schema = "h long, kind int, near array<string>, start int, whole array<string>, tags array<int>"
     return arrow_rows(docs.select("text"), make, schema)
 
 
 def train(docs: DataFrame, most: int = TRAINED) -> Field:
-    """A field from at most ``most`` labelled sequences, those with the smallest digests, half of
-    them with a secret. Without sequences it finds nothing."""
-    rows = pin(labelled_sequences(docs).withColumn("h", F.xxhash64("features")), "secret-runs")
+    """A field from at most ``most`` distinct labelled windows with digits or a secret, half of them
+    with a secret, and as many without either, those with the smallest digests. Without windows
+    it finds nothing."""
+    rows = pin(labelled_windows(docs, most), "secret-runs")
     picked = []
-    for secret in (False, True):
-        some = rows.where(F.col("secret") == secret).orderBy("h", "tags").limit(most // 2)
-        picked += [(r.features, r.tags) for r in some.collect()]
+    for kind, share in enumerate((1, 2, 2)):
+        some = rows.where(F.col("kind") == kind).dropDuplicates(["h"]).orderBy("h")
+        for r in some.limit(most // share).collect():
+            end = r.start + len(r.tags)
+            picked.append((features(r.near, r.start, end, r.whole), r.tags))
     field = Field.new()
     if picked:
         field.train([x for x, _ in picked], [t for _, t in picked])
@@ -249,7 +368,7 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(field or train(docs))
 
     def make():
-        model = shared.value
+        decode = shared.value.decoder()
 
         def work(batch):
             out = {f"n_{k}": [] for k in KINDS}
@@ -262,7 +381,7 @@ def detect(docs: DataFrame, field: Field | None = None) -> DataFrame:
                     out[f"n_{kind}"].append(sum(k == kind for k, _, _ in base))
                 more = [
                     x
-                    for x in model.decode(text)
+                    for x in decode(text)
                     if not any(s < x[2] and e > x[1] for _, s, e in base)
                 ]
                 every = sorted([*base, *more], key=lambda x: (x[1], order.index(x[0])))

@@ -24,6 +24,7 @@ from stratafold.llm import (
     vectors,
 )
 from stratafold.llm.common import components
+from stratafold.llm.crf import viterbi
 from stratafold.llm.lattice import Lattice
 from stratafold.llm.queries import ORACLE, QUERIES
 from compare import connect, duck_rows, same, spark_rows
@@ -308,6 +309,37 @@ def test_secrets(docs, empty):
     assert secret_scan.detect(empty).collect() == []
 
 
+def test_secrets_behind_a_suspect_are_whole():
+    field = secret_scan.Field.new()
+    field.weights[zlib.crc32(b"size=8") % secret_scan.FEATURES, 1] = 50.0
+    for secret in ("xK9fQ2mL7vT4pR8sW1nZ6bY3cD5eG0hJ", "xKqfQbmLjvTapRbsWknZobYhcDyeGihJ"):
+        for before in (
+            "",
+            "2024-01-17 deploy credential: ",
+            "2024-01-17 authentication_header_for_gateway: ",
+            "12345678 a b c ab=",
+        ):
+            text = f"{before}{secret} and more"
+            assert ("field", len(before), len(before) + len(secret)) in field.decode(text), text
+
+
+def test_secret_decoding_is_that_of_the_plain_chain():
+    rng = np.random.default_rng(3)
+    field = secret_scan.Field(rng.normal(size=(secret_scan.FEATURES + 1, 3)), rng.normal(size=(3, 3)))
+    text = " ".join(rng.choice(["key1=abcd1234", "wordwithoutdigits", "the", "0123456789ab"], 60))
+    tokens = secret_scan._TOKEN.findall(text)
+    ids = secret_scan.features(tokens, 0, len(tokens), secret_scan.file_features(text))
+    plain = np.array([field.weights[x].sum(0) for x in ids])
+    scores = secret_scan._Scores(field.weights).of(tokens, secret_scan.file_features(text))
+    assert np.allclose(scores, plain)
+    free = np.array([len(t) >= secret_scan.LEAST for t in tokens])
+    held = np.where(free[:, None] | (np.arange(3) == 0), plain, -1e9)
+    out = [[0.0, -1e9, -1e9]]
+    tags = viterbi(np.concatenate([out, held, out]), field.moves)[1:-1]
+    assert secret_scan.best_tags(scores, free, field.moves).tolist() == tags.tolist()
+    assert {*range(3)} == {*tags.tolist()}
+
+
 PAGE = """<html><head><title>T</title><script>var x="</p>"</script></head><body><nav><ul>
 <li><a href="/a">Home</a><li><a>About</a></ul></nav><article><h1>Head &amp; more</h1>
 <p>One <b>bold</b>
