@@ -14,6 +14,9 @@ from stratafold.llm import decontaminate, minhash, mixing, quality, sharding
 from stratafold.llm.common import table
 from stratafold.session import pin
 
+#: Percent of similarity from which on documents are near duplicates.
+SIMILAR = 80
+
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
@@ -24,8 +27,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def near_duplicate_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near duplicates, the one with the smallest doc_id."""
-    return minhash.deduplicated(docs).select(*docs.columns)
+    """One document of each group of near duplicates, the one with the smallest doc_id; linked are
+    documents whose five-word shingles have a Jaccard similarity of 0.8 or more."""
+    return minhash.deduplicated(docs, SIMILAR).select(*docs.columns)
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

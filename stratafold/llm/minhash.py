@@ -1,7 +1,7 @@
 """MinHash near duplicates by an inverted join over signature coordinates.
 
 Documents are posted under every (coordinate, value) of their signature. Pairs with at least
-MATCHES equal coordinates share one among the COORDINATES - MATCHES + 1 rarest of each, so only
+m equal coordinates (``matches``) share one among the COORDINATES - m + 1 rarest of each, so only
 that prefix is posted (prefix merging), and documents whose prefix no other shares are passed over
 (skip merging). Documents connected by such pairs are a family; within families links are
 confirmed on the full shingle sets. All pairs are compared, but only links that connect go on.
@@ -9,6 +9,8 @@ confirmed on the full shingle sets. All pairs are compared, but only links that
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -19,10 +21,9 @@ from stratafold.llm.common import arrow_rows, components
 from stratafold.session import pin
 
 SHINGLE = 5
-#: Coordinates of a signature, and how many a pair at the threshold shares but for one in 10^4.
-COORDINATES, MATCHES = 32, 18
-PREFIX = COORDINATES - MATCHES + 1
-#: Percent of the union that the intersection holds at least.
+#: Coordinates of a signature, and the share of pairs at the threshold that may collide too rarely.
+COORDINATES, MISSED = 32, 2e-5
+#: Percent of the union that the intersection holds at least, if no other threshold is given.
 PERCENT = 85
 #: Nodes of a list, and of a family, that one block holds, about.
 LIST_BLOCK, FAMILY_BLOCK = 512, 128
@@ -32,6 +33,16 @@ _ODD = np.uint64(0x9E3779B97F4A7C15)
 _WORDS_CACHED = 400_000
 
 
+def matches(percent: int) -> int:
+    """Equal coordinates that all but MISSED of the pairs at the threshold have at least."""
+    p, fewer = percent / 100, 0.0
+    for m in range(COORDINATES):
+        fewer += math.comb(COORDINATES, m) * p**m * (1 - p) ** (COORDINATES - m)
+        if fewer > MISSED:
+            return max(1, m)
+    return COORDINATES
+
+
 def _mixed(x: np.ndarray) -> np.ndarray:
     x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
     x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
@@ -104,7 +115,7 @@ def _signatures(docs: DataFrame) -> DataFrame:
     return arrow_rows(docs.select("doc_id", "text"), make, schema)
 
 
-def _postings(classes: DataFrame) -> DataFrame:
+def _postings(classes: DataFrame, least: int) -> DataFrame:
     """(token, node): each node under the rarest coordinates of its signature that others share."""
 
     def make():
@@ -127,7 +138,7 @@ def _postings(classes: DataFrame) -> DataFrame:
         F.sort_array(F.collect_list(F.struct("n", "token"))).alias("lists")
     )
     # coordinates that no one shares are the rarest: they take up places of the prefix
-    places = F.greatest(F.lit(0), PREFIX - (COORDINATES - F.size("lists")))
+    places = F.greatest(F.lit(0), F.size("lists") - (least - 1))
     kept = shared.withColumn("kept", F.slice("lists", F.lit(1), places))
     return kept.select("node", F.explode("kept.token").alias("token"))
 
@@ -161,8 +172,8 @@ def _block_pairs(df: DataFrame, size: Column, together: int) -> DataFrame:
     ).drop("_own", "_other", "_of")
 
 
-def _alike(lists: DataFrame, classes: DataFrame) -> DataFrame:
-    """(a, b): links that connect all nodes of a list whose signatures collide in MATCHES or more.
+def _alike(lists: DataFrame, classes: DataFrame, least: int) -> DataFrame:
+    """(a, b): links that connect all nodes of a list whose signatures collide in ``least`` or more.
 
     Lists are merged in pairs of blocks; of the collisions found there only a spanning forest
     goes on, so the output is no longer than the postings.
@@ -183,7 +194,7 @@ def _alike(lists: DataFrame, classes: DataFrame) -> DataFrame:
                 same = np.zeros((len(nodes), len(nodes)), np.uint8)
                 for column in found.T:
                     same += column[:, None] == column[None, :]
-                for x, y in _forest(same >= MATCHES):
+                for x, y in _forest(same >= least):
                     a.append(min(nodes[x], nodes[y]))
                     b.append(max(nodes[x], nodes[y]))
             yield {"a": a, "b": b}
@@ -208,7 +219,7 @@ def _overlaps(sets: list[np.ndarray]) -> np.ndarray:
     return out
 
 
-def _confirmed(members: DataFrame) -> DataFrame:
+def _confirmed(members: DataFrame, percent: int) -> DataFrame:
     """(a, b): links that connect what full sets link within (family, node, shingles)."""
     sizes = members.groupBy("family").agg(F.count(F.lit(1)).alias("n"))
     small = F.concat(F.lit("small"), F.pmod(F.xxhash64("family"), F.lit(BINS))).cast("binary")
@@ -228,7 +239,7 @@ def _confirmed(members: DataFrame) -> DataFrame:
             both = _overlaps(sets)
             counts = np.array([len(x) for x in sets], np.float64)
             union = counts[:, None] + counts[None, :] - both
-            for x, y in _forest(100 * both >= PERCENT * union):
+            for x, y in _forest(100 * both >= percent * union):
                 a.append(min(nodes[x], nodes[y]))
                 b.append(max(nodes[x], nodes[y]))
         return pa.table({"a": pa.array(a, pa.binary()), "b": pa.array(b, pa.binary())})
@@ -261,10 +272,10 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def near_duplicates(docs: DataFrame) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
 
-    Linked are documents whose sets of distinct five-word shingles overlap in PERCENT of their
+    Linked are documents whose sets of distinct five-word shingles overlap in ``percent`` of their
     union or more; a document of fewer words is one shingle. ``component_id`` is the smallest
     doc_id reachable by links. Documents with the same words are one node and never paired up.
 
@@ -283,13 +294,14 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
         ),
         "minhash-classes",
     )
-    lists = pin(_postings(classes), "minhash-lists")
-    families = components(_alike(lists, classes), "minhash-families")
+    least = matches(percent)
+    lists = pin(_postings(classes, least), "minhash-lists")
+    families = components(_alike(lists, classes, least), "minhash-families")
     named = classes.select("node", F.col("least").alias("doc_id")).join(families, "node", "left_semi")
     members = _sets(docs, named).join(
         families.select("node", F.col("root").alias("family")), "node"
     )
-    roots = components(_confirmed(pin(members, "minhash-members")), "minhash-components")
+    roots = components(_confirmed(pin(members, "minhash-members"), percent), "minhash-components")
     nodes = classes.select("node", "least").join(roots, "node", "left")
     nodes = nodes.withColumn("root", F.coalesce("root", "node"))
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
@@ -303,12 +315,12 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     )
 
 
-def deduplicated(docs: DataFrame) -> DataFrame:
+def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """``docs`` without near duplicates: of each component the rows with its smallest doc_id stay.
 
     Rows without shingles, and rows without a doc_id that have no duplicate with one, stay too.
     """
-    dropped = near_duplicates(docs).where("NOT kept").select("doc_id").distinct()
+    dropped = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
     dropped = pin(dropped, "minhash-dropped")
     same = docs["doc_id"].eqNullSafe(dropped["doc_id"])
     return docs.join(dropped, same, "left_anti")

@@ -281,6 +281,22 @@ def test_minhash_links_a_chain_of_copies(spark):
     assert {r.doc_id: r.component_id for r in minhash.near_duplicates(frame).collect()} == roots
 
 
+def test_pipeline_links_from_four_fifths(spark):
+    words = [f"t{i}" for i in range(104)]  # 100 shingles
+    near = [*words[:50], "x", *words[51:]]  # 95 of 105 shared
+    far = [*near[:70], "y", *near[71:]]  # 90 of 110, 0.818
+    other = [*words[:20], "z", *words[21:50], "x", *words[51:70], "y", *words[71:]]  # 85 of 115
+    rows = [(1, " ".join(words)), (2, " ".join(far)), (5, "a text of its own with no copy")]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    kept = corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()
+    assert sorted(r.doc_id for r in kept) == [1, 5]
+    assert all(r.kept for r in minhash.near_duplicates(frame).collect())
+    rows = [(1, " ".join(words)), (3, " ".join(other))]
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    assert len(corpus_pipeline.near_duplicate_stage(spark, frame, "").collect()) == 2
+    assert minhash.matches(85) == 18 and 1 <= minhash.matches(80) < 18
+
+
 def test_personal_data(docs, empty):
     rows = by_id(pii.detect(docs))
     assert (rows[8].n_email, rows[8].n_ip, rows[8].n_card, rows[8].n_phone) == (1, 1, 1, 1)
