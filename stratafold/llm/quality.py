@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from stratafold.llm.common import arrow_rows, id_crc
 
-#: Labelled rows of each class that the vectors are learned from, at most.
+#: Half of the labelled rows that the vectors are learned from, at most.
 LABELLED = 1500
 #: Hashed terms, latent dimensions, neighbours that vote, documents compared at once.
 TERMS, LATENT, NEIGHBOURS, BLOCK = 1024, 24, 15, 256
@@ -107,18 +107,16 @@ class Voters:
 
 
 def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters:
-    """Voters from at most ``labelled`` rows of each class, those with the smallest id digests.
+    """Voters from at most twice ``labelled`` rows, those with the smallest id digests of both
+    classes together, so that the classes keep their shares whatever the size of the table.
 
     Rows whose CRC32 of doc_id modulo 5 is 0 are never learned from. Null labels and labels
     other than 0 and 1 are left out; of several labels of one id the smallest counts.
     """
     usable = labels.where(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & ~held_out())
     usable = usable.groupBy("doc_id").agg(F.min("quality").alias("quality"))
-    picked = [
-        usable.where(F.col("quality") == q).orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
-        for q in (0, 1)
-    ]
-    sample = F.broadcast(picked[0].union(picked[1]))  # 2 * labelled rows
+    sample = usable.orderBy(F.xxhash64("doc_id"), "doc_id").limit(2 * labelled)
+    sample = F.broadcast(sample)  # 2 * labelled rows
 
     def make():
         cache: dict[bytes, bytes] = {}

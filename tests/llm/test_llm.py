@@ -201,6 +201,13 @@ def test_quality(spark, docs, empty, small):
     assert quality.score(empty, labels).collect() == []
 
 
+def test_quality_voters_keep_the_classes_shares(spark):
+    rows = [(i, f"word{i} and more", int(i % 10 > 0)) for i in range(600)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    few = quality.fit(frame.drop("quality"), frame.drop("text"), labelled=50)
+    assert len(few.labels) == 100 and abs(few.prior - 0.9) < 0.08
+
+
 def test_mixing(spark, docs, empty):
     taken = mixing.mix(docs, budget=(1, 2), max_epochs=1)
     assert taken.columns == [*docs.columns, "epoch"]
