@@ -18,6 +18,9 @@ from stratafold.llm.common import arrow_rows, id_crc
 LABELLED = 1500
 #: Hashed terms, latent dimensions, neighbours that vote, documents compared at once.
 TERMS, LATENT, NEIGHBOURS, BLOCK = 1024, 24, 15, 256
+#: Cells of hashed words, and of runs of four bytes; length of their latent vector beside that of
+#: the shapes; bytes that are counted at once.
+CELLS, SEMANTIC, SLICE = 1024, 0.5, 1 << 20
 REJECT_BELOW = 0.3
 _SHAPES = bytes(
     ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
@@ -65,29 +68,64 @@ def terms(text: str | None, cache: dict[bytes, bytes]) -> dict[str, float]:
     return found
 
 
-def weighted(found: Iterable[dict[str, float]]) -> np.ndarray:
+def cells(text: str | None) -> np.ndarray:
+    """What a whole text says: its words, and its runs of four bytes in any language, hashed."""
+    raw = (text or "").encode("utf-8", "surrogatepass").lower()
+    out = np.zeros(2 * CELLS)
+    found = Counter(raw.split())
+    if not found:
+        return out
+    at = np.array([xxhash.xxh32_intdigest(w) % CELLS for w in found])
+    n = sum(found.values())
+    out[:CELLS] = np.bincount(at, np.sqrt(np.array([*found.values()]) / n), CELLS)
+    counts = np.zeros(CELLS)
+    for start in range(0, len(raw) - 3, SLICE):
+        b = np.frombuffer(raw[start : start + SLICE + 3], np.uint8).astype(np.uint32)
+        runs = b[:-3] | b[1:-2] << 8 | b[2:-1] << 16 | b[3:] << 24
+        counts += np.bincount(runs * np.uint32(0x9E3779B1) >> np.uint32(22), minlength=CELLS)
+    out[CELLS:] = np.sqrt(counts / max(1.0, counts.sum()))
+    return out
+
+
+def vectors(texts: Iterable[str | None], cache: dict[bytes, bytes]) -> np.ndarray:
+    """Shapes (TERMS), then words and runs of bytes (2 * CELLS), one row a text."""
     rows = []
-    for terms_ in found:
+    for text in texts:
         row = np.zeros(TERMS)
-        for name, weight in terms_.items():
+        for name, weight in terms(text, cache).items():
             row[xxhash.xxh32_intdigest(name) % TERMS] += weight
-        rows.append(row)
-    return np.array(rows).reshape(-1, TERMS)
+        rows.append(np.concatenate([row, cells(text)]))
+    return np.array(rows).reshape(-1, TERMS + 2 * CELLS).astype(np.float32)
+
+
+def _unit(z: np.ndarray) -> np.ndarray:
+    length = np.sqrt((z * z).sum(1, keepdims=True))
+    return np.divide(z, length, out=np.zeros_like(z), where=length > 1e-12)
+
+
+def _basis(x: np.ndarray) -> np.ndarray:
+    """Term weights times the strongest axes of the weighted rows."""
+    spread = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
+    found = x * spread
+    _, axes = np.linalg.eigh(found.T @ found)  # ascending
+    return spread[:, None] * axes[:, ::-1][:, : min(LATENT, *x.shape)]
 
 
 @dataclass(frozen=True)
 class Voters:
-    """Latent basis with term weights, and the labelled vectors in it. Bounded by LABELLED."""
+    """Latent bases with term weights, of shapes and of what texts say, and the labelled vectors in
+    them. Bounded by LABELLED."""
 
     basis: np.ndarray
+    semantic: np.ndarray
     vectors: np.ndarray
     labels: np.ndarray
     prior: float
 
     def latent(self, rows: np.ndarray) -> np.ndarray:
-        z = rows @ self.basis
-        length = np.sqrt((z * z).sum(1, keepdims=True))
-        return np.divide(z, length, out=np.zeros_like(z), where=length > 1e-12)
+        rows = rows.astype(float)
+        shapes, says = rows[:, :TERMS] @ self.basis, rows[:, TERMS:] @ self.semantic
+        return _unit(np.concatenate([_unit(shapes), SEMANTIC * _unit(says)], 1))
 
     def scores(self, rows: np.ndarray) -> np.ndarray:
         """Label share among the nearest, by cosine; ties in cosine go to the earlier vector."""
@@ -122,12 +160,11 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters:
         cache: dict[bytes, bytes] = {}
 
         def work(batch):
-            found = [terms(t.as_py(), cache) for t in batch["text"]]
+            found = vectors((t.as_py() for t in batch["text"]), cache)
             yield {
                 "doc_id": batch["doc_id"].to_pylist(),
                 "quality": batch["quality"].to_pylist(),
-                "names": [list(f) for f in found],
-                "weights": [list(f.values()) for f in found],
+                "vector": [row.tobytes() for row in found],
             }
 
         return work
@@ -136,21 +173,18 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters:
     rows = arrow_rows(
         docs.select("doc_id", "text").join(sample, "doc_id"),
         make,
-        f"doc_id {kind}, quality int, names array<string>, weights array<double>",
+        f"doc_id {kind}, quality int, vector binary",
     ).collect()
-    rows.sort(key=lambda r: (r.doc_id, r.names, r.weights))
+    rows.sort(key=lambda r: (r.doc_id, bytes(r.vector)))
     rows = [r for i, r in enumerate(rows) if not i or rows[i - 1] != r]
     y = np.array([r.quality for r in rows], float)
-    x = weighted(dict(zip(r.names, r.weights)) for r in rows)
-    spread = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1 if len(x) else np.ones(TERMS)
-    rank = min(LATENT, *x.shape) if len(x) else 1
-    if len(x):
-        _, _, axes = np.linalg.svd(x * spread, full_matrices=False)
-        basis = spread[:, None] * axes[:rank].T
-    else:
-        basis = np.zeros((TERMS, rank))
-    voters = Voters(basis, np.zeros((0, rank)), y, float(y.mean()) if len(y) else 0.5)
-    return Voters(basis, voters.latent(x), y, voters.prior)
+    x = np.frombuffer(b"".join(r.vector for r in rows), np.float32).reshape(len(rows), TERMS + 2 * CELLS)
+    if not len(rows):
+        empty = np.zeros((TERMS, 1)), np.zeros((2 * CELLS, 1))
+        return Voters(*empty, np.zeros((0, 2)), y, 0.5)
+    bases = _basis(x[:, :TERMS].astype(float)), _basis(x[:, TERMS:].astype(float))
+    voters = Voters(*bases, np.zeros((0, 0)), y, float(y.mean()))
+    return Voters(*bases, voters.latent(x), y, voters.prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
@@ -173,7 +207,7 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataF
             scores = []
             for at in range(0, batch.num_rows, BLOCK):
                 texts = batch["text"].slice(at, BLOCK)
-                scores += voters.scores(weighted(terms(t.as_py(), cache) for t in texts)).tolist()
+                scores += voters.scores(vectors((t.as_py() for t in texts), cache)).tolist()
             yield {
                 **{c: batch[c] for c in kept},
                 "score": scores,

@@ -208,6 +208,17 @@ def test_quality_voters_keep_the_classes_shares(spark):
     assert len(few.labels) == 100 and abs(few.prior - 0.9) < 0.08
 
 
+def test_quality_reads_words(spark):
+    rng = np.random.default_rng(7)
+    words = [[f"{a}{b}{c}" for a in x for b in "aeiou" for c in y] for x, y in (("bdg", "lmn"), ("ptk", "rsz"))]
+    rows = [(i, " ".join(rng.choice(words[i % 2], 80)), i % 2) for i in range(400)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, quality int")
+    scored = quality.score(frame.drop("quality"), frame.drop("text"))
+    held = scored.where(quality.held_out()).collect()
+    assert len(held) > 40
+    assert np.mean([r.predicted == r.doc_id % 2 for r in held]) > 0.95
+
+
 def test_mixing(spark, docs, empty):
     taken = mixing.mix(docs, budget=(1, 2), max_epochs=1)
     assert taken.columns == [*docs.columns, "epoch"]
