@@ -95,7 +95,7 @@ class _Reader:
                     self.stack.pop()
         if name not in VOID and not tag.endswith("/>"):
             found = [next(filter(None, m), "") for m in _NAMED.findall(tag)]
-            label = "." + ".".join(" ".join(found).lower().split()[:4]) if found else ""
+            label = "." + ".".join(" ".join(found).lower().split()) if found else ""
             self.stack.append(_Open(name, label))
 
     def close(self, name: str) -> None:

@@ -402,6 +402,12 @@ def test_html(spark, small):
     assert html_text.extract(given.limit(0)).collect() == []
 
 
+def test_html_reads_all_names_of_an_element():
+    page = '<article><p>text<div class="row col md-6 mt-4 comments"><p>me too</div></article>'
+    found = [(b.text, html_text.is_main(b)) for b in html_text.blocks(page)]
+    assert found == [("text", True), ("me too", False)]
+
+
 def test_pipeline(spark, small):
     names = [name for name, _ in corpus_pipeline.STAGES]
     assert len(names) == 5
