@@ -6,15 +6,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from stratafold.llm import (
+    collocations,
     decontaminate,
     html_text,
     lm,
+    merkle,
     minhash,
     mixing,
     pii,
     quality,
     secret_scan,
     sharding,
+    url_filter,
     vectors,
 )
 from stratafold.llm.common import table
@@ -67,6 +70,18 @@ def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_merkle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle.verified(table(spark, sf_dir, "documents"), merkle.crc_divides())
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(table(spark, sf_dir, "documents"))
+
+
+def op13_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return url_filter.judge(table(spark, sf_dir, "pages"))
+
+
 QUERIES = {
     "op1_sharding": op1_sharding,
     "op2_lattice": op2_lattice,
@@ -78,5 +93,13 @@ QUERIES = {
     "op8_minhash": op8_minhash,
     "op9_secrets": op9_secrets,
     "op10_html": op10_html,
+    "op11_merkle": op11_merkle,
+    "op12_collocations": op12_collocations,
+    "op13_urls": op13_urls,
+}
+ORACLE = {
+    "op5_mixing": mixing.oracle_sql(),
+    "op11_merkle": merkle.oracle_sql(),
+    "op12_collocations": collocations.oracle_sql(),
+    "op13_urls": url_filter.oracle_sql(),
 }
-ORACLE = {"op5_mixing": mixing.oracle_sql()}
