@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import hashlib
 import time
+from collections import ChainMap
 from collections.abc import Iterable, Mapping, Sequence
 from dataclasses import asdict
 
@@ -11,14 +12,16 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from stratafold.functions.sizing import cochran
-from stratafold.functions.state import state_of
+from stratafold.functions.sizing import at_least, cochran
+from stratafold.functions.state import appended, files_of, is_row_wise, rows_of, state_of
 from stratafold.operators.approx import self_scaled
 from stratafold.operators.evaluate import compare_answers
 from stratafold.operators.joins import join_losses, star_join
 from stratafold.operators.sampling import min_row_sample, stratified_sample, uniform_sample
+from stratafold.operators.sketch import KEPT, Shape, Sketch, build_sketch, merge_sketch
 from stratafold.operators.strata import (
     SUMMARY,
+    add_counts,
     profile_many,
     summarise_profiles,
     with_targets,
@@ -43,6 +46,24 @@ def digest(content: str) -> str:
     return hashlib.md5(content.encode()).hexdigest()[:12]
 
 
+class _Asked(Mapping):
+    """Tables, with the names of those that were asked for."""
+
+    def __init__(self, tables: Mapping[str, DataFrame]):
+        self._tables, self.names = tables, set()
+
+    def __getitem__(self, name: str) -> DataFrame:
+        table = self._tables[name]
+        self.names.add(name)
+        return table
+
+    def __iter__(self):
+        return iter(self._tables)
+
+    def __len__(self) -> int:
+        return len(self._tables)
+
+
 class Engine:
     """Sampling for one database of tables.
 
@@ -69,17 +90,51 @@ class Engine:
 
     # -- states --------------------------------------------------------------
 
+    def _state_of(self, table: str) -> str:
+        """The state of a table; a frame's files are listed once, when it is first asked for."""
+        frame = self.tables[table]
+        if table not in self._states or self._states[table][0] is not frame:
+            self._states[table] = (frame, state_of(frame))
+        return self._states[table][1]
+
     def _state(self, tables: Iterable[str]) -> str:
-        """The state of some tables; a frame's files are listed once, when it was made."""
-        for name in tables:
-            frame = self.tables[name]
-            if name not in self._states or self._states[name][0] is not frame:
-                self._states[name] = (frame, state_of(frame))
-        return ",".join(f"{name}:{self._states[name][1]}" for name in sorted(tables))
-
-    def _source_state(self, query: QuerySpec) -> str:
+        return ",".join(f"{name}:{self._state_of(name)}" for name in sorted(tables))
+
+    def _listing(self, fact: str) -> str:
+        return f"files_{digest(f'{fact}:{self._state_of(fact)}')}"
+
+    def _remember_files(self, fact: str) -> None:
+        """Store which files a fact has now, so that later ones can be told from them."""
+        name = self._listing(fact)
+        if not self.store.exists(name) and is_row_wise(self.tables[fact]):
+            self.store.write(name, files_of(self.tables[fact]))
+
+    def _grown(self, was: str | None, fact: str, tables: Iterable[str]) -> DataFrame | None:
+        """The fact's rows from files added since state ``was``; None if anything else changed."""
+        if was is None:
+            return None
+        old = dict(part.split(":") for part in was.split(","))
+        now = {name: self._state_of(name) for name in tables}
+        if set(old) != set(now) or {t for t in now if now[t] != old[t]} != {fact}:
+            return None
+        listing = f"files_{digest(f'{fact}:{old[fact]}')}"
+        # the part before the files' digest says what the frame computes
+        if old[fact].split("-")[0] != now[fact].split("-")[0] or not self.store.exists(listing):
+            return None
+        self._remember_files(fact)
+        paths = appended(self.store.read(listing), self.store.read(self._listing(fact)))
+        return None if paths is None else rows_of(self.tables[fact], paths)
+
+    def _source_state(self, query: QuerySpec | SampleSpec) -> str:
         return self._state({query.fact, *query.tables})
 
+    def _joined(self, fact_rows: DataFrame, spec: QuerySpec | PrejoinSpec) -> DataFrame:
+        """Some rows of the fact with the dimensions of a query or prejoin."""
+        dims = spec.tables - {spec.fact}
+        if not dims:
+            return fact_rows
+        return star_join(spec.fact, ChainMap({spec.fact: fact_rows}, self.tables), dims, spec.pairs)
+
     # -- prejoins ------------------------------------------------------------
 
     def _logged_prejoins(self) -> list[tuple[PrejoinSpec, tuple[str, ...]]]:
@@ -102,9 +157,13 @@ class Engine:
     def lossy_joins(self) -> dict[str, tuple[str, ...]]:
         return {spec.name: lossy for spec, lossy in self._logged_prejoins()}
 
-    def _register_prejoin(self, prejoin: PrejoinSpec) -> None:
+    def _prejoin_entry(
+        self, prejoin: PrejoinSpec, rows: DataFrame | None = None, lossy: Iterable[str] = ()
+    ) -> tuple[str, str, dict]:
+        """The log entry of a prejoin; ``rows`` are those of the fact to check, all by default."""
         dims = prejoin.tables - {prejoin.fact}
-        losses = join_losses(prejoin.fact, self.tables, dims, prejoin.pairs)
+        tables = self.tables if rows is None else ChainMap({prejoin.fact: rows}, self.tables)
+        losses = join_losses(prejoin.fact, tables, dims, prejoin.pairs)
         # an unknown number is NULL and counts as harmful
         harmless = "coalesce(dropped_rows + multiplied_rows = 0, false)"
         harmful = losses.where(f"NOT {harmless}").select("dim").collect()
@@ -113,26 +172,41 @@ class Engine:
             "fact": prejoin.fact,
             "tables": sorted(prejoin.tables),
             "pairs": sorted(map(str, prejoin.pairs)),
-            "lossy": sorted(row["dim"] for row in harmful),
+            "lossy": sorted({*lossy, *(row["dim"] for row in harmful)}),
             "state": self._state(prejoin.tables),
         }
-        self.store.append(("prejoin", prejoin.name, value))
+        return ("prejoin", prejoin.name, value)
 
     def build_prejoin(self, prejoin: PrejoinSpec, overwrite: bool = False) -> bool:
-        dims = prejoin.tables - {prejoin.fact}
-        joined = star_join(prejoin.fact, self.tables, dims, prejoin.pairs)
-        if not self.store.write(prejoin.name, joined, overwrite):
+        if not overwrite and self.store.exists(prejoin.name):
             return False
-        self._register_prejoin(prejoin)
+        self._remember_files(prejoin.fact)
+        written = self.store.written(
+            prejoin.name, self._joined(self.tables[prejoin.fact], prejoin)
+        )
+        self.store.append(written, self._prejoin_entry(prejoin))
         return True
 
+    def refresh_prejoin(self, prejoin: PrejoinSpec) -> None:
+        """Bring a prejoin up to its tables: rows of files added to the fact are joined and added,
+        any other change builds it anew."""
+        was = self.store.latest("prejoin", prejoin.name)
+        new = self._grown(was.get("state"), prejoin.fact, prejoin.tables)
+        if new is None:
+            self.build_prejoin(prejoin, overwrite=True)
+            return
+        added = self.store.extended(prejoin.name, self._joined(new, prejoin))
+        self.store.append(added, self._prejoin_entry(prejoin, new, was["lossy"]))
+
     def build_prejoins(self, queries: Sequence[QuerySpec]) -> list[PrejoinSpec]:
         """Materialise what the workload needs, then whatever containment alone gets wrong.
 
         A prejoin that loses or multiplies fact rows cannot stand in for a
         smaller one; a query left without a source gets its own join.
         """
-        built = [p for p in self._stale_prejoins() if self.build_prejoin(p, overwrite=True)]
+        built = self._stale_prejoins()
+        for prejoin in built:
+            self.refresh_prejoin(prejoin)
         chosen = prejoins_to_build(queries, self.prejoins(), self.store.database)
         built += [p for p in chosen if self.build_prejoin(p)]
         for query in sorted(queries, key=lambda q: -len(q.tables)):
@@ -152,8 +226,7 @@ class Engine:
         """Register described prejoins whose table exists."""
         described = read_prejoin_file(self.spark, path, facts or list(self.keys))
         specs = [p for p in prejoin_specs(described) if self.store.exists(p.name)]
-        for spec in specs:
-            self._register_prejoin(spec)
+        self.store.append(*(self._prejoin_entry(spec) for spec in specs))
         return specs
 
     def _source_name(self, query: QuerySpec) -> str | None:
@@ -164,7 +237,7 @@ class Engine:
         if prejoin is None:
             raise LookupError(f"no prejoin supports query {query.id}; build prejoins first")
         if prejoin in self._stale_prejoins():
-            self.build_prejoin(prejoin, overwrite=True)
+            self.refresh_prejoin(prejoin)
         return prejoin.name
 
     def source_of(self, query: QuerySpec) -> DataFrame:
@@ -177,25 +250,39 @@ class Engine:
     def profile(self, queries: Iterable[QuerySpec], overwrite: bool = False) -> None:
         """Store stratum sizes and their summary for queries that lack them.
 
-        A profile of another state of its tables counts as lacking. All missing column sets of one source are counted in one scan.
+        A profile of another state of its tables counts as lacking; if only files were added to the
+        fact, their rows are counted and added to it. All missing column sets of one source are
+        counted in one scan.
         """
         missing: dict[tuple, dict[str, QuerySpec]] = {}
         for query in queries:
             if not query.qcs:
                 continue
-            state = self.store.latest("state", query.profile_name) or {}
-            current = state.get("tables") == self._source_state(query)
-            if overwrite or not current or not self.store.exists(query.profile_name):
-                source = (query.fact, self._source_name(query))
-                missing.setdefault(source, {}).setdefault(query.profile_name, query)
-        for group in missing.values():
-            self._profile_source(list(group.values()))
-
-    def _profile_source(self, queries: Sequence[QuerySpec]) -> None:
+            was = (self.store.latest("state", query.profile_name) or {}).get("tables")
+            there = self.store.exists(query.profile_name) and not overwrite
+            if not there or was != self._source_state(query):
+                key = (query.fact, self._source_name(query), was if there else None)
+                missing.setdefault(key, {}).setdefault(query.profile_name, query)
+        for (_, source, was), group in missing.items():
+            self._profile_source(list(group.values()), source, was)
+
+    def _profile_source(
+        self, queries: Sequence[QuerySpec], source: str | None, was: str | None
+    ) -> None:
         """One scan, one write with a folder per column set, one summary, one log append."""
-        counted = profile_many(self.source_of(queries[0]), [q.qcs for q in queries])
+        first = queries[0]
+        new = self._grown(was, first.fact, first.tables)
+        if new is None:
+            self._remember_files(first.fact)
+            rows = self.source_of(first)
+        else:
+            prejoins = {p.name: p for p in self.prejoins()}
+            rows = self._joined(new, first if source is None else prejoins[source])
+        counted = profile_many(rows, [q.qcs for q in queries])
+        if new is not None:
+            counted = add_counts(counted, [self.sizes(q) for q in queries])
         counted = with_targets(counted, cochran())
-        path = self.store.new_path(f"profiles_{queries[0].fact}")
+        path = self.store.new_path(f"profiles_{first.fact}")
         counted.write.partitionBy("profile").parquet(path)
         profiles = self.spark.read.schema(counted.schema).parquet(path)
         summaries = {r["profile"]: r.asDict() for r in summarise_profiles(profiles).collect()}
@@ -258,26 +345,98 @@ class Engine:
     def create_sample(
         self, sample: SampleSpec, query_ids: Sequence[str] = (), overwrite: bool = False
     ) -> bool:
-        """Write, analyse and log a sample. An existing one only gains queries."""
-        created = overwrite or not self.store.exists(sample.name)
-        if created:
-            rows = self.build_sample(sample)
-            self.store.write(
-                sample.name, compact(rows, self._expected_share(sample)), overwrite=True
-            )
-            self.store.analyze(sample.name)
+        """Write, analyse and log a sample. A current one only gains queries.
+
+        A sample of another state of its tables follows them: rows of files added to the fact
+        are merged into it, any other change builds it anew. Both give the same rows.
+        """
+        logged = self.store.latest("sample", sample.name) if self.store.exists(sample.name) else None
+        state = self._source_state(sample)
+        made = overwrite or logged is None or logged.get("state") != state
+        entries = []
+        if made:
+            was = None if overwrite or logged is None else logged.get("state")
+            entries = [*self._drawn(sample, was), ("sample", sample.name, self._value(sample, state))]
         for query_id in query_ids:  # an entry each: sessions that add queries lose none
             key = f"{sample.name}/{query_id}"
             if self.store.latest("sample_query", key) is None:
-                self.store.append(("sample_query", key, {"query": query_id}))
-        if not created and self.store.latest("sample", sample.name):
-            return False
+                entries.append(("sample_query", key, {"query": query_id}))
+        if entries:
+            self.store.append(*entries)
+        if made:
+            self.store.analyze(sample.name)
+        return made
+
+    @staticmethod
+    def _value(sample: SampleSpec, state: str) -> dict:
         value = asdict(sample)
         value["tables"] = sorted(sample.tables)
         value["pairs"] = sorted(map(str, sample.pairs))
         value["label"] = sample.label
-        self.store.append(("sample", sample.name, value))
-        return created
+        value["state"] = state
+        return value
+
+    def _drawn(self, sample: SampleSpec, was: str | None) -> list[tuple[str, str, dict]]:
+        """Write the sample of the tables as they are; ``was`` is the state of the stored one."""
+        new = self._grown(was, sample.fact, sample.tables)
+        self._remember_files(sample.fact)
+        fact = self.tables[sample.fact]
+        if sample.kind == UNIFORM:
+            rows = uniform_sample(
+                fact if new is None else new, sample.ratio, self.keys[sample.fact], self.seed
+            )
+            rows = compact(rows, sample.ratio)
+            if new is None:
+                return [self.store.written(sample.name, rows)]
+            return [self.store.extended(sample.name, rows)]
+        if not is_row_wise(fact):  # nothing to follow: such a fact is only ever drawn whole
+            rows = compact(self.build_sample(sample), self._expected_share(sample))
+            return [self.store.written(sample.name, rows)]
+        query = sample.as_query()
+        self.profile([query])
+        sizes, shape = self.sizes(query), self._shape(sample)
+        share = self._expected_share(sample)
+        paths = {part: self.store.new_path(f"{sample.name}_{part}") for part in ("cutoffs", "rows")}
+
+        def save(df: DataFrame, part: str) -> DataFrame:
+            by = [KEPT] if part == "rows" else []
+            df.write.mode("overwrite").partitionBy(*by).parquet(paths[part])
+            return self.spark.read.schema(df.schema).parquet(paths[part])
+
+        sketch = None
+        if new is not None and (old := self._sketch(sample)) is not None:
+            sketch = merge_sketch(shape, old, self._joined(new, sample), sizes, share, save)
+        if sketch is None:
+            source = self.source_of(query)
+            paths["cutoffs"] = self.store.new_path(f"{sample.name}_cutoffs")
+            sketch = build_sketch(shape, source, sizes, share, save)
+        schemas = {"rows": sketch.rows.schema, "cutoffs": sketch.bounds.schema}
+        schemas = {part: schema.jsonValue() for part, schema in schemas.items()}
+        # the sample has the fact's columns; its files also hold the strata's
+        return [
+            Store.table_entry(sample.name, paths["rows"], fact.schema, where=KEPT),
+            ("sketch", sample.name, {**paths, "schemas": schemas}),
+        ]
+
+    def _shape(self, sample: SampleSpec) -> Shape:
+        return Shape(
+            sample.qcs,
+            self.keys[sample.fact],
+            cochran(sample.z, sample.e) if sample.kind == STRATIFIED else at_least(sample.min_rows),
+            self.tables[sample.fact].columns,
+            self.orders.get(sample.fact, ()),
+            self.seed,
+        )
+
+    def _sketch(self, sample: SampleSpec) -> Sketch | None:
+        value = self.store.latest("sketch", sample.name)
+        if value is None or self.store.folders(sample.name) != [value["rows"]]:
+            return None
+        rows, bounds = (
+            self.spark.read.schema(StructType.fromJson(value["schemas"][part])).parquet(value[part])
+            for part in ("rows", "cutoffs")
+        )
+        return Sketch(rows, bounds)
 
     def create_advised(
         self, queries: Sequence[QuerySpec], overwrite: bool = False
@@ -333,8 +492,8 @@ class Engine:
         return found
 
     def drop_sample(self, sample: SampleSpec) -> None:
-        self.store.remove("sample", sample.name)
-        self.store.remove("table", sample.name)
+        for kind in ("sample", "table", "sketch"):
+            self.store.remove(kind, sample.name)
 
     def sample_rows(self, sample: SampleSpec) -> DataFrame:
         return self.store.read(sample.name)
@@ -345,10 +504,11 @@ class Engine:
         return query.template(self.tables[query.fact], self.tables)
 
     def approximate(self, query: QuerySpec, sample: SampleSpec) -> DataFrame:
-        """The query's rescaled answer from a sample."""
+        """The query's rescaled answer from a sample, which follows its tables first."""
         if query.sample_template is None:
             raise ValueError(f"query {query.id} has no rescaled form")
         made = sample.as_query()
+        self.create_sample(sample)  # sizes and rows have to be of one state
         if sample.kind == UNIFORM:
             return query.sample_template(self.sample_rows(sample), self.tables, None, sample)
         self.profile([made])
@@ -356,6 +516,12 @@ class Engine:
             self.sample_rows(sample), self.tables, self.sizes(made), sample
         )
 
+    def _reads(self, query: QuerySpec) -> set[str]:
+        """The tables that a query's template asks for."""
+        asked = _Asked(self.tables)
+        query.template(asked[query.fact], asked)
+        return asked.names
+
     def _timed(self, df: DataFrame) -> float:
         self.spark.catalog.clearCache()
         start = time.perf_counter()
@@ -371,9 +537,10 @@ class Engine:
         state of the tables or the sample, and used again as long as that holds;
         timing computes them anew.
         """
-        content = f"{query!r}{query.groups}{query.aggs}{self._state(self.tables)}"
+        self.create_sample(sample)
+        content = f"{query!r}{query.groups}{query.aggs}{self._state(self._reads(query))}"
         exact_name = f"q{query.id}_{digest(content)}_orig"
-        made_of = self.store.latest("table", sample.name)["path"]
+        made_of = str(self.store.folders(sample.name))
         plain_name = f"q{query.id}_{digest(content + made_of)}_{sample.name}"
         if measure_time and not self.store.analyzed(sample.name):
             self.store.analyze(sample.name)

@@ -40,7 +40,8 @@ def rescaled(
     Each stratum is scaled by its own size over its own sampled rows before
     strata are added up. Where a group is a single stratum that is the plain
     ratio ``sum / sampled * size`` and the second step falls away. A sampled
-    stratum without a size is an error: its sizes are of another state.
+    stratum without a size and a size without a sampled row are errors: sample
+    and sizes are of different states.
 
     ``ratio`` is the rate of a uniform sample. Every row stands for as many
     there, also for strata of which none was drawn; sizes are not needed.
@@ -70,14 +71,11 @@ def rescaled(
         # the groups cut strata apart, the rate is that of the whole stratum; counted
         # by an aggregate of its own, as a window would gather a stratum's groups
         whole = sample.groupBy(*qcs).agg(F.count("*").alias("_sampled"))
-        rates = null_safe_join(rates, whole, qcs)
+        rates = _matched(rates, whole, qcs).where(_of_one_state(F.lit(True)))
+        scaled = null_safe_join(per_stratum.where(F.col("_hits") > 0), rates, qcs)
     else:
         per_stratum = per_stratum.withColumn("_sampled", F.col("_rows"))
-    scaled = null_safe_join(per_stratum.where(F.col("_hits") > 0), rates, qcs, how="left")
-    unsized = F.raise_error(F.lit("a sampled stratum has no size; profile the source again"))
-    scaled = scaled.withColumn(
-        "groupsize", F.when(F.col("groupsize").isNull(), unsized).otherwise(F.col("groupsize"))
-    )
+        scaled = _matched(per_stratum, rates, qcs).where(_of_one_state(F.col("_hits") > 0))
     estimates = {
         **{
             n: F.col(f"_sum_{n}").cast("double") / F.col("_sampled") * F.col("groupsize")
@@ -90,6 +88,30 @@ def rescaled(
     return scaled.groupBy(*groups).agg(*(F.sum(e).alias(n) for n, e in estimates.items()))
 
 
+def _matched(left: DataFrame, right: DataFrame, qcs: Sequence[str]) -> DataFrame:
+    """Full outer join with a row per stratum of either side, NULL equal to NULL.
+
+    Both have one row per stratum, so a union and one aggregate do it.
+    """
+    both = left.unionByName(right, allowMissingColumns=True)
+    values = [c for c in both.columns if c not in qcs]
+    return both.groupBy(*qcs).agg(*(F.max(c).alias(c) for c in values))
+
+
+def _of_one_state(condition: Column) -> Column:
+    """``condition``, where a stratum has both a size and sampled rows; anything else is an error.
+
+    Part of the filter, so that no rewrite drops the rows it is about before they are seen.
+    """
+    unsized = F.raise_error(F.lit("a sampled stratum has no size; profile the source again"))
+    unsampled = F.raise_error(F.lit("a stratum has no sampled row; draw the sample again"))
+    return (
+        F.when(F.col("groupsize").isNull(), unsized.cast("boolean"))
+        .when(F.col("_sampled").isNull(), unsampled.cast("boolean"))
+        .otherwise(condition)
+    )
+
+
 def _by_ratio(sample, groups, sums, counts, pinned, where, ratio) -> DataFrame:
     seen = [F.col(c).eqNullSafe(F.lit(v)) for c, v in pinned.items()]
     seen += [] if where is None else [where]

@@ -17,7 +17,7 @@ is the exact first n of each stratum in every case.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -69,7 +69,8 @@ def stratified_sample(
     ``source`` is the fact or a prejoin, ``columns`` the fact's columns to return
     (all by default). ``key`` identifies a row; rows that share it are copies,
     drawn in the order of ``order`` where only some of them fit. ``sizes`` may
-    pass in stored stratum sizes of this source.
+    pass in stored stratum sizes of this source; a row whose stratum they lack is an
+    error, as they are of another state then.
 
     One way for any number of strata: quotas and cut-offs are stored tables joined
     without a hint, so Catalyst broadcasts them while their files are small and
@@ -80,8 +81,9 @@ def stratified_sample(
     qcs = list(qcs)
     if sizes is None:
         sizes = stratum_sizes(source, qcs)
-    quotas = pin(_quotas(sizes.select(*qcs, "groupsize"), rule), "quotas")
-    return _by_cutoff(source, quotas, qcs, key, tail, seed, order).select(*columns)
+    quotas = pin(stratum_quotas(sizes.select(*qcs, "groupsize"), rule), "quotas")
+    cutoffs, split = stratum_cutoffs(source, quotas, qcs, key, seed)
+    return rows_below(source, cutoffs, split, qcs, key, tail, seed, order).select(*columns)
 
 
 def min_row_sample(
@@ -91,41 +93,51 @@ def min_row_sample(
     return stratified_sample(source, qcs, key, rule=at_least(min_rows), **options)
 
 
-def _quotas(sizes: DataFrame, rule: SizeRule) -> DataFrame:
-    """Per stratum: rows to keep, the band that should hold the last of them, the tail's rate."""
+def _margin(keep: Column) -> Column:
+    return F.lit(BAND) * F.sqrt(keep) + F.lit(2.5 * BAND)
+
+
+def stratum_quotas(sizes: DataFrame, rule: SizeRule, reserve: bool = False) -> DataFrame:
+    """Per stratum: rows to keep, the band that should hold the last of them, the tail's rate.
+
+    ``most`` rows are to be found; with a ``reserve`` that is some more than are kept.
+    """
     groupsize = F.col("groupsize")
     target = rule(groupsize)
     keep = F.least(groupsize, whole_rows(target))
-    margin = F.lit(BAND) * F.sqrt(keep) + F.lit(2.5 * BAND)
+    most = F.least(groupsize, keep + F.ceil(_margin(keep))) if reserve else keep
     return sizes.select(
         "*",
         keep.alias("keep"),
+        most.alias("most"),
         threshold(tail_rate(target, groupsize)).alias("tail_below"),
-        threshold((keep - margin) / groupsize).alias("low"),
-        threshold((keep + margin) / groupsize).alias("high"),
+        threshold((keep - _margin(keep)) / groupsize).alias("low"),
+        threshold((most + _margin(most)) / groupsize).alias("high"),
         (keep < groupsize).alias("open"),
         F.monotonically_increasing_id().alias("_stratum"),
     )
 
 
-def _by_cutoff(source, quotas, qcs, key, tail, seed, order) -> DataFrame:
+def rows_below(source, cutoffs, split, qcs, key, tail, seed, order) -> DataFrame:
     """Filter the source by its strata's cut-offs; small cut-offs leave it unshuffled."""
-    cutoffs, split = stratum_cutoffs(source, quotas, qcs, key, seed)
     helpers = ["_stratum", "_cutoff", "_tail_below", "_fitting", "_copies"]
     rows = null_safe_join(
         source.withColumn("_digest", row_digest(key, seed)),
         cutoffs.select(*qcs, *helpers),
         qcs,
+        how="left",
     )
     helpers.append("_digest")
     digest, cutoff = F.col("_digest"), F.col("_cutoff")
     in_tail = second_draw(digest) < F.col("_tail_below") if tail else F.lit(False)
+    unsized = F.raise_error(F.lit("a row's stratum has no size; profile the source again"))
+    below = F.when(F.col("_stratum").isNull(), unsized.cast("boolean")).otherwise(digest <= cutoff)
     if split is None:
-        return rows.where((digest <= cutoff) | in_tail).drop(*helpers)
+        return rows.where(below | in_tail).drop(*helpers)
 
     # some stratum has room for a part of the copies of one row only
     partly = (digest == cutoff) & (F.col("_fitting") < F.col("_copies")) & ~in_tail
-    whole = rows.where(((digest <= cutoff) | in_tail) & ~partly)
+    whole = rows.where((below | in_tail) & ~partly)
     copies = rows.where(partly)
     ranking = [F.col(c) for c in order] or [F.lit(0)]
     # the constant bound lets every task cut its copies before the shuffle, the
@@ -139,32 +151,40 @@ def _by_cutoff(source, quotas, qcs, key, tail, seed, order) -> DataFrame:
 
 
 def stratum_cutoffs(
-    source: DataFrame, quotas: DataFrame, qcs: Sequence[str], key: Sequence[str], seed: int | str
+    source: DataFrame,
+    quotas: DataFrame,
+    qcs: Sequence[str],
+    key: Sequence[str],
+    seed: int | str,
+    save: Callable[[DataFrame, str], DataFrame] = pin,
 ) -> tuple[DataFrame, int | None]:
     """Per stratum the digest of its last row to keep; written once, read back.
 
-    ``_fitting`` of the ``_copies`` rows with that digest belong to the sample.
+    ``_fitting`` of the ``_copies`` rows with that digest belong to the sample; a cut-off is
+    NULL where ``source`` has fewer rows of a stratum than are to be kept. ``_bound``,
+    ``_bound_rows`` and ``_bound_copies`` say the same of the last of the ``most`` rows, and are
+    those of the cut-off where that one isn't in the predicted band.
     The second result is the largest ``_fitting`` that is less than all copies,
     or None if there is no such stratum.
     """
     narrow = null_safe_join(
         source.select(*qcs, row_digest(key, seed).alias("_digest")),
-        quotas.where("open").select(*qcs, "_stratum", "keep", "low", "high"),
+        quotas.where("open").select(*qcs, "_stratum", "keep", "most", "low", "high"),
         qcs,
     )
     entry = F.when(F.col("_digest") < F.col("low"), F.lit(NOTHING)).otherwise(F.col("_digest"))
     listed = (
         narrow.where(F.col("_digest") < F.col("high"))
-        .groupBy("_stratum", "keep", entry.alias("entry"))
+        .groupBy("_stratum", "keep", "most", entry.alias("entry"))
         .agg(F.count("*").alias("rows"))
     )
-    found = _last_entry(listed).where(F.col("entry") != F.lit(NOTHING))
-    cutoffs = pin(_with_cutoffs(quotas, found, qcs), "cutoffs")
+    cutoffs = save(_with_cutoffs(quotas, _hits(listed, "keep", "most"), qcs), "cutoffs")
     missed, split = _check(cutoffs)
     if missed:
         lost = quotas.join(cutoffs.where("_cutoff is null").select("_stratum"), "_stratum")
-        again = _with_cutoffs(lost, _by_prefix(source, lost, qcs, key, seed), qcs)
-        cutoffs = pin(cutoffs.where("_cutoff is not null").unionByName(again), "cutoffs")
+        found = _hits(_by_prefix(source, lost, qcs, key, seed), "keep")
+        again = _with_cutoffs(lost, found, qcs)
+        cutoffs = save(cutoffs.where("_cutoff is not null").unionByName(again), "cutoffs")
         _, split = _check(cutoffs)
     return cutoffs, split
 
@@ -175,27 +195,45 @@ def _check(cutoffs: DataFrame) -> tuple[int, int | None]:
     return tuple(cutoffs.agg(F.count_if(F.col("_cutoff").isNull()), F.max(partial)).first())
 
 
-def _last_entry(entries: DataFrame) -> DataFrame:
-    """The entry with which a stratum's running count first reaches ``keep``."""
+def _running(entries: DataFrame) -> DataFrame:
     running = Window.partitionBy("_stratum").orderBy("entry")
     upto = F.sum("rows").over(running.rowsBetween(Window.unboundedPreceding, Window.currentRow))
-    return entries.select("*", (upto - F.col("rows")).alias("before")).where(
-        (F.col("before") < F.col("keep")) & (F.col("before") + F.col("rows") >= F.col("keep"))
-    )
+    return entries.select("*", (upto - F.col("rows")).alias("before"))
+
+
+def _reaches(goal: str) -> Column:
+    """Whether a stratum's running count first reaches ``goal`` with this entry."""
+    goal = F.col(goal)
+    return (F.col("before") < goal) & (F.col("before") + F.col("rows") >= goal)
+
+
+def _last_entry(entries: DataFrame) -> DataFrame:
+    return _running(entries).where(_reaches("keep"))
+
+
+def _hits(entries: DataFrame, *goals: str) -> DataFrame:
+    """Per stratum and goal the entry that reaches it, how many of its rows fit, and all of them."""
+    if "before" not in entries.columns:
+        entries = _running(entries)
+
+    def hit(goal: str) -> Column:
+        there = _reaches(goal) & (F.col("entry") != F.lit(NOTHING))
+        fitting = F.col(goal) - F.col("before")
+        value = F.struct("entry", fitting.alias("fitting"), F.col("rows").alias("copies"))
+        return F.max(F.when(there, value)).alias(f"_{goal}")
+
+    found = entries.groupBy("_stratum").agg(*map(hit, goals))
+    return found if "most" in goals else found.withColumn("_most", F.col("_keep"))
 
 
 def _with_cutoffs(quotas: DataFrame, found: DataFrame, qcs: Sequence[str]) -> DataFrame:
-    found = found.select(
-        "_stratum",
-        F.col("entry").alias("_entry"),
-        (F.col("keep") - F.col("before")).alias("_fitting"),
-        F.col("rows").alias("_copies"),
-    )
     cutoff = (
         F.when(~F.col("open"), F.lit(EVERYTHING))
         .when(F.col("keep") == 0, F.lit(NOTHING))
-        .otherwise(F.col("_entry"))
+        .otherwise(F.col("_keep.entry"))
     )
+    most = F.coalesce("_most", "_keep")
+    everything = F.col("most") >= F.col("groupsize")
     return quotas.join(found, "_stratum", "left").select(
         *qcs,
         "_stratum",
@@ -203,8 +241,13 @@ def _with_cutoffs(quotas: DataFrame, found: DataFrame, qcs: Sequence[str]) -> Da
         "keep",
         cutoff.alias("_cutoff"),
         F.col("tail_below").alias("_tail_below"),
-        "_fitting",
-        "_copies",
+        F.col("_keep.fitting").alias("_fitting"),
+        F.col("_keep.copies").alias("_copies"),
+        F.when(everything, F.lit(EVERYTHING))
+        .otherwise(F.coalesce(most["entry"], F.lit(NOTHING)))
+        .alias("_bound"),
+        F.when(~everything, most["fitting"]).alias("_bound_rows"),
+        F.when(~everything, most["copies"]).alias("_bound_copies"),
     )
 
 

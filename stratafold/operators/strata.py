@@ -71,6 +71,15 @@ def profile_many(source: DataFrame, column_sets: Sequence[Sequence[str]]) -> Dat
     return sizes.withColumn("profile", F.explode(positions[F.col("_gid")])).drop("_gid")
 
 
+def add_counts(profiles: DataFrame, before: Sequence[DataFrame]) -> DataFrame:
+    """Counts of :func:`profile_many` over new rows, added to the sizes counted before, by position."""
+    for position, sizes in enumerate(before):
+        sizes = sizes.drop("target_group_sample_size").withColumn("profile", F.lit(position))
+        profiles = profiles.unionByName(sizes, allowMissingColumns=True)
+    columns = [c for c in profiles.columns if c != "groupsize"]
+    return profiles.groupBy(*columns).agg(F.sum("groupsize").alias("groupsize"))
+
+
 def summarise_profiles(profiles: DataFrame, rule: SizeRule | None = None) -> DataFrame:
     return with_targets(profiles, rule).groupBy("profile").agg(*_summary_columns())
 

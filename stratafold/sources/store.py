@@ -16,7 +16,7 @@ from datetime import UTC, datetime, timedelta
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import BooleanType, StructField, StructType
 
 from stratafold.session import literal_rows
 from stratafold.sources.log import DELETED, LOG_SCHEMA, latest
@@ -38,6 +38,7 @@ class Store:
         folder = self.root.replace("'", "\\'")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{folder}'")
         self.version = 0  # changes with the log
+        self._seen: set[tuple[str, str]] = set()  # entries whose files were there
         self._create_log()
         self.refresh()
 
@@ -101,25 +102,50 @@ class Store:
         return f"{self.root}/{name}/{uuid.uuid4().hex[:12]}"
 
     @staticmethod
-    def table_entry(name: str, path: str, schema: StructType) -> tuple[str, str, dict]:
-        """The log entry that makes the Parquet files at ``path`` table ``name``."""
-        return ("table", name, {"path": path, "schema": schema.jsonValue()})
+    def table_entry(
+        name: str, path: str | list[str], schema: StructType, where: str = ""
+    ) -> tuple[str, str, dict]:
+        """The log entry that makes the Parquet files at ``path``, a folder or several, table
+        ``name``. Columns of the files that ``schema`` lacks are not part of the table. ``where``
+        names a boolean column that the folder is partitioned by: rows with it make the table."""
+        value = {"path": path, "schema": schema.jsonValue()}
+        return ("table", name, {**value, "where": where} if where else value)
 
     def write(self, name: str, df: DataFrame, overwrite: bool = False) -> bool:
         """Write ``df`` as table ``name``; without ``overwrite`` an existing one stays."""
         if not overwrite and self.exists(name):
             return False
+        self.append(self.written(name, df))
+        return True
+
+    def written(self, name: str, df: DataFrame) -> tuple[str, str, dict]:
+        """Write ``df`` and return the entry that makes it table ``name`` once it is appended."""
         path = self.new_path(name)
         df.write.parquet(path)
-        self.append(self.table_entry(name, path, df.schema))
-        return True
+        return self.table_entry(name, path, df.schema)
+
+    def extended(self, name: str, df: DataFrame) -> tuple[str, str, dict]:
+        """Write ``df`` and return the entry that adds it to table ``name``; what is there stays."""
+        entry = self.latest("table", name)
+        path = self.new_path(name)
+        schema = StructType.fromJson(entry["schema"])
+        df.select(*schema.fieldNames()).write.parquet(path)
+        return self.table_entry(name, [*self.folders(name), path], schema)
+
+    def folders(self, name: str) -> list[str]:
+        path = self.latest("table", name)["path"]
+        return [path] if isinstance(path, str) else list(path)
 
     def exists(self, name: str) -> bool:
-        """Logged and still there: a table removed behind our back does not count."""
+        """Logged and there when first looked for: a table removed before that does not count."""
+        entry = self._live.get(("table", name))
+        if entry is None or (name, entry) in self._seen:
+            return entry is not None
         try:
             self.read(name)
         except (LookupError, AnalysisException):
             return False
+        self._seen.add((name, entry))
         return True
 
     def read(self, name: str) -> DataFrame:
@@ -127,7 +153,10 @@ class Store:
         if entry is None:
             raise LookupError(f"no table {name} in {self.root}")
         schema = StructType.fromJson(entry["schema"])
-        return self.spark.read.schema(schema).parquet(entry["path"])
+        if where := entry.get("where"):
+            rows = self.spark.read.schema(StructType([*schema, StructField(where, BooleanType())]))
+            return rows.parquet(*self.folders(name)).where(F.col(where)).select(*schema.fieldNames())
+        return self.spark.read.schema(schema).parquet(*self.folders(name))
 
     def columns(self, name: str) -> list[str]:
         return self.read(name).columns
@@ -137,17 +166,25 @@ class Store:
         return f"{name}_{hashlib.md5(self.root.encode()).hexdigest()[:8]}"
 
     def register(self, name: str) -> str:
-        """Make the current version a catalog table, for SQL and for statistics.
+        """Make the current version a catalog table, for SQL and for statistics; returns its name.
 
-        A table of that name that lies elsewhere is not ours to replace.
+        A table of that name that lies elsewhere is not ours to replace. A catalog table has one
+        folder, so one that grew into several is first written as one.
         """
         own = self._catalog_name(name)
         full = f"`{self.database}`.`{own}`"
         if self.spark.catalog.tableExists(f"{self.database}.{own}") and not self._ours(own):
             raise ValueError(f"{full} exists outside {self.root}")
+        folder, where = self.folders(name)[0], self.latest("table", name).get("where")
+        if len(self.folders(name)) > 1 or (where and self.read(name).isEmpty()):
+            self.write(name, self.read(name), overwrite=True)
+            folder, where = self.folders(name)[0], None
         self.spark.sql(f"DROP TABLE IF EXISTS {full}")
         self.spark.catalog.createTable(
-            f"{self.database}.{own}", path=self.latest("table", name)["path"], source="parquet"
+            f"{self.database}.{own}",
+            path=f"{folder}/{where}=true" if where else folder,
+            source="parquet",
+            schema=self.read(name).schema,
         )
         return full
 

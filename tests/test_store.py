@@ -78,4 +78,4 @@ def test_statistics(store, spark):
     assert not store.analyzed("t")
     store.analyze("t")
     assert store.analyzed("t")
-    assert spark.table("testdb.t").count() == 10
+    assert spark.table(store.register("t")).count() == 10
