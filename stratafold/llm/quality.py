@@ -21,6 +21,8 @@ TERMS, LATENT, NEIGHBOURS, BLOCK = 1024, 24, 15, 256
 #: Cells of hashed words, and of runs of four bytes; length of their latent vector beside that of
 #: the shapes; bytes that are counted at once.
 CELLS, SEMANTIC, SLICE = 1024, 0.5, 1 << 20
+#: Directions beside the axes, and powers, of the range finder.
+SPARE, POWERS = 16, 10
 REJECT_BELOW = 0.3
 _SHAPES = bytes(
     ord("A") if 65 <= b <= 90 else ord("a") if 97 <= b <= 122 or b >= 128 else 48 if 48 <= b <= 57 else b
@@ -104,11 +106,23 @@ def _unit(z: np.ndarray) -> np.ndarray:
 
 
 def _basis(x: np.ndarray) -> np.ndarray:
-    """Term weights times the strongest axes of the weighted rows."""
+    """Term weights times the strongest axes of the weighted rows.
+
+    A randomised range finder: a few more directions than axes are powered up, a block of rows at a
+    time, so that neither a square matrix of all cells nor a second copy of the rows is held.
+    """
     spread = np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1
-    found = x * spread
-    _, axes = np.linalg.eigh(found.T @ found)  # ascending
-    return spread[:, None] * axes[:, ::-1][:, : min(LATENT, *x.shape)]
+    axes = min(LATENT, *x.shape)
+    found = np.random.default_rng(0).standard_normal((x.shape[1], min(axes + SPARE, *x.shape)))
+    for _ in range(POWERS):
+        found, _ = np.linalg.qr(sum((b.T @ (b @ found) for b in _weighted(x, spread)), 0.0))
+    inner = sum(((b @ found).T @ (b @ found) for b in _weighted(x, spread)), 0.0)
+    _, turn = np.linalg.eigh(inner)  # ascending
+    return spread[:, None] * (found @ turn[:, ::-1][:, :axes])
+
+
+def _weighted(x: np.ndarray, spread: np.ndarray) -> Iterable[np.ndarray]:
+    return (x[at : at + BLOCK] * spread for at in range(0, len(x), BLOCK))
 
 
 @dataclass(frozen=True)
@@ -175,16 +189,20 @@ def fit(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> Voters:
         make,
         f"doc_id {kind}, quality int, vector binary",
     ).collect()
-    rows.sort(key=lambda r: (r.doc_id, bytes(r.vector)))
+    rows.sort(key=lambda r: (r.doc_id, r.vector))
     rows = [r for i, r in enumerate(rows) if not i or rows[i - 1] != r]
     y = np.array([r.quality for r in rows], float)
-    x = np.frombuffer(b"".join(r.vector for r in rows), np.float32).reshape(len(rows), TERMS + 2 * CELLS)
-    if not len(rows):
+    x = np.empty((len(rows), TERMS + 2 * CELLS), np.float32)
+    while rows:  # each row's bytes go once they are part of the matrix
+        last = rows.pop()
+        x[len(rows)] = np.frombuffer(last.vector, np.float32)
+    if not len(x):
         empty = np.zeros((TERMS, 1)), np.zeros((2 * CELLS, 1))
         return Voters(*empty, np.zeros((0, 2)), y, 0.5)
-    bases = _basis(x[:, :TERMS].astype(float)), _basis(x[:, TERMS:].astype(float))
+    bases = _basis(x[:, :TERMS]), _basis(x[:, TERMS:])
     voters = Voters(*bases, np.zeros((0, 0)), y, float(y.mean()))
-    return Voters(*bases, voters.latent(x), y, voters.prior)
+    latent = [voters.latent(x[at : at + BLOCK]) for at in range(0, len(x), BLOCK)]
+    return Voters(*bases, np.concatenate(latent), y, voters.prior)
 
 
 def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataFrame:
@@ -193,11 +211,11 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataF
     Every whole text is compared with every labelled vector. Texts without words, null ones
     included, get the share of label 1 among the learned rows, 0.5 if there are none. A null
     doc_id is scored like any other. Scores never read labels, ids, lang or source. An empty
-    table gives no rows. Columns named ``score`` and ``predicted`` are replaced.
+    table gives no rows. Columns named ``score`` and ``predicted``, in any case, are replaced.
     """
     spark = docs.sparkSession
     shared = spark.sparkContext.broadcast(fit(docs, labels, labelled))
-    kept = [c for c in docs.columns if c not in ("score", "predicted")]
+    kept = [c for c in docs.columns if c.lower() not in ("score", "predicted")]
     given = docs.select(*kept)
 
     def make():
