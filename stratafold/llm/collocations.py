@@ -33,6 +33,8 @@ TOP = 2000  # phrases reported per language
 SCALE = 1_000_000
 ENCLOSED = 50  # percent of a phrase's occurrences inside a longer one that drop it
 NO_LANGUAGE = "und"
+#: Parts of a language's phrases that are ranked by themselves first.
+PARTS = 16
 #: Words of a chunk, about; entries that one merging task takes, about.
 CHUNK, MERGED = 1_000_000, 2_000_000
 
@@ -436,10 +438,13 @@ def ranked(
         F.when(cut_first, F.col("tail")).otherwise(F.col("w3_f")).alias("r"),
         F.least("first", "second").alias("score"),
     )
-    place = F.row_number().over(
-        Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), F.asc("phrase"))
-    )
-    best = two.unionByName(three).withColumn("rank", place).where(F.col("rank") <= top)
+    best = two.unionByName(three).withColumn("part", F.pmod(F.xxhash64("phrase"), F.lit(PARTS)))
+    # a language's phrases are cut to its best in parts first, so its last task sorts few
+    for group in (["lang", "part"], ["lang"]):
+        best_first = Window.partitionBy(*group).orderBy(
+            F.desc("score"), F.desc("a"), F.asc("phrase")
+        )
+        best = best.withColumn("rank", F.row_number().over(best_first)).where(F.col("rank") <= top)
     return best.join(sizes, "lang").select(
         "lang",
         F.col("rank").cast("long").alias("rank"),
