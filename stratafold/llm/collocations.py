@@ -36,7 +36,7 @@ NO_LANGUAGE = "und"
 #: Parts of a language's phrases that are ranked by themselves first.
 PARTS = 16
 #: Words of a chunk, about; entries that one merging task takes, about.
-CHUNK, MERGED = 1_000_000, 2_000_000
+CHUNK, MERGED = 2_000_000, 2_000_000
 
 _LOWER = bytes.maketrans(
     bytes(range(65, 91)) + b".,;:!?\x0b\x0c\r\t", bytes(range(97, 123)) + b"\n" * 9 + b" "
