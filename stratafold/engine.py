@@ -6,7 +6,9 @@ import hashlib
 import time
 from collections import ChainMap
 from collections.abc import Iterable, Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -42,6 +44,10 @@ from stratafold.spec import (
 )
 
 
+#: Samples or answers that are computed side by side.
+AT_ONCE = 4
+
+
 def digest(content: str) -> str:
     return hashlib.md5(content.encode()).hexdigest()[:12]
 
@@ -443,16 +449,30 @@ class Engine:
     ) -> list[SampleSpec]:
         """Advise the workload and create what is advised, each sample once."""
         samples = samples_to_create(queries, self.advise(queries))
-        for sample in samples:
-            users = [
+        users = [
+            [
                 q.id
                 for q in queries
                 if (q.fact, q.tables, q.pairs, q.qcs)
                 == (sample.fact, sample.tables, sample.pairs, sample.qcs)
             ]
-            self.create_sample(sample, users, overwrite)
+            for sample in samples
+        ]
+        self.create_samples(list(zip(samples, users)), overwrite)
         return samples
 
+    def create_samples(
+        self, wanted: Sequence[tuple[SampleSpec, Sequence[str]]], overwrite: bool = False
+    ) -> None:
+        """Create samples with the ids of their queries, side by side: the jobs of one don't wait
+        for those of another. What they share, prejoins and profiles, is brought up to date first."""
+        self.profile([s.as_query() for s, _ in wanted if s.kind != UNIFORM])
+        for sample, _ in wanted:
+            self._source_state(sample)
+            self._remember_files(sample.fact)
+        with ThreadPoolExecutor(AT_ONCE) as pool:
+            list(pool.map(lambda one: self.create_sample(*one, overwrite), wanted))
+
     def create_min_row_sample(
         self,
         tables: Sequence[str],
@@ -528,25 +548,60 @@ class Engine:
         df.write.format("noop").mode("overwrite").save()
         return time.perf_counter() - start
 
+    def _answer_names(self, query: QuerySpec, sample: SampleSpec) -> tuple[str, str]:
+        """Names of the exact and the plain sampled answer: what they were made of."""
+        content = f"{query!r}{query.groups}{query.aggs}{self._state(self._reads(query))}"
+        made_of = str(self.store.folders(sample.name))
+        return (
+            f"q{query.id}_{digest(content)}_orig",
+            f"q{query.id}_{digest(content + made_of)}_{sample.name}",
+        )
+
+    def _store_answers(
+        self, pairs: Iterable[tuple[QuerySpec, SampleSpec]], measure_time: bool
+    ) -> dict[str, float]:
+        """Write the answers that are not stored yet, all if they are to be timed, and log them
+        together. Untimed ones don't wait for each other. The seconds of timed ones by name."""
+        missing: dict[str, DataFrame] = {}
+        for query, sample in pairs:
+            self.create_sample(sample)
+            if measure_time and not self.store.analyzed(sample.name):
+                self.store.analyze(sample.name)
+            plain = query.template(self.sample_rows(sample), self.tables)
+            for name, answer in zip(
+                self._answer_names(query, sample), (self.answer(query), plain)
+            ):
+                if measure_time or not self.store.exists(name):
+                    missing[name] = answer
+        seconds, entries = {}, []
+        if measure_time:
+            for name, answer in missing.items():
+                self.spark.catalog.clearCache()
+                start = time.perf_counter()
+                entries.append(self.store.written(name, answer))
+                seconds[name] = time.perf_counter() - start
+        else:
+            with ThreadPoolExecutor(AT_ONCE) as pool:
+                entries += pool.map(self.store.written, missing.keys(), missing.values())
+        if entries:
+            self.store.append(*entries)
+        return seconds
+
     def evaluate(
         self, query: QuerySpec, sample: SampleSpec, measure_time: bool = False
     ) -> DataFrame:
         """One row: groups, missing ratio, errors, and times if asked for.
 
         Both answers are stored under what they were made of, the query and the
-        state of the tables or the sample, and used again as long as that holds;
-        timing computes them anew.
+        state of the tables it reads or the sample, and used again as long as that
+        holds; timing computes them anew.
         """
-        self.create_sample(sample)
-        content = f"{query!r}{query.groups}{query.aggs}{self._state(self._reads(query))}"
-        exact_name = f"q{query.id}_{digest(content)}_orig"
-        made_of = str(self.store.folders(sample.name))
-        plain_name = f"q{query.id}_{digest(content + made_of)}_{sample.name}"
-        if measure_time and not self.store.analyzed(sample.name):
-            self.store.analyze(sample.name)
-        plain = query.template(self.sample_rows(sample), self.tables)
-        self.store.write(exact_name, self.answer(query), overwrite=measure_time)
-        self.store.write(plain_name, plain, overwrite=measure_time)
+        return self._report(query, sample, self._store_answers([(query, sample)], measure_time))
+
+    def _report(
+        self, query: QuerySpec, sample: SampleSpec, seconds: Mapping[str, float]
+    ) -> DataFrame:
+        exact_name, plain_name = self._answer_names(query, sample)
         exact, plain = self.store.read(exact_name), self.store.read(plain_name)
         own_scale = self_scaled(exact, plain, query.groups, query.aggs)
         estimate = own_scale
@@ -562,11 +617,9 @@ class Engine:
         )
 
         exact_seconds = sample_seconds = None
-        if measure_time:
-            exact_seconds = self._timed(self.answer(query))
-            if query.sample_template is None:
-                sample_seconds = self._timed(query.template(self.sample_rows(sample), self.tables))
-            else:
+        if seconds:
+            exact_seconds, sample_seconds = seconds[exact_name], seconds[plain_name]
+            if query.sample_template is not None:
                 sample_seconds = self._timed(self.approximate(query, sample))
         return (
             report.withColumn("query_id", F.lit(query.id))
@@ -580,13 +633,8 @@ class Engine:
     ) -> DataFrame | None:
         """Every live sample against each query it was made for."""
         by_id = {q.id: q for q in queries if q.template is not None}
-        reports = [
-            self.evaluate(by_id[i], sample, measure_time)
-            for sample, ids in self.samples()
-            for i in ids
-            if i in by_id
-        ]
-        return self._union(reports)
+        pairs = [(by_id[i], s) for s, ids in self.samples() for i in ids if i in by_id]
+        return self._reports(pairs, measure_time)
 
     def evaluate_sample(
         self,
@@ -601,11 +649,11 @@ class Engine:
             raise LookupError(f"{len(named) or 'no'} samples named {name}")
         sample = named[0]
         chosen = [q for q in queries if q.id in set(query_ids) and q.template is not None]
-        return self._union([self.evaluate(q, sample, measure_time) for q in chosen])
+        return self._reports([(q, sample) for q in chosen], measure_time)
 
-    @staticmethod
-    def _union(reports: list[DataFrame]) -> DataFrame | None:
-        result = None
-        for report in reports:
-            result = report if result is None else result.unionByName(report)
-        return result
+    def _reports(
+        self, pairs: Sequence[tuple[QuerySpec, SampleSpec]], measure_time: bool
+    ) -> DataFrame | None:
+        seconds = self._store_answers(pairs, measure_time)
+        reports = [self._report(query, sample, seconds) for query, sample in pairs]
+        return reduce(DataFrame.unionByName, reports) if reports else None

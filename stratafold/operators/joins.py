@@ -72,8 +72,11 @@ def join_order(
     return order
 
 
-def _fits_broadcast(df: DataFrame) -> bool:
-    """Whether Catalyst's size estimate is below the session's broadcast limit."""
+def fits_broadcast(df: DataFrame) -> bool:
+    """Whether Catalyst's size estimate is below the session's broadcast limit.
+
+    Read from the session's own plan, as no public API tells it; it picks a plan, never a result.
+    """
     limit = df.sparkSession._jsparkSession.sessionState().conf().autoBroadcastJoinThreshold()
     return int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()) <= limit
 
@@ -102,7 +105,7 @@ def star_join(
     for dim, links in reversed(order):
         above = next(iter(parents[dim]))
         condition = all_of(F.col(p.left) == F.col(p.right) for p in links)
-        if len(parents[dim]) == 1 and above != fact and not _fits_broadcast(tables[above]):
+        if len(parents[dim]) == 1 and above != fact and not fits_broadcast(tables[above]):
             branch[above] = branch[above].join(branch[dim], condition, "inner")
         else:
             direct.append((dim, condition))

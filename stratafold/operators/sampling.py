@@ -31,7 +31,7 @@ from stratafold.functions.rowhash import (
     threshold,
 )
 from stratafold.functions.sizing import SizeRule, at_least, cochran, whole_rows
-from stratafold.operators.joins import null_safe_join
+from stratafold.operators.joins import fits_broadcast, null_safe_join
 from stratafold.operators.strata import stratum_sizes
 from stratafold.session import pin
 
@@ -39,6 +39,8 @@ TAIL_SHARE = 20  # rows beyond the target are kept at 1/20 of the stratum's rate
 BAND = 6.0  # width of the listed band in standard deviations to each side
 PREFIX_STEPS = (4, 9, 32)
 TIE_SPLITS = 256
+#: Thresholds of the filter before a shuffle and the digits of each: 8 MB for both lists.
+BUCKETS, PREFIX = 1 << 18, 5
 
 
 def uniform_sample(
@@ -74,14 +76,18 @@ def stratified_sample(
 
     One way for any number of strata: quotas and cut-offs are stored tables joined
     without a hint, so Catalyst broadcasts them while their files are small and
-    shuffles by the strata beyond that, where AQE splits a hot stratum.
+    shuffles by the strata beyond that, where AQE splits a hot stratum. A filter by
+    hashed strata goes before such a shuffle, so that hardly more than the sample moves.
     """
     rule = rule or cochran()
     columns = list(columns or source.columns)
     qcs = list(qcs)
-    if sizes is None:
+    given = sizes is not None
+    if not given:
         sizes = stratum_sizes(source, qcs)
     quotas = pin(stratum_quotas(sizes.select(*qcs, "groupsize"), rule), "quotas")
+    if given and not fits_broadcast(quotas):
+        check_sizes(source, quotas, qcs)
     cutoffs, split = stratum_cutoffs(source, quotas, qcs, key, seed)
     return rows_below(source, cutoffs, split, qcs, key, tail, seed, order).select(*columns)
 
@@ -118,15 +124,68 @@ def stratum_quotas(sizes: DataFrame, rule: SizeRule, reserve: bool = False) -> D
     )
 
 
+def _bucket(qcs: Sequence[str]) -> Column:
+    return F.pmod(F.xxhash64(*qcs), F.lit(BUCKETS)).cast("int")
+
+
+def check_sizes(source: DataFrame, sizes: DataFrame, qcs: Sequence[str]) -> None:
+    """Raise if the source has not the rows that the sizes say, by hashed stratum.
+
+    Needed before :func:`likely_rows`, which could drop a row whose stratum has no size before the
+    join notices. One scan of the query columns, combined to BUCKETS counts before the shuffle.
+    """
+    there = source.groupBy(_bucket(qcs).alias("_bucket")).agg(F.count("*").alias("n"))
+    said = sizes.groupBy(_bucket(qcs).alias("_bucket")).agg((-F.sum("groupsize")).alias("n"))
+    apart = there.union(said).groupBy("_bucket").agg(F.sum("n").alias("n")).where("n <> 0")
+    if not apart.isEmpty():
+        raise ValueError("a row's stratum has no size or another one; profile the source again")
+
+
+def likely_rows(
+    rows: DataFrame, limits: DataFrame, qcs: Sequence[str], below: str, tail: str | None
+) -> DataFrame:
+    """``rows`` whose digest may lie below their stratum's limit, or in its tail.
+
+    Where the limits are too large to broadcast, the rows would be shuffled by their strata. The
+    greatest limits per hashed stratum, rounded up, are two lists of BUCKETS short texts, whatever
+    the number of strata: a value of the filter. Rows above them can't be in the sample and stay
+    where they are. With many more strata than BUCKETS the lists tell them apart less and less.
+    """
+    if fits_broadcast(limits):
+        return rows
+
+    def prefix(digest: Column) -> Column:
+        return F.substring(digest, 1, PREFIX)
+
+    greatest = [prefix(F.max(below)).alias("most")]
+    if tail:
+        greatest.append(prefix(F.max(tail)).alias("thickest"))
+    names = ["most", "thickest"][: len(greatest)]
+    spark = rows.sparkSession
+    buckets = limits.groupBy(_bucket(qcs).alias("id")).agg(*greatest)
+    listed = spark.range(BUCKETS).join(buckets, "id", "left")
+    listed = listed.select("id", *(F.coalesce(n, F.lit(NOTHING)).alias(n) for n in names))
+    entries = F.sort_array(F.collect_list(F.struct("id", *names)))
+    lists = pin(
+        listed.agg(
+            F.struct(*(entries.getField(n).alias(n) for n in names)).alias("l")
+        ),
+        "thresholds",
+    ).scalar()
+    digest, at = F.col("_digest"), _bucket(qcs)
+    likely = prefix(digest) <= F.get(lists["most"], at)
+    if tail:
+        likely = likely | (prefix(second_draw(digest)) <= F.get(lists["thickest"], at))
+    return rows.where(likely)
+
+
 def rows_below(source, cutoffs, split, qcs, key, tail, seed, order) -> DataFrame:
     """Filter the source by its strata's cut-offs; small cut-offs leave it unshuffled."""
     helpers = ["_stratum", "_cutoff", "_tail_below", "_fitting", "_copies"]
-    rows = null_safe_join(
-        source.withColumn("_digest", row_digest(key, seed)),
-        cutoffs.select(*qcs, *helpers),
-        qcs,
-        how="left",
-    )
+    cutoffs = cutoffs.select(*qcs, *helpers)
+    rows = source.withColumn("_digest", row_digest(key, seed))
+    rows = likely_rows(rows, cutoffs, qcs, "_cutoff", "_tail_below" if tail else None)
+    rows = null_safe_join(rows, cutoffs, qcs, how="left")
     helpers.append("_digest")
     digest, cutoff = F.col("_digest"), F.col("_cutoff")
     in_tail = second_draw(digest) < F.col("_tail_below") if tail else F.lit(False)
@@ -167,11 +226,9 @@ def stratum_cutoffs(
     The second result is the largest ``_fitting`` that is less than all copies,
     or None if there is no such stratum.
     """
-    narrow = null_safe_join(
-        source.select(*qcs, row_digest(key, seed).alias("_digest")),
-        quotas.where("open").select(*qcs, "_stratum", "keep", "most", "low", "high"),
-        qcs,
-    )
+    bands = quotas.where("open").select(*qcs, "_stratum", "keep", "most", "low", "high")
+    narrow = source.select(*qcs, row_digest(key, seed).alias("_digest"))
+    narrow = null_safe_join(likely_rows(narrow, bands, qcs, "high", None), bands, qcs)
     entry = F.when(F.col("_digest") < F.col("low"), F.lit(NOTHING)).otherwise(F.col("_digest"))
     listed = (
         narrow.where(F.col("_digest") < F.col("high"))

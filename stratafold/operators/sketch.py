@@ -23,7 +23,12 @@ from pyspark.sql import functions as F
 from stratafold.functions.rowhash import EVERYTHING, row_digest, second_draw
 from stratafold.functions.sizing import SizeRule
 from stratafold.operators.joins import null_safe_join
-from stratafold.operators.sampling import TIE_SPLITS, stratum_cutoffs, stratum_quotas
+from stratafold.operators.sampling import (
+    TIE_SPLITS,
+    likely_rows,
+    stratum_cutoffs,
+    stratum_quotas,
+)
 from stratafold.session import compact, pin
 
 KEPT = "_kept"
@@ -70,12 +75,10 @@ class Sketch:
 
 def _sorted_out(shape: Shape, source: DataFrame, limits: DataFrame) -> DataFrame:
     """The rows up to their stratum's bound, or in the tail, with KEPT."""
-    rows = null_safe_join(
-        source.withColumn("_digest", row_digest(shape.key, shape.seed)),
-        limits.select(*shape.qcs, *_HELPERS),
-        shape.qcs,
-        how="left",
-    )
+    rows = source.withColumn("_digest", row_digest(shape.key, shape.seed))
+    by = limits.select(*shape.qcs, *_HELPERS)
+    rows = likely_rows(rows, by, shape.qcs, "_bound", "_tail_below" if shape.tail else None)
+    rows = null_safe_join(rows, by, shape.qcs, how="left")
     digest, cutoff, bound = F.col("_digest"), F.col("_cutoff"), F.col("_bound")
     in_tail = second_draw(digest) < F.col("_tail_below") if shape.tail else F.lit(False)
     unsized = F.raise_error(F.lit("a row's stratum has no size; profile the source again"))

@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import hashlib
 import json
+import threading
 import uuid
 from datetime import UTC, datetime, timedelta
 
@@ -38,6 +39,7 @@ class Store:
         folder = self.root.replace("'", "\\'")
         spark.sql(f"CREATE DATABASE IF NOT EXISTS `{database}` LOCATION '{folder}'")
         self.version = 0  # changes with the log
+        self._appending = threading.Lock()
         self._seen: set[tuple[str, str]] = set()  # entries whose files were there
         self._create_log()
         self.refresh()
@@ -67,19 +69,25 @@ class Store:
         self.version += 1
 
     def append(self, *entries: tuple[str, str, dict | str]) -> None:
-        """Log ``(type, key, value)`` entries. Values travel as data, never inside SQL text."""
-        rows = []
-        for kind, key, value in entries:
-            # two entries of one process never share a timestamp
-            self._clock = max(datetime.now(UTC), self._clock + timedelta(microseconds=1))
-            text = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
-            rows.append((kind, key, text, self._clock))
-        literal_rows(self.spark, rows, LOG_SCHEMA).write.mode("append").parquet(self.log_path)
-        for kind, key, text, _ in rows:
-            self._live.pop((kind, key), None)
-            if text != DELETED:
-                self._live[kind, key] = text
-        self.version += 1
+        """Log ``(type, key, value)`` entries. Values travel as data, never inside SQL text.
+
+        Threads of one session append one after the other.
+        """
+        with self._appending:
+            rows = []
+            for kind, key, value in entries:
+                # two entries of one process never share a timestamp
+                self._clock = max(datetime.now(UTC), self._clock + timedelta(microseconds=1))
+                text = value if isinstance(value, str) else json.dumps(value, sort_keys=True)
+                rows.append((kind, key, text, self._clock))
+            literal_rows(self.spark, rows, LOG_SCHEMA).write.mode("append").parquet(self.log_path)
+            live = dict(self._live)
+            for kind, key, text, _ in rows:
+                live.pop((kind, key), None)
+                if text != DELETED:
+                    live[kind, key] = text
+            self._live = live  # readers keep the version they look at
+            self.version += 1
 
     def remove(self, kind: str, key: str) -> None:
         self.append((kind, key, DELETED))

@@ -91,14 +91,19 @@ def estimate(
     sums: dict[str, str],
     counts: tuple[str, ...] = (),
     where: str = "true",
+    seen: str = "",
 ) -> str:
     """Per stratum scaled by its size over its sampled rows, then added up per group.
 
-    ``where`` must be on stratum columns, or on none.
+    ``where`` must be on stratum columns, or on none; ``seen`` is any filter: rows that fail it
+    still count as sampled.
     """
     keys = tuple(dict.fromkeys((*qcs, *groups)))
     match = " AND ".join(f"a.{c} IS NOT DISTINCT FROM t.{c}" for c in qcs)
-    inner = ", ".join(f"{total(v)} AS {n}" for n, v in sums.items())
+    if seen:
+        sums = {n: f"CASE WHEN {seen} THEN {v} END" for n, v in sums.items()}
+    inner = "".join(f", {total(v)} AS {n}" for n, v in sums.items())
+    hits = f"count(CASE WHEN {seen or 'true'} THEN 1 END)"
     sampled = f"sum(count(*)) OVER (PARTITION BY {', '.join(qcs)})"
     outer = ", ".join(
         [f"round(sum(a.{n} / sampled * groupsize), 2) AS {n}" for n in sums]
@@ -107,10 +112,10 @@ def estimate(
     grouped = ", ".join(f"a.{g}" for g in groups)
     return f"""
       SELECT {grouped}, {outer}
-      FROM (SELECT {', '.join(keys)}, count(*) AS hits, {sampled} AS sampled, {inner}
+      FROM (SELECT {', '.join(keys)}, {hits} AS hits, {sampled} AS sampled{inner}
             FROM {on_sample(rows, joins)} WHERE {where} GROUP BY {', '.join(keys)}) a
       JOIN ({targets(source, qcs, '1')}) t ON {match}
-      GROUP BY {grouped}"""
+      WHERE hits > 0 GROUP BY {grouped}"""
 
 
 def whole(value: str) -> str:
@@ -237,6 +242,9 @@ EVENT_COLUMNS = "event_id, ts, user_id, event_type, value, props"
 ORDER_COLUMNS = "o_orderkey, o_custkey, o_orderstatus, o_totalprice, o_orderdate, o_orderpriority"
 
 SEGMENT_JOINS = f"{O_JOIN} {C_JOIN}"
+# equality filters on strata, and any other filters, per query
+PINNED = {"42": "o_orderstatus = 'F'", "43": "n_regionkey = 1"}
+FILTERED = {"34": BASKET_FILTER}
 # per query: fact, group columns, sums, counts, joins
 REPORTED = {
     "flag": ("lineitem", FLAGS, FLAG_SUMS, ("cnt",), ""),
@@ -257,6 +265,15 @@ REPORTED = {
         ("cnt",),
         SEGMENT_JOINS,
     ),
+    "34": ("lineitem", ("o_custkey",), {}, ("cnt",), f"{O_JOIN} {P_JOIN}"),
+    "42": (
+        "lineitem",
+        ("p_type", "o_orderstatus"),
+        {"sum_price": money("l_extendedprice")},
+        (),
+        f"{O_JOIN} {P_JOIN}",
+    ),
+    "43": ("lineitem", ("n_name",), WEEKDAY_SUMS, (), f"{S_JOIN} {N_JOIN}"),
 }
 
 
@@ -269,11 +286,16 @@ def report(query: str, rows: str, qcs: tuple[str, ...]) -> str:
         [f"{total(v)} AS {n}" for n, v in sums.items()] + [f"count(*) AS {n}" for n in counts]
     )
 
+    pinned, seen = PINNED.get(query, "true"), FILTERED.get(query, "")
+
     def answer(source: str) -> str:
-        return f"SELECT {keys}, {measures}, count(*) AS groupsize FROM {source} GROUP BY {keys}"
+        return (
+            f"SELECT {keys}, {measures}, count(*) AS groupsize FROM {source} "
+            f"WHERE {pinned} AND ({seen or 'true'}) GROUP BY {keys}"
+        )
 
     # the report uses unrounded estimates
-    est = estimate(rows, joins, f"{fact} {joins}", qcs, groups, sums, counts)
+    est = estimate(rows, joins, f"{fact} {joins}", qcs, groups, sums, counts, pinned, seen)
     est = est.replace("round(sum(", "(sum(").replace("groupsize), 2)", "groupsize))")
     truth = ", ".join(f"o.{a}" for a in aggs)
     guess = ", ".join(f"e.{a} AS est_{a}" for a in aggs)
@@ -323,6 +345,21 @@ def _evaluate_joined() -> str:
     return " UNION ALL ".join(parts)
 
 
+def _evaluate_workload() -> str:
+    """Every query of the workload that has an answer, each on a min-row sample of its strata."""
+    shapes = {
+        "orders": dict(key=("o_orderkey",), order="", columns=ORDER_COLUMNS),
+        "events": dict(key=EVENT_KEY, order="", columns=EVENT_COLUMNS),
+    }
+    parts = []
+    for query, (fact, _, _, _, joins) in REPORTED.items():
+        qcs = PROFILES[query][1]
+        drawn = sample(f"{fact} {joins}", qcs, target="100.0", **shapes.get(fact, {}))
+        name = f"{fact}__st2_100__{'_'.join(sorted(qcs))}"
+        parts.append(f"SELECT '{name}' AS sample, * FROM ({report(query, drawn, qcs)}) r")
+    return " UNION ALL ".join(parts)
+
+
 ORACLE = {
     "stratum_sizes": """
       SELECT l_returnflag, l_linestatus, l_suppkey, count(*) AS groupsize
@@ -527,6 +564,7 @@ ORACLE = {
     "evaluate_all": _evaluate_all(),
     "evaluate_sample": " UNION ALL ".join(report(q, FLAG_MIN_ROWS, FLAGS) for q in ("flag", "59")),
     "evaluate_joined": _evaluate_joined(),
+    "evaluate_workload": _evaluate_workload(),
     "meta_latest": LATEST,
     "meta_list": f"""
       SELECT key, CAST(json_extract(value, '$.k') AS INTEGER) AS k, ts

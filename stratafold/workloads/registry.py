@@ -472,9 +472,7 @@ def evaluate_all(spark, folder):
     engine = _engine(spark, tpch.load(spark, folder))
     workload = [tpch.revenue_by_flag(), tpch.value_by_status(), tpch.events_by_type()]
     engine.create_advised(workload)
-    for query in workload:
-        spec = SampleSpec(MIN_ROW, query.fact, query.qcs, min_rows=FLAG_ROWS)
-        engine.create_sample(spec, [query.id])
+    engine.create_samples([(_min_rows(q, FLAG_ROWS), [q.id]) for q in workload])
     return _labelled(engine.evaluate_all(workload))
 
 
@@ -489,12 +487,24 @@ def evaluate_joined(spark, folder):
     engine = _engine(spark, tpch.load(spark, folder))
     workload = [tpch.sales_by_segment_quarter(), tpch.sales_by_segment_priority()]
     engine.build_prejoins(workload)
-    for q in workload:
-        spec = SampleSpec(MIN_ROW, q.fact, q.qcs, q.tables, q.pairs, min_rows=JOINED_ROWS)
-        engine.create_sample(spec, [q.id])
+    engine.create_samples([(_min_rows(q, JOINED_ROWS), [q.id]) for q in workload])
     return _labelled(engine.evaluate_all(workload))
 
 
+def evaluate_workload(spark, folder):
+    """Every query of the workload that has an answer, over stored prejoins: each on a min-row
+    sample of its own strata."""
+    engine = _engine(spark, tpch.load(spark, folder))
+    workload = [q for q in tpch.workload() if q.template is not None]
+    engine.build_prejoins(workload)
+    engine.create_samples([(_min_rows(q, JOINED_ROWS), [q.id]) for q in workload])
+    return _labelled(engine.evaluate_all(workload))
+
+
+def _min_rows(q: QuerySpec, rows: int) -> SampleSpec:
+    return SampleSpec(MIN_ROW, q.fact, q.qcs, q.tables, q.pairs, min_rows=rows)
+
+
 def evaluate_sample(spark, folder):
     """One min-row sample against the query it suits and one whose groups cut its strata."""
     engine = _engine(spark, tpch.load(spark, folder))
@@ -583,6 +593,7 @@ QUERIES = {
     "evaluate_all": evaluate_all,
     "evaluate_sample": evaluate_sample,
     "evaluate_joined": evaluate_joined,
+    "evaluate_workload": evaluate_workload,
     "meta_latest": meta_latest,
     "meta_list": meta_list,
 }
