@@ -215,7 +215,7 @@ def stratum_cutoffs(
     qcs: Sequence[str],
     key: Sequence[str],
     seed: int | str,
-    save: Callable[[DataFrame, str], DataFrame] = pin,
+    save: Callable[[DataFrame, str], DataFrame] | None = None,
 ) -> tuple[DataFrame, int | None]:
     """Per stratum the digest of its last row to keep; written once, read back.
 
@@ -226,6 +226,7 @@ def stratum_cutoffs(
     The second result is the largest ``_fitting`` that is less than all copies,
     or None if there is no such stratum.
     """
+    save = save or pin
     bands = quotas.where("open").select(*qcs, "_stratum", "keep", "most", "low", "high")
     narrow = source.select(*qcs, row_digest(key, seed).alias("_digest"))
     narrow = null_safe_join(likely_rows(narrow, bands, qcs, "high", None), bands, qcs)
