@@ -512,6 +512,9 @@ class Engine:
         return found
 
     def drop_sample(self, sample: SampleSpec) -> None:
+        """Forget a sample and its queries; ``Store.vacuum`` frees its files."""
+        for key, _ in self.store.entries("sample_query", f"{sample.name}/"):
+            self.store.remove("sample_query", key)
         for kind in ("sample", "table", "sketch"):
             self.store.remove(kind, sample.name)
 

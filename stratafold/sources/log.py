@@ -17,19 +17,19 @@ LOG_SCHEMA = StructType(
 )
 
 
-def latest(log: DataFrame) -> DataFrame:
-    """The newest value per type and key; keys whose newest value is a tombstone are gone.
+def newest(log: DataFrame) -> DataFrame:
+    """The newest entry per type and key, tombstones included.
 
     ``max`` of a struct combines on the mapper, so a key with very many versions
     is reduced before the shuffle.
     """
-    newest = F.max(F.struct("ts", "value")).alias("newest")
-    return (
-        log.groupBy("type", "key")
-        .agg(newest)
-        .select("type", "key", "newest.value", "newest.ts")
-        .where(F.col("value") != DELETED)
-    )
+    entry = F.max(F.struct("ts", "value")).alias("newest")
+    return log.groupBy("type", "key").agg(entry).select("type", "key", "newest.value", "newest.ts")
+
+
+def latest(log: DataFrame) -> DataFrame:
+    """The newest value per type and key; keys whose newest value is a tombstone are gone."""
+    return newest(log).where(F.col("value") != DELETED)
 
 
 def live_entries(log: DataFrame, kind: str, prefix: str = "") -> DataFrame:

@@ -11,16 +11,28 @@ from __future__ import annotations
 import hashlib
 import json
 import threading
+import time
 import uuid
 from datetime import UTC, datetime, timedelta
+from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
+from pyspark.errors import AnalysisException, PySparkException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType, StructField, StructType
 
 from stratafold.session import literal_rows
-from stratafold.sources.log import DELETED, LOG_SCHEMA, latest
+from stratafold.sources import files
+from stratafold.sources.log import DELETED, LOG_SCHEMA, latest, newest
+
+
+def _folders_in(value) -> list[str]:
+    """The texts of a log value that may be folders."""
+    if isinstance(value, str):
+        return [value] if "/" in value else []
+    if isinstance(value, dict):
+        return _folders_in(list(value.values()))
+    return [text for part in value for text in _folders_in(part)] if isinstance(value, list) else []
 
 
 class Store:
@@ -61,7 +73,10 @@ class Store:
         return self.spark.read.schema(LOG_SCHEMA).parquet(self.log_path)
 
     def refresh(self) -> None:
-        rows = latest(self.log()).orderBy("ts").collect()
+        try:
+            rows = latest(self.log()).orderBy("ts").collect()
+        except PySparkException:  # another session compacted the log between listing and reading
+            rows = latest(self.log()).orderBy("ts").collect()
         self._live = {(row["type"], row["key"]): row["value"] for row in rows}
         if rows:  # a clock that lags must not write entries older than those there are
             newest = self.log().agg(F.max("ts")).first()[0]
@@ -89,6 +104,51 @@ class Store:
             self._live = live  # readers keep the version they look at
             self.version += 1
 
+    def compact_log(self) -> int:
+        """Replace the log's files by one with the newest entry of every key; how many went.
+
+        The new file is complete before it appears, under its final name, and the old ones are
+        deleted after that: whoever reads in between sees entries twice, which changes nothing.
+        Tombstones are kept, so a half-done deletion brings nothing back. Files that other sessions
+        append meanwhile stay.
+        """
+        with self._appending:
+            log = self.log()
+            old = [unquote(path) for path in log.inputFiles()]
+            if len(old) < 2:
+                return 0
+            made = f"{self.root}/_compacted/{uuid.uuid4().hex[:12]}"
+            newest(log).coalesce(1).write.parquet(made)
+            for status in files.children(self.spark, made):
+                if status.endswith(".parquet"):
+                    files.rename(self.spark, status, f"{self.log_path}/{status.rsplit('/', 1)[1]}")
+            for path in [*old, made]:
+                files.delete(self.spark, path)
+        return len(old)
+
+    def vacuum(self, grace_seconds: float = 86_400) -> list[str]:
+        """Delete folders that no live entry names; returns their paths.
+
+        Those changed within ``grace_seconds`` stay, as a session may be about to log them. Frames
+        that were read from a version that was replaced since can't be read any more.
+        """
+        self.refresh()
+        named = [found for text in self._live.values() for found in _folders_in(json.loads(text))]
+        named = {files.plain(path) for path in named}
+        before = time.time() - grace_seconds
+        gone = []
+        for name in files.children(self.spark, self.root):
+            if name.rsplit("/", 1)[1] == "_log":
+                continue
+            for folder in files.children(self.spark, name):
+                plain = files.plain(folder)
+                live = any(path == plain or path.startswith(f"{plain}/") for path in named)
+                if not live and files.changed(self.spark, folder) <= before:
+                    files.delete(self.spark, folder)
+                    gone.append(plain)
+        self._seen.clear()
+        return sorted(gone)
+
     def remove(self, kind: str, key: str) -> None:
         self.append((kind, key, DELETED))
 
