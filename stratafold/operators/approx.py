@@ -29,6 +29,7 @@ def rescaled(
     pinned: Mapping[str, Any] | None = None,
     where: Column | None = None,
     ratio: float | None = None,
+    whole_strata: bool = False,
 ) -> DataFrame:
     """Estimated sums and counts per group, from a sample joined to its dimensions.
 
@@ -40,8 +41,9 @@ def rescaled(
     Each stratum is scaled by its own size over its own sampled rows before
     strata are added up. Where a group is a single stratum that is the plain
     ratio ``sum / sampled * size`` and the second step falls away. A sampled
-    stratum without a size and a size without a sampled row are errors: sample
-    and sizes are of different states.
+    stratum without a size is an error: its sizes are of another state. So is a
+    size without a sampled row where the caller knows that no join or filter took
+    ``whole_strata`` away.
 
     ``ratio`` is the rate of a uniform sample. Every row stands for as many
     there, also for strata of which none was drawn; sizes are not needed.
@@ -71,11 +73,11 @@ def rescaled(
         # the groups cut strata apart, the rate is that of the whole stratum; counted
         # by an aggregate of its own, as a window would gather a stratum's groups
         whole = sample.groupBy(*qcs).agg(F.count("*").alias("_sampled"))
-        rates = _matched(rates, whole, qcs).where(_of_one_state(F.lit(True)))
+        rates = _matched(rates, whole, qcs).where(_of_one_state(F.lit(True), whole_strata))
         scaled = null_safe_join(per_stratum.where(F.col("_hits") > 0), rates, qcs)
     else:
         per_stratum = per_stratum.withColumn("_sampled", F.col("_rows"))
-        scaled = _matched(per_stratum, rates, qcs).where(_of_one_state(F.col("_hits") > 0))
+        scaled = _matched(per_stratum, rates, qcs).where(_of_one_state(F.col("_hits") > 0, whole_strata))
     estimates = {
         **{
             n: F.col(f"_sum_{n}").cast("double") / F.col("_sampled") * F.col("groupsize")
@@ -98,8 +100,9 @@ def _matched(left: DataFrame, right: DataFrame, qcs: Sequence[str]) -> DataFrame
     return both.groupBy(*qcs).agg(*(F.max(c).alias(c) for c in values))
 
 
-def _of_one_state(condition: Column) -> Column:
-    """``condition``, where a stratum has both a size and sampled rows; anything else is an error.
+def _of_one_state(condition: Column, whole_strata: bool) -> Column:
+    """``condition``, where a stratum has both a size and sampled rows. One without a size is an
+    error; so is one without rows if ``whole_strata`` are expected, else it is left out.
 
     Part of the filter, so that no rewrite drops the rows it is about before they are seen.
     """
@@ -107,7 +110,10 @@ def _of_one_state(condition: Column) -> Column:
     unsampled = F.raise_error(F.lit("a stratum has no sampled row; draw the sample again"))
     return (
         F.when(F.col("groupsize").isNull(), unsized.cast("boolean"))
-        .when(F.col("_sampled").isNull(), unsampled.cast("boolean"))
+        .when(
+            F.col("_sampled").isNull(),
+            unsampled.cast("boolean") if whole_strata else F.lit(False),
+        )
         .otherwise(condition)
     )
 

@@ -77,6 +77,8 @@ def star_query(
             pinned=strata,
             where=all_of(rest) if rest else None,
             ratio=made.ratio if made.kind == UNIFORM else None,
+            # the sample's own joins lose no stratum, further ones may
+            whole_strata=dims_needed == made.tables - {fact},
         )
 
     spec = QuerySpec(

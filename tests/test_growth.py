@@ -275,12 +275,13 @@ def test_sizes_without_a_sampled_row_are_an_error(spark, groups):
     sizes = stratum_sizes(source, ["k"])
     more = sizes.unionByName(sizes.limit(1).withColumn("k", F.lit("unseen")))
     sums = {"total": F.col("v")}
-    assert rescaled(source, sizes, ["k"], groups, sums).count()
+    assert rescaled(source, sizes, ["k"], groups, sums, whole_strata=True).count()
     with pytest.raises(Exception, match="no sampled row"):
-        rescaled(source, more, ["k"], groups, sums).collect()
+        rescaled(source, more, ["k"], groups, sums, whole_strata=True).collect()
+    assert rescaled(source, more, ["k"], groups, sums).count()
     with pytest.raises(Exception, match="has no size"):
         rescaled(source, sizes.where("k <> 'hot'"), ["k"], groups, sums).collect()
-    pinned = rescaled(source, more, ["k"], groups, sums, pinned={"k": "hot"})
+    pinned = rescaled(source, more, ["k"], groups, sums, pinned={"k": "hot"}, whole_strata=True)
     assert pinned.count()
 
 
