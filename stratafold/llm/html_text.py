@@ -6,8 +6,10 @@ import html
 import math
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass, field
 from functools import lru_cache
+from itertools import islice
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -33,9 +35,10 @@ INLINE = frozenset(
 )
 CLOSED_BY_SAME = frozenset("p li dt dd tr td th option h1 h2 h3 h4 h5 h6".split())
 
-_PIECE = re.compile(
-    r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|</?[A-Za-z][^\s/>]*(?:[^>\"']|\"[^\"]*\"|'[^']*')*>", re.DOTALL
-)
+_START = re.compile(r"<(?:[!?]|/?[A-Za-z][^\s/>]*)")
+_TAG_END = re.compile(r"(?:[^>\"']|\"[^\"]*\"|'[^']*')*+>")
+#: Elements around a block, the innermost, that its path names.
+DEEP = 64
 _NAME = re.compile(r"</?([A-Za-z][^\s/>]*)")
 _NAMED = re.compile(r"(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.IGNORECASE)
 _SPACE = re.compile(r"\s+")
@@ -70,17 +73,22 @@ class _Reader:
     parts: list[str] = field(default_factory=list)
     in_links: int = 0
     blocks: list[Block] = field(default_factory=list)
+    opened: Counter[str] = field(default_factory=Counter)
+
+    def pop(self) -> None:
+        self.opened[self.stack.pop().name] -= 1
 
     def end_block(self) -> None:
         text = _SPACE.sub(" ", html.unescape("".join(self.parts))).strip()
         if text:
-            path = tuple(x.name + x.label for x in self.stack if x.name not in INLINE)
+            around = (x.name + x.label for x in reversed(self.stack) if x.name not in INLINE)
+            path = tuple(islice(around, DEEP))[::-1]
             self.blocks.append(Block(text, path, min(1.0, self.in_links / max(1, len(text)))))
         self.parts, self.in_links = [], 0
 
     def text(self, some: str) -> None:
         self.parts.append(some)
-        if self.stack and self.stack[-1].name in INLINE and any(x.name == "a" for x in self.stack):
+        if self.stack and self.stack[-1].name in INLINE and self.opened["a"]:
             self.in_links += len(some.strip())
 
     def open(self, tag: str, name: str) -> None:
@@ -89,21 +97,28 @@ class _Reader:
         if name not in INLINE:
             self.end_block()
             while self.stack and self.stack[-1].name in INLINE:
-                self.stack.pop()
+                self.pop()
             if self.stack and self.stack[-1].name in CLOSED_BY_SAME:
                 if self.stack[-1].name == name or self.stack[-1].name == "p":
-                    self.stack.pop()
+                    self.pop()
         if name not in VOID and not tag.endswith("/>"):
             found = [next(filter(None, m), "") for m in _NAMED.findall(tag)]
             label = "." + ".".join(" ".join(found).lower().split()) if found else ""
             self.stack.append(_Open(name, label))
+            self.opened[name] += 1
 
     def close(self, name: str) -> None:
-        at = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i].name == name), None)
         if name not in INLINE:
             self.end_block()
-        if at is not None and (name not in INLINE or all(x.name in INLINE for x in self.stack[at:])):
-            del self.stack[at:]
+        if not self.opened[name]:
+            return
+        at = len(self.stack) - 1
+        while self.stack[at].name != name:
+            if name in INLINE and self.stack[at].name not in INLINE:
+                return
+            at -= 1
+        while len(self.stack) > at:
+            self.pop()
 
 
 def blocks(page: str | None) -> list[Block]:
@@ -111,31 +126,37 @@ def blocks(page: str | None) -> list[Block]:
 
     Elements that are never closed end with the next block of their kind; what stands in
     scripts, styles and the like is left out, as are comments of the markup. A tag that the
-    page's end cuts off is dropped.
+    page's end cuts off is dropped with what follows. A tag whose quotes never close ends at its
+    first ``>``, and from there on quotes don't count. The page is read in one sweep.
     """
-    reader, at, text = _Reader(), 0, page or ""
-    for_raw = None
-    while True:
-        m = _PIECE.search(text, at)
-        if not m:
-            rest = text[at:]
-            cut = re.search(r"</?[A-Za-z!][^>]*\Z", rest)
-            reader.text(rest[: cut.start()] if cut else rest)
-            break
+    reader, at, text, quoted = _Reader(), 0, page or "", True
+    while m := _START.search(text, at):
         if m.start() > at:
             reader.text(text[at : m.start()])
-        at = m.end()
+        if text.startswith("<!--", m.start()):
+            end = text.find("-->", m.end())
+            at = end + 3 if end >= 0 else len(text)
+            continue
+        closing = _TAG_END.match(text, m.end()) if quoted and text[m.start() + 1] not in "!?" else None
+        end = closing.end() if closing else text.find(">", m.end()) + 1
+        if not end:
+            at = len(text)
+            break
         named = _NAME.match(m[0])
         if not named:
+            at = end
             continue
-        name = named[1].lower()
-        if m[0][1] == "/":
+        quoted = quoted and closing is not None
+        at, tag, name = end, text[m.start() : end], named[1].lower()
+        if tag[1] == "/":
             reader.close(name)
         elif name in RAW:
-            for_raw = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(text, at)
-            at = for_raw.end() if for_raw else len(text)
+            ends = re.compile(rf"</{re.escape(name)}\s*>", re.IGNORECASE).search(text, at)
+            at = ends.end() if ends else len(text)
         else:
-            reader.open(m[0], name)
+            reader.open(tag, name)
+    if at < len(text):
+        reader.text(text[at:])
     reader.end_block()
     return reader.blocks
 
