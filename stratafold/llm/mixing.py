@@ -37,28 +37,25 @@ def domain_of(source: Column) -> Column:
 
 
 def _placed(docs: DataFrame) -> DataFrame:
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns(
-        {
-            "_domain": domain_of(F.col("source")),
-            "_lang": F.coalesce(F.col("lang"), F.lit("")),
-            "_source": F.coalesce(F.col("source"), F.lit("")),
-            "_md5": F.md5(text.cast("binary")),
-        }
+    """Place in the tree and digest of every row, and the whole row as ``row``, so that no column
+    of the documents clashes with one of the mix."""
+    row = docs.select(F.struct(*(docs[f"`{c}`"] for c in docs.columns)).alias("row"))
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    return row.select(
+        "row",
+        F.col("row.doc_id").alias("doc_id"),
+        domain_of(F.col("row.source")).alias("domain"),
+        F.coalesce(F.col("row.lang"), F.lit("")).alias("lang"),
+        F.coalesce(F.col("row.source"), F.lit("")).alias("source"),
+        F.md5(text.cast("binary")).alias("text_md5"),
     )
 
 
 def leaves(docs: DataFrame) -> DataFrame:
     """doc_id, place in the tree, tokens and a digest of the text, for every row."""
-    text = F.coalesce(F.col("text"), F.lit(""))
-    return _placed(docs).select(
-        "doc_id",
-        F.col("_domain").alias("domain"),
-        F.col("_lang").alias("lang"),
-        F.col("_source").alias("source"),
-        F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens"),
-        F.col("_md5").alias("text_md5"),
-    )
+    text = F.coalesce(F.col("row.text"), F.lit(""))
+    n_tokens = F.regexp_count(text, F.lit(TOKEN)).cast("long").alias("n_tokens")
+    return _placed(docs).select("doc_id", *LEVELS, n_tokens, "text_md5")
 
 
 def _weight(level: str, weights: Mapping[str, Mapping[str, int]]) -> Column:
@@ -167,22 +164,21 @@ def mix(
     A null text has no tokens; null lang and source are leaves of their own, named by the empty
     text; a null doc_id counts as empty in the order and comes first. Rows that agree in doc_id
     and text share their place and come in together. Rows of a leaf without tokens stay out. An
-    empty table gives no rows. Further columns pass through; a column ``epoch`` is replaced.
+    empty table gives no rows. Further columns pass through; a column ``epoch``, in any case, is replaced.
     """
     rows = pin(leaves(docs), "mix-rows")
     stock = rows.groupBy(*LEVELS).agg(F.sum("n_tokens").alias("tokens"))
     plan = pin(budgets(pin(stock, "mix-stock"), weights, budget, max_epochs), "mix-budgets")
     cuts = pin(cut_offs(rows, plan, seed), "mix-cuts")
-    cuts = cuts.select(*(F.col(c).alias(f"_{c}") for c in cuts.columns))
     place = F.struct(
-        _digest(seed, F.col("_whole") + 1, F.col("doc_id")).alias("digest"), "doc_id", "_md5"
+        _digest(seed, F.col("whole") + 1, F.col("doc_id")).alias("digest"), "doc_id", "text_md5"
     )
-    epochs = F.col("_whole") + F.coalesce((place <= F.col("_last")).cast("long"), F.lit(0))
-    taken = _placed(docs).join(cuts, [f"_{c}" for c in LEVELS]).withColumn("_epochs", epochs)
-    taken = taken.where("_epochs > 0").withColumn(
-        "epoch", F.explode(F.sequence(F.lit(1).cast("long"), F.col("_epochs")))
+    epochs = F.col("whole") + F.coalesce((place <= F.col("last")).cast("long"), F.lit(0))
+    taken = _placed(docs).join(cuts, [*LEVELS]).select("row", epochs.alias("epochs"))
+    taken = taken.where("epochs > 0").select(
+        "row", F.explode(F.sequence(F.lit(1).cast("long"), F.col("epochs"))).alias("epoch")
     )
-    kept = [c for c in docs.columns if c != "epoch"]
+    kept = [F.col("row").getField(c).alias(c) for c in docs.columns if c.lower() != "epoch"]
     return taken.select(*kept, F.col("epoch").cast("int").alias("epoch"))
 
 
