@@ -86,8 +86,13 @@ def signature(sets: np.ndarray, seeds: np.ndarray) -> np.ndarray:
     return out
 
 
+def _md5(column: str) -> Column:
+    return F.md5(F.coalesce(F.col(column), F.lit("")).cast("binary"))
+
+
 def _signatures(docs: DataFrame) -> DataFrame:
-    """(doc_id, node, n_shingles, signature); node is a digest of all words, null without any."""
+    """(doc_id, node, n_shingles, signature, text_md5); node is a digest of all words, null
+    without any."""
 
     def make():
         cache: dict[bytes, int] = {}
@@ -106,13 +111,14 @@ def _signatures(docs: DataFrame) -> DataFrame:
                 "node": nodes,
                 "n_shingles": sizes,
                 "signature": found,
+                "text_md5": batch["text_md5"],
             }
 
         return work
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, node binary, n_shingles long, signature binary"
-    return arrow_rows(docs.select("doc_id", "text"), make, schema)
+    schema = f"doc_id {kind}, node binary, n_shingles long, signature binary, text_md5 string"
+    return arrow_rows(docs.select("doc_id", "text", _md5("text").alias("text_md5")), make, schema)
 
 
 def _postings(classes: DataFrame, least: int) -> DataFrame:
@@ -272,18 +278,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     return made.groupBy("node").agg(F.first("shingles").alias("shingles"))
 
 
-def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
-
-    Linked are documents whose sets of distinct five-word shingles overlap in ``percent`` of their
-    union or more; a document of fewer words is one shingle. ``component_id`` is the smallest
-    doc_id reachable by links. Documents with the same words are one node and never paired up.
-
-    A null text, an empty one and one without words have no shingles and link with nothing; their
-    component is their own doc_id. Rows that repeat a doc_id are documents of their own under
-    that id. A null doc_id takes part but is no one's smallest id unless there is no other.
-    An empty table gives no rows. Other columns are ignored.
-    """
+def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """The stored rows of ``_signatures``, and (node, least, root): nodes share a root iff links
+    connect them."""
     rows = pin(_signatures(docs), "minhash-rows")
     classes = pin(
         rows.where("node IS NOT NULL")
@@ -303,7 +300,22 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     )
     roots = components(_confirmed(pin(members, "minhash-members"), percent), "minhash-components")
     nodes = classes.select("node", "least").join(roots, "node", "left")
-    nodes = nodes.withColumn("root", F.coalesce("root", "node"))
+    return rows, nodes.withColumn("root", F.coalesce("root", "node"))
+
+
+def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """(doc_id, n_shingles, component_id, kept) for every row of ``docs``.
+
+    Linked are documents whose sets of distinct five-word shingles overlap in ``percent`` of their
+    union or more; a document of fewer words is one shingle. ``component_id`` is the smallest
+    doc_id reachable by links. Documents with the same words are one node and never paired up.
+
+    A null text, an empty one and one without words have no shingles and link with nothing; their
+    component is their own doc_id. Rows that repeat a doc_id are documents of their own under
+    that id. A null doc_id takes part but is no one's smallest id unless there is no other.
+    An empty table gives no rows. Other columns are ignored.
+    """
+    rows, nodes = _linked(docs, percent)
     smallest = nodes.groupBy("root").agg(F.min("least").alias("component_id"))
     nodes = nodes.join(smallest, "root").select("node", "component_id")
     component = F.coalesce("component_id", "doc_id")
@@ -316,11 +328,33 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
 
 
 def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
-    """``docs`` without near duplicates: of each component the rows with its smallest doc_id stay.
-
-    Rows without shingles, and rows without a doc_id that have no duplicate with one, stay too.
+    """``docs`` without near duplicates: of each component one row stays, one with its smallest
+    doc_id, of several the one whose text has the smallest digest. A row without a doc_id stays
+    only where no row of its component has one. Rows are told apart by doc_id and text, so a row
+    that shares its id with a duplicate is judged by its own text. Rows without shingles stay.
     """
-    dropped = near_duplicates(docs, percent).where("NOT kept").select("doc_id").distinct()
-    dropped = pin(dropped, "minhash-dropped")
-    same = docs["doc_id"].eqNullSafe(dropped["doc_id"])
-    return docs.join(dropped, same, "left_anti")
+    rows, nodes = _linked(docs, percent)
+    named = rows.select("doc_id", "text_md5", "node").join(nodes.select("node", "root"), "node")
+    order = F.struct(F.col("doc_id").isNull().alias("unnamed"), "doc_id", "text_md5")
+    counted = named.groupBy("root", "doc_id", "text_md5").agg(F.count(F.lit(1)).alias("n"))
+    counted = pin(counted.select("root", "n", order.alias("at")), "minhash-counted")
+    first = counted.groupBy("root").agg(F.min("at").alias("first"))
+    judged = counted.join(first, "root").where("at <> first OR n > 1")
+    judged = judged.select(
+        F.col("at.doc_id").alias("doc_id"),
+        F.col("at.text_md5").alias("text_md5"),
+        (F.col("at") == F.col("first")).alias("repeated"),
+    )
+    judged = pin(judged, "minhash-judged")
+
+    def same(given: DataFrame) -> Column:
+        return docs["doc_id"].eqNullSafe(given["doc_id"]) & (
+            F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == given["text_md5"]
+        )
+
+    alone = docs.join(judged, same(judged), "left_anti")
+    repeated = judged.where("repeated")
+    if repeated.isEmpty():
+        return alone
+    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    return alone.unionByName(once)
