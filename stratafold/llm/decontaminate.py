@@ -40,14 +40,15 @@ class Items:
 
     @staticmethod
     def of(rows) -> Items:
-        terms: dict[bytes, int] = {}
-        names, texts = [], []
+        names, split = [], []
         for name, text in rows:
             found = words(text)
             if found:
                 names.append("" if name is None else str(name))
-                numbers = [terms.setdefault(w, len(terms)) for w in found]
-                texts.append(np.array(numbers, np.int32))
+                split.append(found)
+        # numbers follow the words' order, so that ties don't depend on the order of rows
+        terms = {w: i for i, w in enumerate(sorted({w for found in split for w in found}))}
+        texts = [np.array([terms[w] for w in found], np.int32) for found in split]
         return Items(terms, names, texts)
 
     def windows(self):
@@ -351,10 +352,17 @@ cand AS (SELECT r, p, size, list_slice(w, p, p + size - 1) AS g
 occ AS (SELECT r, p, cand.size, item FROM cand JOIN win ON cand.g = win.g),
 hit AS (SELECT r, count(DISTINCT q) AS n_hit
   FROM (SELECT r, unnest(range(p, p + size)) AS q FROM occ) AS t GROUP BY r),
+freq AS (SELECT word, count(*) AS n FROM tok GROUP BY word),
+mids AS (SELECT item, g, arg_min(u, coalesce(lpad(CAST(n AS VARCHAR), 12, '0'), '') || u) AS mid
+  FROM (SELECT item, g, unnest(g) AS u FROM win) AS t LEFT JOIN freq ON word = u GROUP BY item, g),
+nearby AS (SELECT r, count(DISTINCT item) AS n_near FROM tok JOIN mids ON word = mid
+  WHERE list_has_all(list_slice(w, greatest(1, p - {WINDOW - 1 + SLOP}), p + {WINDOW - 1 + SLOP}), g)
+  GROUP BY r),
 items AS (SELECT r, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS names
   FROM (SELECT DISTINCT r, item FROM occ) AS t GROUP BY r)
 SELECT doc_id, len(w) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
   sha256(coalesce(names, '')) AS items_sha256,
-  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated
-FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r)
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated,
+  coalesce(n_near, 0) AS n_near
+FROM d LEFT JOIN hit USING (r) LEFT JOIN items USING (r) LEFT JOIN nearby USING (r)
 """

@@ -99,6 +99,7 @@ QUERIES = {
 }
 ORACLE = {
     "op5_mixing": mixing.oracle_sql(),
+    "op6_decontamination": decontaminate.oracle_sql(),
     "op11_merkle": merkle.oracle_sql(),
     "op12_collocations": collocations.oracle_sql(),
     "op13_urls": url_filter.oracle_sql(),
