@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
 from dataclasses import dataclass
 
@@ -19,7 +20,9 @@ KINDS = ("email", "ip", "card", "phone")
 #: Characters of a window, how far windows overlap, context around digits and at signs.
 WINDOW, OVERLAP, CONTEXT = 64, 24, 20
 #: Windows that the model is trained on, at most; steps, and windows a step; size of the model.
-TRAINED, STEPS, BATCH, HIDDEN, EMBEDDED = 900, 300, 48, 14, 10
+TRAINED, STEPS, BATCH, HIDDEN, EMBEDDED = 900, 500, 48, 20, 10
+#: Altered copies of each window with a span that the model is also trained on.
+COPIES = 3
 #: Windows that are scored together.
 TOGETHER = 256
 
@@ -30,7 +33,12 @@ _IP = re.compile(r"(?<![0-9])[0-9]++(?:\.[0-9]+){3}")
 _CARD = re.compile(r"[0-9](?:[\x20-]?[0-9])+")
 _PHONE = re.compile(r"\+[0-9][\x20().0-9-]+[0-9]")
 _DIGIT = re.compile(r"[0-9]")
-_MARK = re.compile(r"[0-9@]+")
+_MARK = re.compile(r"[0-9@]+|[(\[{]\x20?(?:at|dot|\.)\x20?[)\]}]", re.IGNORECASE)
+_AT = re.compile(r"\x20*[(\[{]\x20?at\x20?[)\]}]\x20*", re.IGNORECASE)
+_DOT = re.compile(r"\x20*[(\[{]\x20?(?:dot|\.)\x20?[)\]}]\x20*", re.IGNORECASE)
+_ADDRESS = re.compile(r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)+")
+_PARTED_CARD = re.compile(r"[0-9](?:[\x20./_-]{0,3}[0-9])+")
+_PARTED_PHONE = re.compile(r"[+(]?[0-9]+(?:[\x20()./-]{1,2}[0-9]+)+")
 
 Span = tuple[str, int, int]
 
@@ -89,8 +97,8 @@ def joined(spans: list[Span]) -> str:
 
 
 def regions(text: str) -> list[tuple[int, int]]:
-    """Stretches around digits and at signs. None of the four kinds does without both, so all
-    other characters are outside by definition and need no decoding."""
+    """Stretches around digits, at signs and signs in brackets. None of the four kinds does
+    without all of them, so all other characters are outside by definition and need no decoding."""
     out: list[tuple[int, int]] = []
     for m in _MARK.finditer(text):
         start, end = max(0, m.start() - CONTEXT), min(len(text), m.end() + CONTEXT)
@@ -162,7 +170,9 @@ class Tagger:
         adam = Adam([self.embedding, *self.network.arrays, self.moves], 0.02)
         order = np.random.default_rng(5)
         batches = -(-len(texts) // BATCH)
-        for _ in range(-(-STEPS // batches)):
+        rounds = -(-STEPS // batches)
+        for number in range(rounds):
+            adam.rate = 0.02 * (1 - 0.9 * number / rounds)
             for some in np.array_split(order.permutation(len(texts)), batches):
                 x, m = codes[some], mask[some]
                 scores, state = self.network.run(self.embedding[x].transpose(1, 0, 2), m.T)
@@ -248,9 +258,42 @@ def labelled_windows(docs: DataFrame) -> DataFrame:
     return arrow_rows(docs.select("text"), make, "window string, spans array<array<int>>")
 
 
+def _disguised(kind: str, text: str, draw: random.Random) -> str:
+    """Personal data in a form that the patterns don't know: spelled signs, other separators, no plus."""
+    if kind == "email":
+        local, _, host = text.partition("@")
+        dot = draw.choice((".", ".", "[.]", "(dot)", " [dot] "))
+        return local + draw.choice((" [at] ", "[at]", "(at)", " (at) ")) + host.replace(".", dot)
+    if kind == "ip":
+        return text.replace(".", draw.choice(("[.]", "(.)", "[dot]")))
+    digits = _digits(text)
+    if kind == "card":
+        groups = [digits[i : i + 4] for i in range(0, len(digits), 4)]
+        return draw.choice((".", "/", "_", " - ", "  ")).join(groups)
+    a, b, c = digits[-10:-7], digits[-7:-4], digits[-4:]
+    forms = (f"{a}-{b}-{c}", f"({a}) {b}-{c}", f"{a}.{b}.{c}", f"{a} {b} {c}", f"00{digits[:-7]} {b} {c}")
+    return draw.choice(forms)
+
+
+def altered(window: str, spans: tuple, h: int) -> tuple[str, tuple] | None:
+    """The window with all its data disguised; none if that doesn't fit or spans overlap."""
+    draw, out, at, found = random.Random(h), "", 0, []
+    for kind, start, end in sorted(spans, key=lambda x: x[1]):
+        if start < at:
+            return None
+        out += window[at:start]
+        piece = _disguised(KINDS[kind], window[start:end], draw)
+        found.append((kind, len(out), len(out) + len(piece)))
+        out, at = out + piece, end
+    if not found or found[-1][2] > WINDOW:
+        return None
+    return (out + window[at:])[:WINDOW], tuple(found)
+
+
 def train(docs: DataFrame, most: int = TRAINED) -> Tagger:
     """A tagger from at most ``most`` labelled windows, those with the smallest digests: a third
-    without a span, a sixth for each kind. Without windows it tags nothing."""
+    without a span, a sixth for each kind, and COPIES of each with its data disguised. Without
+    windows it tags nothing."""
     part = F.coalesce(F.array_max(F.transform("spans", lambda s: s[0])), F.lit(-1))
     rows = pin(
         labelled_windows(docs).withColumns({"part": part, "h": F.xxhash64("window")}), "pii-windows"
@@ -259,7 +302,9 @@ def train(docs: DataFrame, most: int = TRAINED) -> Tagger:
     for number in range(-1, len(KINDS)):
         some = rows.where(F.col("part") == number).orderBy("h", "window")
         found = some.limit(most // 3 if number < 0 else most // 6).collect()
-        picked += sorted({(r.window, tuple(map(tuple, r.spans))) for r in found})
+        chosen = sorted({(r.window, tuple(map(tuple, r.spans))) for r in found})
+        copies = [altered(w, x, i) for w, x in chosen for i in range(COPIES)]
+        picked += chosen + [c for c in copies if c]
     tagger = Tagger.new()
     if picked:
         tagger.train([w for w, _ in picked], np.array([_gold(spans) for _, spans in picked]))
@@ -269,23 +314,25 @@ def train(docs: DataFrame, most: int = TRAINED) -> Tagger:
 
 
 def _plausible(kind: str, text: str) -> bool:
-    """Whether a decoded stretch has what every span of its kind has."""
-    digits = len(_digits(text))
+    """Whether a decoded stretch is of its kind once spelled signs and separators are put right."""
     if kind == "email":
-        return "@" in text.strip("@") and "." in text
+        return bool(_ADDRESS.fullmatch(_DOT.sub(".", _AT.sub("@", text))))
     if kind == "ip":
-        return text.count(".") == 3 and all(p.isdigit() for p in text.split(".")) and _ip(text)
-    return _card(text) if kind == "card" else 9 <= digits <= 15
+        plain = _DOT.sub(".", text)
+        return bool(_IP.fullmatch(plain)) and _ip(plain)
+    if kind == "card":
+        return bool(_PARTED_CARD.fullmatch(text)) and _card(text)
+    return bool(_PARTED_PHONE.fullmatch(text)) and _phone(text)
 
 
 def all_spans(base: list[Span], decoded: list[Span], text: str) -> list[Span]:
-    """Base spans, and decoded ones that are plausible and touch none of them."""
-    taken = sorted((s, e) for _, s, e in base)
-    out = list(base)
+    """Base spans, and decoded ones (by start, apart) that are plausible and touch none of them."""
+    taken, out, k, reach = sorted((s, e) for _, s, e in base), list(base), 0, 0
     for kind, s, e in decoded:
-        if _plausible(kind, text[s:e]) and not any(a < e and b > s for a, b in taken):
+        while k < len(taken) and taken[k][0] < e:
+            reach, k = max(reach, taken[k][1]), k + 1
+        if reach <= s and _plausible(kind, text[s:e]):
             out.append((kind, s, e))
-            taken.append((s, e))
     return sorted(out, key=lambda x: (KINDS.index(x[0]), x[1], x[2]))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 import hashlib
 import itertools
 import math
+import random
 import re
 import time
 import zlib
@@ -375,6 +376,65 @@ def test_personal_data_model_finds_what_patterns_find(spark, small):
     assert sum(len(a & b) for a, b in zip(base, found)) >= 0.6 * total  # 34 spans to learn from
 
 
+def test_disguised_personal_data_is_found(spark, small):
+    """Data in forms that no pattern knows, put into clean texts; clean texts stay clean."""
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("text is not null")
+    tagger = pii.train(docs.where("doc_id % 2 = 0"))
+    clean = [r.text for r in docs.where("doc_id % 2 = 1").collect()]
+    clean = [x for x in clean if x and not pii.base_spans(x)]
+    added = [pii.all_spans([], found, x) for x, found in zip(clean, tagger.decode(clean))]
+    assert sum(map(len, added)) <= 0.01 * len(clean)
+    draw, planted, gold = random.Random(3), [], []
+    for i, text in enumerate(clean[:200]):
+        kind = ("card", "phone")[i % 2]
+        data = pii._disguised(kind, ("4111111111111111", "+1 (269) 555-3296")[i % 2], draw)
+        words = text.split(" ")
+        place = draw.randrange(len(words) + 1)
+        before = " ".join([*words[:place], ""])
+        planted.append(" ".join([*words[:place], data, *words[place:]]))
+        gold.append((kind, len(before), len(before) + len(data)))
+    hits = sum(
+        g in pii.all_spans(pii.base_spans(x), found, x)
+        for x, g, found in zip(planted, gold, tagger.decode(planted))
+    )
+    assert hits >= 0.5 * len(gold)
+
+
+def test_personal_data_equals_the_plain_patterns(spark, small):
+    """Counts and digests of a whole table against each kind's plain expression."""
+    patterns = (
+        ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+        (
+            "ip",
+            r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
+            lambda m: all(int(x) <= 255 for x in m.split(".")),
+        ),
+        (
+            "card",
+            r"[0-9]([\x20-]?[0-9])+",
+            lambda m: 13 <= len(re.findall("[0-9]", m)) <= 19
+            and pii.luhn("".join(re.findall("[0-9]", m))),
+        ),
+        (
+            "phone",
+            r"\+[0-9][\x20().0-9-]+[0-9]",
+            lambda m: 9 <= len(re.findall("[0-9]", m)) <= 15,
+        ),
+    )
+    docs = spark.read.parquet(f"{small}/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    rows = pii.detect(docs).collect()
+    assert len(rows) == docs.count()
+    for r in rows:
+        found = [
+            [(k, *m.span()) for m in re.finditer(p, texts[r.doc_id]) if good(m[0])]
+            for k, p, good in patterns
+        ]
+        assert [r.n_email, r.n_ip, r.n_card, r.n_phone] == [len(x) for x in found]
+        listed = ",".join(f"{k}:{s}:{e}" for x in found for k, s, e in x)
+        assert r.base_sha256 == hashlib.sha256(listed.encode()).hexdigest()
+
+
 def test_secrets(docs, empty):
     rows = by_id(secret_scan.detect(docs))
     assert (rows[9].n_assign, rows[9].n_access, rows[9].n_hex) == (1, 1, 1)
