@@ -8,8 +8,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from stratafold.operators.joins import fits_broadcast
 from stratafold.session import pin
 
+#: Words of 64 marks that the filter before a shuffle has: 2 MB.
+MARKED = 1 << 18
 #: Rows that one window partition numbers, about.
 NUMBERED_TOGETHER = 20_000
 #: Window partitions at least, so that small tables also spread over tasks.
@@ -83,6 +86,27 @@ def _arrow_schema(spark: SparkSession, schema: str) -> pa.Schema:
     return to_arrow_schema(_parse_datatype_string(schema))
 
 
+def may_match(column: str, wanted: DataFrame) -> Column | None:
+    """Whether a row's ``column`` may equal one of ``wanted``, NULL equal to NULL; None where
+    ``wanted``, a stored table, is small enough to broadcast.
+
+    Beyond that a join would shuffle all rows. The wanted values, hashed, are marked in a list of
+    MARKED words, whatever their number, a value of the plan: rows without a mark match nothing
+    and can stay where they are. With many more values than 64 * MARKED it tells less and less.
+    """
+    if fits_broadcast(wanted):
+        return None
+    place = F.pmod(F.xxhash64(column), F.lit(64 * MARKED))
+    word, bit = F.shiftright(place, 6), (place % 64).cast("int")
+    mark = F.call_function("shiftleft", F.lit(1).cast("long"), bit)
+    marks = wanted.groupBy(word.alias("id")).agg(F.bit_or(mark).alias("marks"))
+    listed = wanted.sparkSession.range(MARKED).join(marks, "id", "left")
+    entry = F.struct("id", F.coalesce("marks", F.lit(0).cast("long")).alias("marks"))
+    entries = F.sort_array(F.collect_list(entry)).getField("marks")
+    held = pin(listed.agg(entries.alias("l")), "marks").scalar()
+    return F.getbit(F.get(held, word.cast("int")), bit) == 1
+
+
 def components(edges: DataFrame, label: str = "components") -> DataFrame:
     """(node, root) for every node of ``edges`` (a, b): nodes share a root iff links connect them.
 

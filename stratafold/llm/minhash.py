@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import arrow_rows, components
+from stratafold.llm.common import arrow_rows, components, may_match
 from stratafold.session import pin
 
 SHINGLE = 5
@@ -255,7 +255,12 @@ def _confirmed(members: DataFrame, percent: int) -> DataFrame:
 
 
 def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(node, shingles) of the wanted (node, doc_id), each from a document that has its words."""
+    """(node, shingles) of the wanted (node, doc_id), each from a document that has its words.
+
+    The wanted are stored first: while they are few they are broadcast, beyond that the texts of
+    other documents are held back, so that no shuffle takes all texts.
+    """
+    wanted = pin(wanted, "minhash-wanted")
 
     def make():
         cache: dict[bytes, int] = {}
@@ -271,7 +276,9 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 
         return work
 
-    given = docs.select("doc_id", "text").alias("d")
+    likely = may_match("doc_id", wanted)
+    given = docs if likely is None else docs.where(likely)
+    given = given.select("doc_id", "text").alias("d")
     same = F.col("d.doc_id").eqNullSafe(F.col("w.doc_id"))
     texts = given.join(wanted.alias("w"), same).select("w.node", "d.text")
     made = arrow_rows(texts, make, "node binary, shingles binary")
@@ -352,9 +359,13 @@ def deduplicated(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
             F.md5(F.coalesce(docs["text"], F.lit("")).cast("binary")) == given["text_md5"]
         )
 
-    alone = docs.join(judged, same(judged), "left_anti")
+    likely = may_match("doc_id", judged)
+    given = docs if likely is None else docs.where(likely)
+    alone = given.join(judged, same(judged), "left_anti")
+    if likely is not None:
+        alone = docs.where(~likely).unionByName(alone)
     repeated = judged.where("repeated")
     if repeated.isEmpty():
         return alone
-    once = docs.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
+    once = given.join(repeated, same(repeated), "left_semi").dropDuplicates(["doc_id", "text"])
     return alone.unionByName(once)
