@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable, Iterator
+from contextlib import contextmanager
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -11,6 +12,9 @@ from pyspark.sql import functions as F
 from stratafold.operators.joins import fits_broadcast
 from stratafold.session import pin
 
+#: Bytes of an Arrow batch of whole texts. Spark's own limit is 64 MB, and a task's buffers, which lie
+#: outside the heap, hold that several times over.
+BATCH_BYTES = 4 << 20
 #: Words of 64 marks that the filter before a shuffle has: 2 MB.
 MARKED = 1 << 18
 #: Rows that one window partition numbers, about.
@@ -55,6 +59,23 @@ def numbered(
     ).drop("_bucket", "_rank", "_start")
 
 
+@contextmanager
+def bounded_batches(spark: SparkSession) -> Iterator[None]:
+    """Jobs that are run in here hand texts to Python in Arrow batches of about BATCH_BYTES, or less
+    if the session says so; a longer text is a batch of its own. The session's limit comes back
+    afterwards. What is returned without having been run has the session's own batches.
+    """
+    name = "spark.sql.execution.arrow.maxBytesPerBatch"
+    before = spark.conf.get(name)
+    limit = int(spark._jsparkSession.sessionState().conf().arrowMaxBytesPerBatch())
+    if not 0 < limit <= BATCH_BYTES:
+        spark.conf.set(name, str(BATCH_BYTES))
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def arrow_rows(
     df: DataFrame,
     make: Callable[[], Callable[[pa.RecordBatch], Iterable[dict[str, list]]]],

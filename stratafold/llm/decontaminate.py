@@ -10,15 +10,15 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import arrow_rows
+from stratafold.llm.common import arrow_rows, bounded_batches
 from stratafold.session import pin
 
 #: Words of a window, and how many words more a proximity match may stretch to either side.
 WINDOW, SLOP = 13, 3
 #: UTF-8 bytes of benchmark texts that are searched for at once; more take more rounds.
 BLOCK_BYTES = 8_000_000
-#: Tasks that the documents of one term are spread over.
-SALT = 16
+#: Tasks that the documents of one term are spread over; documents that are compared at once.
+SALT, TOGETHER = 16, 512
 _KEPT = bytes(
     b + 32 if 65 <= b <= 90 else b if 48 <= b <= 57 or 97 <= b <= 122 or b >= 128 else 32
     for b in range(256)
@@ -76,7 +76,9 @@ def _frequencies(docs: DataFrame, items: Items) -> np.ndarray:
 
     counts = arrow_rows(docs.select("text"), make, "term int, n long")
     out = np.zeros(len(items.terms), np.int64)
-    for term, n in counts.groupBy("term").agg(F.sum("n")).collect():
+    with bounded_batches(docs.sparkSession):
+        totals = counts.groupBy("term").agg(F.sum("n")).collect()
+    for term, n in totals:
         out[term] = n
     return out
 
@@ -145,7 +147,8 @@ def index(docs: DataFrame, items: Items, rare: dict, reach: int) -> tuple[DataFr
         f"row long, doc_id {kind}, n_words long, "
         "postings array<struct<term int, positions array<int>>>"
     )
-    rows = pin(arrow_rows(given, make, schema), "decon-docs")
+    with bounded_batches(docs.sparkSession):
+        rows = pin(arrow_rows(given, make, schema), "decon-docs")
     postings = rows.select("row", F.explode("postings").alias("p")).select(
         F.col("p.term").alias("term"), "row", F.col("p.positions").alias("positions")
     )
@@ -191,6 +194,10 @@ def _matches(postings: DataFrame, items: Items, rare: dict, frequency: np.ndarra
                 spans.setdefault(item, {}).setdefault(middle, []).append(others)
 
         def work(batch):
+            for at in range(0, batch.num_rows, TOGETHER):
+                yield compared(batch.slice(at, TOGETHER))
+
+        def compared(batch):
             out = {"row": batch["row"].to_pylist(), "hits": [], "found": [], "near": []}
             for lists, aligned in zip(batch["lists"].to_pylist(), batch["aligned"].to_pylist()):
                 at = {x["term"]: np.sort(np.array(x["positions"])) for x in lists}
@@ -211,7 +218,7 @@ def _matches(postings: DataFrame, items: Items, rare: dict, frequency: np.ndarra
                 out["hits"].append(sorted(hits))
                 out["found"].append(sorted(found))
                 out["near"].append(sorted(near))
-            yield out
+            return out
 
         return work
 
@@ -329,7 +336,8 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 def clean(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """``docs`` without the contaminated ones. Rows that share a doc_id go or stay together."""
     bad = contamination(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    bad = pin(bad, "contaminated")
+    with bounded_batches(docs.sparkSession):
+        bad = pin(bad, "contaminated")
     same = docs["doc_id"].eqNullSafe(bad["doc_id"])
     return docs.join(bad, same, "left_anti")
 

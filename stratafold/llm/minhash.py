@@ -17,7 +17,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from stratafold.llm.common import arrow_rows, components, may_match
+from stratafold.llm.common import arrow_rows, bounded_batches, components, may_match
 from stratafold.session import pin
 
 SHINGLE = 5
@@ -288,7 +288,8 @@ def _sets(docs: DataFrame, wanted: DataFrame) -> DataFrame:
 def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     """The stored rows of ``_signatures``, and (node, least, root): nodes share a root iff links
     connect them."""
-    rows = pin(_signatures(docs), "minhash-rows")
+    with bounded_batches(docs.sparkSession):
+        rows = pin(_signatures(docs), "minhash-rows")
     classes = pin(
         rows.where("node IS NOT NULL")
         .groupBy("node")
@@ -300,12 +301,15 @@ def _linked(docs: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
     )
     least = matches(percent)
     lists = pin(_postings(classes, least), "minhash-lists")
-    families = components(_alike(lists, classes, least), "minhash-families")
+    with bounded_batches(docs.sparkSession):
+        families = components(_alike(lists, classes, least), "minhash-families")
     named = classes.select("node", F.col("least").alias("doc_id")).join(families, "node", "left_semi")
     members = _sets(docs, named).join(
         families.select("node", F.col("root").alias("family")), "node"
     )
-    roots = components(_confirmed(pin(members, "minhash-members"), percent), "minhash-components")
+    with bounded_batches(docs.sparkSession):
+        members = pin(members, "minhash-members")
+        roots = components(_confirmed(members, percent), "minhash-components")
     nodes = classes.select("node", "least").join(roots, "node", "left")
     return rows, nodes.withColumn("root", F.coalesce("root", "node"))
 

@@ -222,15 +222,14 @@ def score(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED) -> DataF
         voters, cache = shared.value, {}
 
         def work(batch):
-            scores = []
             for at in range(0, batch.num_rows, BLOCK):
-                texts = batch["text"].slice(at, BLOCK)
-                scores += voters.scores(vectors((t.as_py() for t in texts), cache)).tolist()
-            yield {
-                **{c: batch[c] for c in kept},
-                "score": scores,
-                "predicted": [int(s >= REJECT_BELOW) for s in scores],
-            }
+                part = batch.slice(at, BLOCK)  # whole texts go back a block at a time
+                scores = voters.scores(vectors((t.as_py() for t in part["text"]), cache)).tolist()
+                yield {
+                    **{c: part[c] for c in kept},
+                    "score": scores,
+                    "predicted": [int(s >= REJECT_BELOW) for s in scores],
+                }
 
         return work
 
