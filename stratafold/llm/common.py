@@ -92,6 +92,7 @@ def arrow_rows(
             for columns in work(batch):
                 arrays = [_array(columns[f.name], f.type) for f in types]
                 yield pa.RecordBatch.from_arrays(arrays, schema=types)
+        pa.default_memory_pool().release_unused()  # the worker stays for other tasks
 
     return df.mapInArrow(run, schema)
 

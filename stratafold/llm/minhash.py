@@ -30,7 +30,7 @@ LIST_BLOCK, FAMILY_BLOCK = 512, 128
 #: Groups that families of one block are gathered into, and shingles that are compared at once.
 BINS, SLICE = 1024, 8192
 _ODD = np.uint64(0x9E3779B97F4A7C15)
-_WORDS_CACHED = 400_000
+_WORDS_CACHED = 100_000
 
 
 def matches(percent: int) -> int:
